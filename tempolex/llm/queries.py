@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import mixing, nearest, packing, splitting
+from . import mixing, nearest, packing, sentences, splitting
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -15,6 +15,29 @@ def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     return {r["limit_key"]: (r["max_size"], r["overlap_size"]) for r in table(spark, d, "size_limits").limit(100).collect()}
 
 
+def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Runs and segments with the ends of their sentences; runs without punctuation and diarized segments left out."""
+    runs = table(spark, d, "results").select("result_id", "punct_mode", "diarized", "text")
+    segments = table(spark, d, "segments").select("segment_id", "result_id", "content")
+    punctuated = ~F.coalesce(F.col("punct_mode") == "none", F.lit(False))
+    units = (
+        runs.where(punctuated)
+        .select(F.lit("results").alias("unit_kind"), F.col("result_id").alias("unit_id"), F.lit(None).cast("bigint").alias("result_id"), "text")
+        .unionByName(segments.select(F.lit("segments").alias("unit_kind"), F.col("segment_id").alias("unit_id"), "result_id", F.col("content").alias("text")))
+        .where("text is not null and text <> ''")
+    )
+    ends = sentences.sentence_ends(units, "text", units.select("text"), ["unit_kind", "unit_id"]).select("unit_kind", "unit_id", "result_id", "ends")
+    out = runs.where(~punctuated | F.col("diarized")).select("result_id").distinct()
+    of_runs = ends.where("unit_kind = 'results'").select("unit_kind", "unit_id", "ends")
+    of_segments = ends.where("unit_kind = 'segments'").join(out, "result_id", "left_anti").select("unit_kind", "unit_id", "ends")
+    return of_runs.unionByName(of_segments)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    flat = p1_sentences(spark, d).select("unit_kind", "unit_id", F.explode("ends").alias("end_char"))
+    return flat.dropDuplicates()
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "cards").select("card_id", "media_id", "shown_s")
     segments = table(spark, d, "segments").select("segment_id", "media_id", "from_s")
