@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import mixing, nearest, packing, sentences, splitting
+from . import lookalikes, mixing, nearest, packing, sentences, splitting
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -59,6 +59,33 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no = 0").select("unit_kind", "unit_id", "cut_kind")
 
 
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """unit_kind, unit_id, form: every transcript and segment text in its one form."""
+    return _forms(spark, d).select("unit_kind", "unit_id", "form").dropDuplicates(["unit_kind", "unit_id"])
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "results")
+    segments = table(spark, d, "segments")
+    units = runs.select(
+        F.lit("results").alias("unit_kind"), F.col("result_id").alias("unit_id"), "media_id", F.lit(None).cast("bigint").alias("run"), F.lit(None).cast("int").alias("seg_no"), "text"
+    ).unionByName(
+        segments.select(
+            F.lit("segments").alias("unit_kind"), F.col("segment_id").alias("unit_id"), F.lit(None).cast("string").alias("media_id"), F.col("result_id").alias("run"), "seg_no", F.col("content").alias("text")
+        )
+    )
+    return lookalikes.one_form(units.where("text is not null"), "text", ["unit_kind", "unit_id"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    forms = _forms(spark, d)
+    spoken = forms.where("unit_kind = 'segments'").where(F.length(F.trim("form")) > 0)
+    runs = forms.where("unit_kind = 'results' and text <> ''")
+    return lookalikes.alike_pairs(spoken, "unit_id", ["run"], "text", "segments", "seg_no").unionByName(
+        lookalikes.alike_pairs(runs, "unit_id", ["media_id"], "text", "results")
+    )
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), limits(spark, d)["container"][0])
 
