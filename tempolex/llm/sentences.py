@@ -39,6 +39,20 @@ _EVENT = re.compile(rf"[{STRONG}{STOP}{ELLIPSIS}]+|[\"“”„«»「」『』
 _LAST = rf"[\s{INVISIBLE}]*$"
 
 
+def _before(text: str, at: int, start: int = 0) -> str:
+    """The token right before position `at`, of 40 characters at most; '' if there is none."""
+    parts = text[max(start, at - 40) : at].rsplit(None, 1)
+    if not parts:
+        return ""
+    chunk = parts[-1]
+    if chunk.isascii():
+        chunk = chunk.lstrip("\"'([{<-/*_~")
+        if chunk.isalnum():
+            return chunk
+    m = _TOKEN.search(chunk)
+    return m[1] if m else ""
+
+
 def _shape(ch: str) -> str:
     """Class of what follows a full stop and a blank."""
     if ch.islower():
@@ -56,7 +70,7 @@ def _is_initials(token: str) -> bool:
 
 # ---------------------------------------------------------------- evidence
 
-_SEEN = re.compile(rf"([{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*)[.．](?![.．…])(?=(\s*)(\S?))")
+_SEEN = re.compile(rf"(?<=[{_W}])[.．](?![.．…])(?=(\s*)(\S?))")
 _SHORT = re.compile(rf"(?<![{_W}.．])[a-zA-ZÀ-ɏЀ-ӿ]{{1,4}}(?![{_W}.．])")
 _START = re.compile(rf"(?:[{STRONG}]\s|\n)\s*([{_W}]+)")
 
@@ -77,8 +91,8 @@ def evidence(text: str, into: Counter) -> None:
     for w in _SHORT.findall(text):
         into[token_key(w), "p"] += 1
     for m in _SEEN.finditer(text):
-        blank, after = m[2], m[3]
-        number = m[1][-1].isdecimal()
+        blank, after = m[1], m[2]
+        number = text[m.start() - 1].isdecimal()
         if not blank and after:
             if after in ",，;；":
                 kind = "c"
@@ -91,10 +105,11 @@ def evidence(text: str, into: Counter) -> None:
         else:
             kind = _shape(after)
         if number:
-            if kind == "u" and (w := _NEXT.match(text, m.end(2))):
+            if kind == "u" and (w := _NEXT.match(text, m.end(1))):
                 into[token_key(w[1]), "m"] += 1
             continue
-        into[token_key(m[1]), kind] += 1
+        if token := _before(text, m.start()):
+            into[token_key(token), kind] += 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +312,9 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str]) -
     if to > at + 1:
         word = _NEXT.match(text, to)
         return not (word and word[1][0].islower() and "s" not in known.get(token_key(word[1]), ""))
-    m = _TOKEN.search(text, max(start, at - 40), at)
-    if not m:
+    token = _before(text, at, start)
+    if not token:
         return True
-    token = m[1]
     key = token_key(token)
     word = _NEXT.match(text, to)
     follows = word[1] if word else ""
@@ -319,6 +333,27 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str]) -
     return newline and judged != "A"
 
 
+def _elsewhere(text: str, token: str) -> tuple[bool, bool]:
+    """Whether the text has the token with a stop before a small letter or a comma, and whether it has it without one."""
+    small = bare = False
+    at, size, n = text.find(token), len(token), len(text)
+    while at >= 0:
+        to = at + size
+        if not (at and (text[at - 1].isalnum() or text[at - 1] in STOP)):
+            if to == n or not (text[to].isalnum() or text[to] in STOP):
+                bare = True
+            elif text[to] in STOP and to + 1 < n:
+                if text[to + 1] == ",":
+                    small = True
+                elif text[to + 1].isspace():
+                    rest = text[to + 1 : to + 4].lstrip()
+                    small = small or rest[:1].islower()
+            if small:
+                return True, bare
+        at = text.find(token, to)
+    return small, bare
+
+
 def _abbreviates(text: str, token: str, key: str, known: dict[str, str]) -> str:
     """'' for an ordinary word, 'A' for an abbreviation, 'E' for one that may end a sentence.
 
@@ -335,10 +370,12 @@ def _abbreviates(text: str, token: str, key: str, known: dict[str, str]) -> str:
     if initials:
         inner = "." in token or "．" in token
         return "E" if inner and (corpus == "W" or token.islower()) else "A"
-    shown = re.search(rf"(?<![{_W}]){re.escape(token)}[.．](?:\s+[a-zа-я]|,)", text)
-    if shown and len(token) <= 5:
+    if len(token) > 5:
+        return _KNOWN.get(key, "")
+    before_small, bare = _elsewhere(text, token)
+    if before_small:
         return "E"
-    if re.search(rf"(?<![{_W}.]){re.escape(token)}(?![{_W}.．])", text):
+    if bare:
         return ""
     if corpus == "W":
         return ""
@@ -362,8 +399,8 @@ def _asked(texts: pd.Series) -> pd.Series:
     for t in texts:
         got = set()
         for m in _SEEN.finditer(t or ""):
-            got.add(token_key(m[1]))
-            if w := _NEXT.match(t, m.end(2)):
+            got.add(token_key(_before(t, m.start())))
+            if w := _NEXT.match(t, m.end(1)):
                 got.add(token_key(w[1]))
         out.append(sorted(got))
     return pd.Series(out)
