@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalikes, mixing, nearest, packing, sentences, splitting
+from . import lookalikes, mixing, nearest, packing, sentences, splitting, turns
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -86,6 +86,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _turns(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    return turns.speaker_turns(*(table(spark, d, t) for t in ("segments", "results", "speakers", "fillers")), with_text)
+
+
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d, True)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d, False).select("result_id", "speaker_code", "first_segment_id", "last_segment_id")
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), limits(spark, d)["container"][0])
 
