@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lookalikes, mixing, nearest, packing, sentences, splitting, turns
+from . import harm, lookalikes, mixing, nearest, packing, sentences, splitting, turns
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -118,5 +118,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_mixture(spark, d).where("is_short").select("source_key")
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return harm.score_documents(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return harm.rates(p8_scores(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("is_harmful").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
