@@ -35,6 +35,11 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, MARKS, ""), r"\s+", "")
 
 
+def is_blank(text: Column) -> Column:
+    """True for a text of nothing but blanks of any kind; null for null."""
+    return text.rlike(r"(?U)^\s*$")
+
+
 def norm_for_score(text: Column) -> Column:
     """Form in which texts are compared: usual width, no marks, small letters, simplified characters."""
     return F.lower(simplify(bare(half_width(text)))[0])

@@ -7,6 +7,8 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import is_blank
+
 
 def compression_ratio(text: Column) -> Column:
     """Bytes of the text over bytes of its zlib form; null for null and empty texts."""
@@ -42,7 +44,7 @@ def hallucination_gate(df: DataFrame, text: str = "text", compression: str = "co
     """
     rate = speech_rate(F.col(text), F.col("end_ms") - F.col("start_ms"))
     reason = (
-        F.when(F.col(text).isNull() | (F.trim(text) == ""), "empty")
+        F.when(F.col(text).isNull() | is_blank(F.col(text)), "empty")
         .when(F.col(compression) > most_compression, "compression")
         .when(most_repeated(F.col(text)) >= repeats, "repetition")
         .when((rate < slowest) | (rate > fastest), "rate")
@@ -67,7 +69,7 @@ def refine_gate(pairs: DataFrame, least_cover: float = 0.6, least_overlap: float
         F.coalesce(F.col("old_compression") - F.col("new_compression") >= clearly, F.lit(False)) & F.coalesce(F.col("old_conf") - F.col("new_conf") <= may_lose, F.lit(False))
     )
     reason = (
-        F.when(F.col("new_text").isNull() | (F.trim("new_text") == ""), "empty")
+        F.when(F.col("new_text").isNull() | is_blank(F.col("new_text")), "empty")
         .when(F.coalesce(F.col("new_ms") / F.nullif("old_ms", F.lit(0)), F.lit(1.0)) < least_cover, "time_cover")
         .when(F.coalesce(char_overlap(F.col("old_text"), F.col("new_text")), F.lit(1.0)) < least_overlap, "char_overlap")
         .when(~better, "no_gain")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import is_blank
 from .scan import by_number, scan
 
 # Marks at which a piece ends, particles that make a pause a question or keep it short.
@@ -60,7 +61,7 @@ def pause_marks(df: DataFrame, key: str, order: str, id_col: str, text: str = "t
     goes_on = F.coalesce(F.col("_next.t").rlike(f"^(?:{_GOES_ON})"), F.lit(False))
     stop = F.when(F.col(text).rlike(f"(?:{_ASKS})$"), "？").otherwise("。")
     mark = (
-        F.when(F.col(text).isNull() | (F.trim(text) == "") | F.col(text).rlike("[，。！？、；：,.!?;:…”\"）)」]$"), "")
+        F.when(F.col(text).isNull() | is_blank(F.col(text)) | F.col(text).rlike("[，。！？、；：,.!?;:…”\"）)」]$"), "")
         .when(F.col("_next").isNull() | (pause >= 2 * full_ms), stop)
         .when(pause.isNull() | (pause < least_ms), "")
         .when((pause >= full_ms) & ~goes_on, stop)

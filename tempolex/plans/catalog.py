@@ -1,19 +1,505 @@
-"""The named queries of the engine and their SQL."""
+"""The named queries of the engine over the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import numerals, redact, simplify
+from ..model import canonical_segments, delivered_once, ms, settings_identity
+from ..operators import align, clean, fuse, gates, history, intervals, review, segmenting, validate
+from ..operators.scan import by_number, scan
+from ..session import table
+from ..sources import identity, render
+from ..streaming import live
+from .oracle import oracle_sql
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+
+SETTINGS = ["engine", "model_size", "device", "compute_type", "chunked", "diarized", "punct_mode"]
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments in canonical shape, repeated deliveries counted once."""
+    keep = ["segment_id", "result_id", "media_id", "seg_no", "avg_logprob", "no_speech_prob", "compression_ratio"]
+    return canonical_segments(delivered_once(table(spark, d, "segments"), "segment_id"), *keep)
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_segments(delivered_once(table(spark, d, "cards"), "card_id"), "card_id", "media_id", "ocr_confidence")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = delivered_once(table(spark, d, "chunks"), "chunk_id")
+    return rows.select("chunk_id", "result_id", "chunk_no", ms("from_s").alias("start_ms"), ms("to_s").alias("end_ms"), "text")
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "media").select("media_id", ms("duration_s").alias("duration_ms"))
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/results.parquet")
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """Transcription runs as measurements: the medium is the case, the model the norm."""
+    return table(spark, d, "results").select(F.col("media_id").alias("case"), F.col("model_size").alias("norm"), "created_at", "result_id", "elapsed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps and coverage of every medium."""
+    return interval_coverage(spark, d)
+
+
+# ---------------------------------------------------------------- shapes and sources
+
+
+@query
+def segments_canonical(spark, d):
+    return segments(spark, d).select("segment_id", "start_ms", "end_ms", "text", "status")
+
+
+@query
+def media_sources(spark, d):
+    return table(spark, d, "media").select("media_id", identity.platform(F.col("media_id")).alias("source_platform"))
+
+
+@query
+def source_links(spark, d):
+    return table(spark, d, "documents").select("doc_id", identity.canonical_id(F.col("text")).alias("canonical_id")).where("canonical_id is not null")
+
+
+@query
+def settings_identities(spark, d):
+    r = table(spark, d, "results")
+    return r.select("result_id", settings_identity(r, SETTINGS).alias("identity"))
+
+
+@query
+def diagnostic_steps(spark, d):
+    r = table(spark, d, "results")
+    return r.select(F.explode("diagnostics").alias("step")).groupBy("step").agg(F.count("*").alias("n_runs"))
+
+
+# ---------------------------------------------------------------- predicates, marks, cleaning
+
+
+@query
+def timeline_check(spark, d):
+    rows = segments(spark, d)
+    seen = scan(rows, ["result_id"], by_number("seg_no"), ["seg_no", "segment_id"], {"b": ("last", F.struct("start_ms")), "until": ("max", F.col("end_ms"))})
+    return seen.groupBy("result_id").agg(
+        F.count("*").alias("n_segments"),
+        F.count_if(F.col("start_ms") < F.col("b.start_ms")).alias("n_regressions"),
+        F.count_if(F.col("start_ms") < F.col("until")).alias("n_overlaps"),
+    )
+
+
+@query
+def filler_report(spark, d):
+    return clean.filler_only(segments(spark, d), table(spark, d, "fillers")).select("segment_id", "word")
+
+
+@query
+def ocr_report(spark, d):
+    c = cards(spark, d).where("media_id is not null")
+    return c.groupBy("media_id").agg(
+        F.count("*").alias("n_cards"),
+        F.count_if(clean.low_confidence_cards("ocr_confidence")).alias("n_low_confidence"),
+        F.count_if(clean.noise("text")).alias("n_noise"),
+        F.count_if(F.col("end_ms") - F.col("start_ms") < 500).alias("n_short"),
+    )
+
+
+@query
+def corrected_cards(spark, d):
+    fixed = clean.corrected(simplify(F.col("text"))[0])
+    return cards(spark, d).select("card_id", "text", fixed.alias("corrected")).where("corrected <> text")
+
+
+@query
+def quality_marks(spark, d):
+    rows = clean.quality_marks(segments(spark, d)).where("result_id is not null")
+    micro = F.round(F.col("avg_logprob") * 1_000_000).cast("bigint") * F.length("text")
+    known = F.when(F.col("avg_logprob").isNotNull(), F.length("text"))
+    return rows.groupBy("result_id").agg(
+        F.count_if("low_confidence").alias("n_low_confidence"),
+        F.count_if("suspected_hallucination").alias("n_suspected"),
+        (F.sum(micro) / F.nullif(F.sum(known), F.lit(0))).alias("weighted_confidence"),
+    )
+
+
+@query
+def failure_codes(spark, d):
+    code = clean.failure_code(F.col("text"))
+    return table(spark, d, "documents").groupBy(code.alias("status_code")).agg(F.count("*").alias("n_docs"))
+
+
+@query
+def redactions(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", redact(F.col("text")).alias("redacted")).where("redacted <> text").drop("text")
+
+
+@query
+def adjacent_duplicates(spark, d):
+    return clean.adjacent_duplicates(segments(spark, d), "result_id", "seg_no", "segment_id").select("segment_id")
+
+
+@query
+def short_fragment_merge(spark, d):
+    return clean.merge_fragments(segments(spark, d), "result_id", "seg_no", "segment_id")
+
+
+@query
+def card_runs(spark, d):
+    return clean.card_runs(cards(spark, d), "media_id", "start_ms", "card_id", "text", "end_ms")
+
+
+@query
+def change_points(spark, d):
+    seen = clean.change_points(cards(spark, d), "media_id", "start_ms", "card_id", "text")
+    return seen.groupBy("media_id").agg(F.count_if("is_change").alias("n_changes"))
+
+
+@query
+def score_peaks(spark, d):
+    return clean.peaks(cards(spark, d), "media_id", "start_ms", "card_id", "ocr_confidence", 0.9).select("card_id")
+
+
+@query
+def forbidden_content(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return validate.forbidden_content(docs)
+
+
+@query
+def lines_without_evidence(spark, d):
+    notes = table(spark, d, "documents").where("doc_kind = 'note'").select(F.col("doc_id").alias("path"), "text")
+    return validate.lines_without_evidence(validate.lines(notes)).groupBy("path").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def manifest_check(spark, d):
+    r = table(spark, d, "results").select(F.col("result_id").cast("string").alias("path"), "text", "punct_mode")
+    listed = r.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return validate.manifest_check(listed, r.where("punct_mode <> 'none' and text is not null").select("path", F.col("text").alias("content")))
+
+
+# ---------------------------------------------------------------- intervals and windows
+
+
+@query
+def segment_gaps(spark, d):
+    return intervals.gaps(segments(spark, d), "result_id", "segment_id")
+
+
+@query
+def retry_windows(spark, d):
+    return intervals.retry_windows(intervals.gaps(segments(spark, d), "result_id", "segment_id"), "result_id")
+
+
+@query
+def interval_coverage(spark, d):
+    return intervals.coverage(segments(spark, d), durations(spark, d), "media_id", "segment_id")
+
+
+@query
+def coverage_repair(spark, d):
+    seg = segments(spark, d).select("result_id", "segment_id", "start_ms", "end_ms")
+    more = chunks(spark, d).select("result_id", F.col("chunk_id").alias("segment_id"), "start_ms", "end_ms")
+    before = intervals.covered(seg, "result_id", "segment_id").withColumnRenamed("covered_ms", "before_ms")
+    after = intervals.covered(seg.unionByName(more), "result_id", "segment_id").withColumnRenamed("covered_ms", "after_ms")
+    return after.join(before, "result_id", "left").select("result_id", F.coalesce("before_ms", F.lit(0)).alias("before_ms"), "after_ms")
+
+
+@query
+def cards_over_segments(spark, d):
+    pairs = intervals.overlapping(cards(spark, d).select("card_id", "media_id", "start_ms", "end_ms"), segments(spark, d).select("segment_id", "media_id", "start_ms", "end_ms"), "media_id")
+    return pairs.groupBy("card_id").agg(F.count("*").alias("n_segments"), F.sum("overlap_ms").alias("overlap_ms"))
+
+
+@query
+def frame_alignment(spark, d):
+    return intervals.nearest(cards(spark, d), segments(spark, d), "media_id", "card_id", "segment_id", 5000)
+
+
+@query
+def timeline_offset(spark, d):
+    c = cards(spark, d).where("media_id is not null and start_ms is not null").select("card_id", "media_id")
+    near = frame_alignment(spark, d)
+    return c.join(near, "card_id", "left").groupBy("media_id").agg(
+        F.count("segment_id").alias("matched"), F.count("*").alias("considered"), F.median("delta_ms").alias("median_ms"), F.max("delta_ms").alias("max_ms")
+    )
+
+
+@query
+def chunk_plan(spark, d):
+    return intervals.chunk_plan(durations(spark, d), "media_id")
+
+
+@query
+def chunk_overlaps(spark, d):
+    return intervals.merge_chunks(chunks(spark, d), "result_id", "chunk_no").select("chunk_id", "kept_from_ms", "overlap_ms")
+
+
+@query
+def completeness_report(spark, d):
+    c = cards(spark, d).where("media_id is not null")
+    n = c.groupBy("media_id").agg(F.count("*").alias("n_cards"), F.count_if(F.col("end_ms") - F.col("start_ms") < 500).alias("n_short"))
+    return n.join(change_points(spark, d), "media_id", "left").join(intervals.covered(c, "media_id", "card_id"), "media_id", "left")
+
+
+# ---------------------------------------------------------------- text in sequence
+
+
+@query
+def resegmented(spark, d):
+    return segmenting.recut(segments(spark, d).where("segment_id is not null"), ["segment_id"])
+
+
+@query
+def pause_punctuation(spark, d):
+    return segmenting.pause_marks(segments(spark, d), "result_id", "seg_no", "segment_id").select("segment_id", "pause_ms", "mark")
+
+
+@query
+def topic_chunks(spark, d):
+    rows = segmenting.topic_chunks(segments(spark, d), "result_id", "seg_no", "segment_id")
+    return rows.groupBy("result_id", "chunk_no").agg(F.count("*").alias("n_segments"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
+
+
+@query
+def numerals_normalised(spark, d):
+    return segments(spark, d).select("segment_id", "text", numerals(F.col("text")).alias("arabic")).where("arabic <> text").select("segment_id", "arabic")
+
+
+# ---------------------------------------------------------------- alignment, fusion, scores
+
+
+def _cards_with_segments(spark, d):
+    near = intervals.nearest(cards(spark, d), segments(spark, d), "media_id", "card_id", "segment_id", 1000)
+    c = cards(spark, d).select("card_id", "media_id", F.col("text").alias("card_text"))
+    s = segments(spark, d).select("segment_id", F.col("text").alias("segment_text"))
+    return near.join(c, "card_id").join(s, "segment_id")
+
+
+@query
+def card_alignment(spark, d):
+    return align.score(_cards_with_segments(spark, d), "media_id", "segment_text", "card_text")
+
+
+@query
+def difference_spans(spark, d):
+    rows = _cards_with_segments(spark, d).select("card_id", F.explode(align.diff_spans(F.col("segment_text"), F.col("card_text"))).alias("s"))
+    return rows.select("card_id", "s.*")
+
+
+@query
+def review_shortlist(spark, d):
+    spans = _cards_with_segments(spark, d).select("media_id", "card_id", F.explode(align.diff_spans(F.col("segment_text"), F.col("card_text"))).alias("s"))
+    return review.shortlist(spans.select("media_id", "card_id", "s.*"), "media_id", ["card_id", "a_lo", "b_lo"])
+
+
+@query
+def fused_transcript(spark, d):
+    return fuse.fuse(cards(spark, d), segments(spark, d), "media_id", "card_id", "segment_id")
+
+
+@query
+def provenance_counts(spark, d):
+    return fused_transcript(spark, d).groupBy("provenance").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"))
+
+
+@query
+def preferred_cards(spark, d):
+    rows = _cards_with_segments(spark, d).withColumn("p", fuse.preferred(F.col("card_text"), F.col("segment_text")))
+    return rows.where("p.chosen_by is not null").select("card_id", "p.text", "p.chosen_by")
+
+
+@query
+def source_priority(spark, d):
+    c, s = cards(spark, d).where("media_id is not null"), segments(spark, d).where("media_id is not null")
+    rows = fuse.prefer_source([("card", c.select("media_id", "start_ms")), ("asr", s.select("media_id", "start_ms"))], "media_id")
+    return rows.groupBy("media_id", "source").agg(F.count("*").alias("n"))
+
+
+@query
+def lexicon_terms(spark, d):
+    sp = table(spark, d, "speakers")
+    names = sp.select(F.explode(F.array("name_zh", "name_en", "other_name")).alias("term"))
+    titles = table(spark, d, "media").select(F.explode(F.regexp_extract_all("title", F.lit(r"[A-Za-z][A-Za-z]+"), F.lit(0))).alias("term"))
+    return fuse.lexicon([(0, names), (1, titles)], noise=["the", "of", "and"])
+
+
+@query
+def edit_distances(spark, d):
+    rows = segments(spark, d)
+    seen = scan(rows, ["result_id"], by_number("seg_no"), ["seg_no", "segment_id"], {"b": ("last", F.struct("text"))})
+    ascii_ = lambda c: F.col(c).rlike(r"^[\x00-\x7F]*$")
+    return seen.where(ascii_("text") & ascii_("b.text")).select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
+
+
+@query
+def punctuation_scores(spark, d):
+    r = table(spark, d, "results").where("media_id is not null and text is not null and text <> ''")
+    # Of runs over the same words, marked by hand of rules and by the model.
+    bare = r.select("media_id", "result_id", "text", "punct_mode", F.xxhash64(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("h"))
+    a, b = bare.where("punct_mode = 'rules'"), bare.where("punct_mode = 'model'")
+    pairs = a.alias("a").join(b.alias("b"), ["media_id", "h"]).select(F.col("a.result_id").alias("hyp_id"), F.col("b.result_id").alias("ref_id"), align.punctuation(F.col("a.text"), F.col("b.text")).alias("p"))
+    return pairs.select("hyp_id", "ref_id", "p.*", *align.f_score(F.col("p")))
+
+
+@query
+def repeated_ngrams(spark, d):
+    n = gates.most_repeated(F.col("text"))
+    return segments(spark, d).where("text is not null").select("segment_id", n.alias("repeats")).where("repeats >= 3")
+
+
+@query
+def char_overlap(spark, d):
+    whole = table(spark, d, "results").select("result_id", F.col("text").alias("whole"))
+    rows = chunks(spark, d).join(whole, "result_id").where("text is not null and whole is not null")
+    return rows.select("chunk_id", fuse.shared_chars(F.col("text"), F.col("whole")).alias("n_shared"), F.length("text").alias("n_chars"))
+
+
+@query
+def hallucination_gate(spark, d):
+    rows = gates.hallucination_gate(segments(spark, d))
+    return rows.where("reject_reason is not null").select("segment_id", "reject_reason")
+
+
+@query
+def refine_candidates(spark, d):
+    return gates.refine_candidates(segments(spark, d), "result_id").select("result_id", "segment_id", "rank")
+
+
+@query
+def run_summary(spark, d):
+    per = segments(spark, d).where("result_id is not null").groupBy("result_id").agg(F.count("*").alias("n_segments"), F.sum(F.length("text")).alias("n_chars"), (F.max("end_ms") - F.min("start_ms")).alias("span_ms"))
+    r = table(spark, d, "results").select("result_id", "elapsed", F.size(F.coalesce("diagnostics", F.array().cast("array<string>"))).alias("n_steps"))
+    return r.join(per, "result_id", "left").withColumn("rtf", F.col("elapsed") * 1000 / F.nullif("span_ms", F.lit(0))).select("result_id", "n_segments", "n_chars", "n_steps", "rtf")
+
+
+# ---------------------------------------------------------------- history and gates
+
+
+@query
+def history_trend(spark, d):
+    return history.trend(measured(spark, d), ["case", "norm"], "created_at", "result_id", "elapsed").select("case", "norm", "runs", "first", "last", "first_at", "last_at")
+
+
+@query
+def history_latest(spark, d):
+    return history.latest(measured(spark, d), ["case", "norm"], "created_at", "result_id")
+
+
+@query
+def trend_regressions(spark, d):
+    return history.regressions(measured(spark, d), ["case", "norm"], "created_at", "result_id", "elapsed").select("case", "norm", "previous", "last")
+
+
+@query
+def baseline_gate(spark, d):
+    m = measured(spark, d).where("case is not null and norm is not null")
+    t = history.trend(m, ["case", "norm"], "created_at", "result_id", "elapsed")
+    base = t.where("runs > 1").select("case", "norm", F.col("first").alias("elapsed"))
+    return gates.baseline_gate(t.select("case", "norm", F.col("last").alias("elapsed")), base, ["case", "norm"], "elapsed").select("case", "norm", "verdict")
+
+
+@query
+def threshold_gate(spark, d):
+    return gates.threshold_gate(measured(spark, d), "elapsed", 60.0)
+
+
+@query
+def difference_gate(spark, d):
+    return gates.difference_gate(difference_spans(spark, d), 2)
+
+
+@query
+def release_rows(spark, d):
+    m = measured(spark, d).where("case is not null and norm is not null")
+    newest = history.latest(m, ["case", "norm"], "created_at", "result_id").select("case", "norm", "elapsed")
+    known = m.groupBy("case", "norm").agg(F.count("*").alias("n")).where("n > 2").select(F.lit("v1.2.0").alias("version"), "case", "norm")
+    return history.append_release(newest, known, "1.2.0")
+
+
+# ---------------------------------------------------------------- review
+
+
+@query
+def worksheet_flags(spark, d):
+    s = segments(spark, d)
+    reasons = [
+        ("repetition", F.col("compression_ratio") > 2.4),
+        ("low_confidence", F.col("avg_logprob") < -1.0),
+        ("no_speech", F.col("no_speech_prob") > 0.6),
+        ("no_text", F.col("text").isNull()),
+    ]
+    return review.worksheet(s, "result_id", "segment_id", reasons)
+
+
+@query
+def lowest_decile(spark, d):
+    return review.lowest_decile(segments(spark, d), "result_id", "segment_id", "avg_logprob")
+
+
+@query
+def review_decisions(spark, d):
+    return review.decisions(table(spark, d, "doc_reviews"), "doc_id", "is_harmful")
+
+
+# ---------------------------------------------------------------- sinks
+
+
+@query
+def srt_cues(spark, d):
+    return render.srt_cues(segments(spark, d), "result_id", "seg_no", "segment_id")
+
+
+@query
+def plain_text(spark, d):
+    return render.plain_parts(segments(spark, d), "result_id", "seg_no", "segment_id")
+
+
+@query
+def media_notes(spark, d):
+    m = table(spark, d, "media")
+    return m.select("media_id", render.note(F.col("title"), {"source": F.col("media_id"), "platform": F.col("platform"), "lang": F.col("lang")}, [("Uploader", F.col("uploader"))]).alias("note"))
+
+
+@query
+def processing_sections(spark, d):
+    steps = table(spark, d, "results").select("result_id", F.explode("diagnostics").alias("step"))
+    return render.processing_section(steps, "result_id")
+
+
+@query
+def anki_export(spark, d):
+    c = cards(spark, d)
+    return render.anki_cards(c, F.col("text"), F.col("media_id"), F.lit("card"))
+
+
+# ---------------------------------------------------------------- event stream
+
+
+@query
+def event_sessions(spark, d):
+    s = live.sessions(table(spark, d, "events"), "user_id", "ts")
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n_events")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+@query
+def event_windows(spark, d):
+    w = live.windowed_counts(table(spark, d, "events").select("ts", "event_type"), "ts", "event_type")
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
