@@ -18,11 +18,17 @@ LATIN_TO = {
 }
 _LATIN_TABLE = str.maketrans(TO_LATIN)
 
-#: Characters without a shape of their own: zero widths, joiners outside the scripts that need them, marks of direction,
-#: soft hyphen, byte-order mark, fillers, variation selectors.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻"
+#: Ranges of characters without a shape of their own: soft hyphen, joiners, fillers, zero widths, marks of
+#: direction, variation selectors, byte-order mark.
+_SHAPELESS = [
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
+    (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB),
+]
+#: The same as the inside of a character class.
+INVISIBLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SHAPELESS)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _BLANK = re.compile(r"[^\S\n]")
+_BREAK = re.compile(f"\r\n|[\r\x85{chr(0x2028)}{chr(0x2029)}]")
 
 
 def visible(text: str) -> str:
@@ -36,7 +42,7 @@ def compatible(text: str) -> str:
         out = text
     else:
         out = unicodedata.normalize("NFKC", visible(text))
-    out = re.sub("\r\n|[\r  \x85]", "\n", out)
+    out = _BREAK.sub("\n", out)
     return out if out.isascii() and "\t" not in out else _BLANK.sub(" ", out)
 
 

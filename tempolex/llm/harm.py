@@ -379,7 +379,10 @@ def fit_label_model(patterns: DataFrame, rounds: int = 6) -> LabelModel:
                 pair += (x * n[:, None]).T @ x
             yield pd.DataFrame({"s": [np.concatenate([total, fired.ravel(), bad.ravel(), pair.ravel()]).tolist()]})
 
-        got = np.sum([np.array(r["s"]) for r in patterns.mapInPandas(sums, "s array<double>").toLocalIterator()], axis=0)
+        parts = [np.array(r["s"]) for r in patterns.mapInPandas(sums, "s array<double>").toLocalIterator()]
+        if not parts:
+            return model
+        got = np.sum(parts, axis=0)
         total, fired, bad, pair = got[:2], got[2 : 2 + 3 * m].reshape(3, m), got[2 + 3 * m : 2 + 6 * m].reshape(3, m), got[2 + 6 * m :].reshape(m, m)
         share_bad = float(np.clip(total[1] / max(total[0], 1), 1e-4, 0.3))
         odds = share_bad / (1 - share_bad)

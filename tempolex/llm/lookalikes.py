@@ -9,7 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
+from ..session import free_name, stage
 from .glyphs import LATIN_TO, TO_LATIN, compatible
 
 _FOREIGN = re.compile(f"[{''.join(TO_LATIN)}]")
@@ -19,9 +19,6 @@ _SCRIPT = regex.compile(r"(\p{Latin})|(\p{Greek})|(\p{Cyrillic})")
 _SCRIPTS = ("Latin", "Greek", "Cyrillic")
 #: The same in the JVM's expressions, for the vocabulary.
 WORD = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{M}'’]+"
-MIXED = (
-    r"(?=.*\p{IsLatin})(?=.*[\p{IsGreek}\p{IsCyrillic}]).*|(?=.*\p{IsGreek})(?=.*\p{IsCyrillic}).*"
-)
 
 
 def _script(ch: str) -> str | None:
@@ -133,30 +130,30 @@ def one_form(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     the single-script tokens of all of df's texts. Only doubtful tokens are looked up, their vocabulary counted with
     partial aggregation, so no word list is sent anywhere.
 
-    Null texts have a null form. `keys` name columns that identify a row; rows with equal keys must hold equal texts.
-    The folded texts are written to the shared folder once and read twice.
+    Null texts have a null form, empty ones an empty form. All columns pass through, one named `form` is replaced.
+    `keys` name columns that identify a row; rows with equal keys must hold equal texts, rows with null keys are only
+    folded. The folded texts are written to the shared folder once and read twice.
     """
     fold = F.pandas_udf(_fold, _FOLDED)
-    base = stage(df.withColumn("_f", fold(text_col)).withColumn("_folded", F.col("_f.folded")).withColumn("_tokens", F.col("_f.tokens")).drop("_f"), "folded")
-    asked = base.where("_tokens is not null").select(*keys, "_folded", F.explode("_tokens").alias("_t")).select(*keys, "_t.*")
+    both, folded, tokens, mapped = (free_name(df, c) for c in ("both", "folded", "tokens", "mapped"))
+    base = stage(df.withColumn(both, fold(text_col)).withColumn(folded, F.col(f"{both}.folded")).withColumn(tokens, F.col(f"{both}.tokens")).drop(both), "folded")
+    asked = base.where(F.col(tokens).isNotNull()).select(*keys, F.explode(tokens).alias("_t")).select(*keys, "_t.token", "_t.readings")
     wanted = asked.select("token", F.posexplode("readings").alias("at", "reading")).dropDuplicates()
     words = (
-        base.where(F.col("_folded").rlike(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]"))
-        .select(F.explode(F.array_distinct(F.regexp_extract_all("_folded", F.lit(WORD), F.lit(0)))).alias("reading"))
+        base.where(F.col(folded).rlike(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]"))
+        .select(F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0)))).alias("reading"))
         .dropDuplicates()
     )
     known = wanted.join(words, "reading", "left_semi").groupBy("token").agg(F.min_by("reading", "at").alias("reading"))
-    mine = (
-        asked.select(*keys, "token").join(known, "token").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("token", "reading"))).alias("_map"))
-    )
-    plain = base.where("_tokens is null").withColumn("form", F.col("_folded"))
+    mine = asked.select(*keys, "token").join(known, "token").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("token", "reading"))).alias(mapped))
+    plain = base.where(F.col(tokens).isNull()).withColumn("form", F.col(folded))
     mended = (
-        base.where("_tokens is not null")
+        base.where(F.col(tokens).isNotNull())
         .join(mine, keys, "left")
-        .withColumn("form", F.pandas_udf(_substitute, "string")("_folded", F.col("_map.token"), F.col("_map.reading")))
-        .drop("_map")
+        .withColumn("form", F.pandas_udf(_substitute, "string")(folded, F.col(f"{mapped}.token"), F.col(f"{mapped}.reading")))
+        .drop(mapped)
     )
-    return plain.unionByName(mended).drop("_folded", "_tokens")
+    return plain.unionByName(mended).drop(folded, tokens)
 
 
 def alike_pairs(forms: DataFrame, id_col: str, group: list, text_col: str, kind: str, step=None) -> DataFrame:
@@ -167,7 +164,7 @@ def alike_pairs(forms: DataFrame, id_col: str, group: list, text_col: str, kind:
     of group and form only; identical stored texts pair with each other nowhere.
     """
     rows = forms.where(" and ".join(f"{c} is not null" for c in [id_col, "form", *group] + ([step] if step else []))).select(
-        F.col(id_col).cast("bigint").alias("id"),
+        F.col(id_col).cast("bigint").alias("_id"),
         *group,
         *([F.col(step).alias("_step")] if step else []),
         F.xxhash64("form").alias("_h"),
@@ -176,9 +173,9 @@ def alike_pairs(forms: DataFrame, id_col: str, group: list, text_col: str, kind:
     )
     rows = rows.dropDuplicates()
     on = [*group, "_h", "_h2"]
-    other = rows.withColumnRenamed("id", "id2").withColumnRenamed("_raw", "_raw2")
+    other = rows.withColumnRenamed("_id", "_id2").withColumnRenamed("_raw", "_raw2")
     if step:
         other = other.withColumn("_step", F.col("_step") - 1)
         on = [*on, "_step"]
-    pairs = rows.join(other, on).where("_raw <> _raw2").where("id <> id2" if step else "id < id2")
-    return pairs.select(F.lit(kind).alias("unit_kind"), F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b")).dropDuplicates()
+    pairs = rows.join(other, on).where("_raw <> _raw2").where("_id <> _id2" if step else "_id < _id2")
+    return pairs.select(F.lit(kind).alias("unit_kind"), F.least("_id", "_id2").alias("id_a"), F.greatest("_id", "_id2").alias("id_b")).dropDuplicates()

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import free_name
 from .glyphs import INVISIBLE, token_key
 
 # Fixed values, per script: marks that end a sentence whatever follows, and full stops that may also abbreviate.
@@ -32,7 +33,7 @@ _KNOWN = dict(
     for pair in "mr mrs ms dr prof st fig no vs jr+ sr+ inc+ ltd+ co+ etc+ approx ca bzw nr usw+ str sra sr srta dra pág p pp vol m mme mlle стр г+ гг ул рис".split()
 )
 
-_W = rf"\ẁ-ͯ{INVISIBLE}"
+_W = rf"\w{chr(0x300)}-{chr(0x36F)}{INVISIBLE}"
 _TOKEN = re.compile(rf"([{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*)$")
 _NEXT = re.compile(rf"[\s\"“„«»「『(（\[¿¡‹'‘—–-]*([{_W}]+)")
 _EVENT = re.compile(rf"[{STRONG}{STOP}{ELLIPSIS}]+|[\"“”„«»「」『』（）()\[\]【】〈〉《》［］‹›〔〕＂]|\n\s*\n|(?<=[ก-ฺเ-๎])[{INVISIBLE}]*\s+[{INVISIBLE}]*(?=[ก-ฺเ-๎])")
@@ -190,8 +191,9 @@ def _pairs(text: str, events: list) -> dict[int, int]:
                     found[i] = at
                     break
             continue
-        if c in _OPEN and not (c == "»"):
+        if c in _OPEN:
             stack.append((c, at))
+            del stack[:-64]
         elif c in _CLOSE:
             for k in range(len(stack) - 1, -1, -1):
                 if _ROUND.get(_OPEN.get(stack[k][0], ""), _OPEN.get(stack[k][0], "")) == c:
@@ -215,6 +217,7 @@ def boundaries(text: str, known: dict[str, str] | None = None) -> list[int]:
         return [last]
     closed = _pairs(text, events) if any(m[0] in '"＂' or m[0] in _OPEN for m in events if len(m[0]) == 1) else {}
     ends: list[int] = []
+    memo: dict[str, tuple[bool, bool]] = {}
     start = 0
     skip = -1
 
@@ -262,7 +265,7 @@ def boundaries(text: str, known: dict[str, str] | None = None) -> list[int]:
             end(to)
         elif marks & set(ELLIPSIS) or len(c) > 1:
             continue
-        elif _stop_ends(text, at, to, start, known):
+        elif _stop_ends(text, at, to, start, known, memo):
             end(to)
     if text[start:last].strip():
         ends.append(last)
@@ -300,7 +303,7 @@ def _after_closing(text: str, start: int, opened: int, shut: int, last: int, kno
     return before in ":：,，、" or blank
 
 
-def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str]) -> bool:
+def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> bool:
     """Whether the full stop at `at` ends a sentence; `to` is behind its closing marks, inside the text."""
     nxt = text[to]
     if not nxt.isspace():
@@ -321,11 +324,11 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str]) -
     shape = _shape(follows[0]) if follows else "o"
     newline = "\n" in text[to : to + 1]
     if shape == "l":
-        return "s" in known.get(token_key(follows), "") and not _abbreviates(text, token, key, known)
+        return "s" in known.get(token_key(follows), "") and not _abbreviates(text, token, key, known, memo)
     if token[-1].isdecimal():
         plain = token.isdecimal() and len(token) <= 2
         return not (shape == "u" and plain and not newline and "N" in known.get(token_key(follows), ""))
-    judged = _abbreviates(text, token, key, known)
+    judged = _abbreviates(text, token, key, known, memo)
     if not judged:
         return True
     if judged == "E":
@@ -354,7 +357,7 @@ def _elsewhere(text: str, token: str) -> tuple[bool, bool]:
     return small, bare
 
 
-def _abbreviates(text: str, token: str, key: str, known: dict[str, str]) -> str:
+def _abbreviates(text: str, token: str, key: str, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> str:
     """'' for an ordinary word, 'A' for an abbreviation, 'E' for one that may end a sentence.
 
     The document decides first: the token with a stop before a small letter or a comma is an abbreviation in all of
@@ -372,7 +375,9 @@ def _abbreviates(text: str, token: str, key: str, known: dict[str, str]) -> str:
         return "E" if inner and (corpus == "W" or token.islower()) else "A"
     if len(token) > 5:
         return _KNOWN.get(key, "")
-    before_small, bare = _elsewhere(text, token)
+    if token not in memo:
+        memo[token] = _elsewhere(text, token)
+    before_small, bare = memo[token]
     if before_small:
         return "E"
     if bare:
@@ -412,9 +417,9 @@ def _asked(texts: pd.Series) -> pd.Series:
 def sentence_ends(df: DataFrame, text_col: str, corpus: DataFrame | None = None, keys: list[str] | None = None, most_broadcast: int = 200_000) -> DataFrame:
     """df with `ends`, an array: the number of characters up to and with the last one of each sentence.
 
-    Null texts get null, empty and blank ones an empty array. `corpus` is a DataFrame of one text column over which the
-    statistics are made (default: df itself); every text is read to its end. Columns named `_w`, `_words` or `_marks`
-    must not exist; others pass through.
+    Null texts get null, empty and blank ones an empty array. Rows are taken as they come, repeated ones each for
+    itself; an empty table stays empty. All columns pass through, one named `ends` is replaced. `corpus` is a DataFrame
+    of one text column over which the statistics are made (default: df itself); every text is read to its end.
 
     The corpus's verdicts are few (see verdicts()); up to `most_broadcast` of them, counted first, go to the workers
     with the function. Beyond, each text's own words are joined with the table, for which `keys` must name columns
@@ -427,6 +432,9 @@ def sentence_ends(df: DataFrame, text_col: str, corpus: DataFrame | None = None,
         return df.withColumn("ends", _split_udf({r["word"]: r["verdict"] for r in head})(text_col))
     if not keys:
         raise ValueError("keys are needed to join more verdicts than may be broadcast")
-    need = df.where(F.col(text_col).isNotNull()).select(*keys, F.explode(F.pandas_udf(_asked, "array<string>")(text_col)).alias("_w"))
-    mine = need.join(table, need["_w"] == table["word"]).groupBy(*keys).agg(F.collect_list("word").alias("_words"), F.collect_list("verdict").alias("_marks"))
-    return df.join(mine, keys, "left").withColumn("ends", F.pandas_udf(_split_with, "array<int>")(text_col, "_words", "_marks")).drop("_words", "_marks")
+    word, words, marks = (free_name(df, c) for c in ("word", "words", "marks"))
+    need = df.where(F.col(text_col).isNotNull()).select(*keys, F.explode(F.pandas_udf(_asked, "array<string>")(text_col)).alias(word)).dropDuplicates()
+    told = need.join(table.withColumnRenamed("word", word).withColumnRenamed("verdict", marks), word)
+    mine = told.groupBy(*keys).agg(F.collect_list(word).alias(words), F.collect_list(marks).alias(marks))
+    joined = df.join(mine, keys, "left").withColumn("ends", F.pandas_udf(_split_with, "array<int>")(text_col, words, marks))
+    return joined.drop(words, marks)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from math import sqrt
 
@@ -79,6 +80,7 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
         return [(0, n, 0, "end")], forced
     overlap = max(0, min(overlap, max_size // 2))
     at, rank = _places(text)
+    strong = [k for k, r in enumerate(rank) if r >= 1]
     pieces: list[tuple[int, int, int, str]] = []
     start, fresh, lo = 0, 0, 0
     while True:
@@ -94,7 +96,8 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
         cut, kind = _choose(text, at, rank, lo, hi, fresh, limit, block)
         if kind < 1 and start < fresh:
             # A stretch that fits into a piece is not broken for the sake of the full overlap.
-            nxt = next((k for k in range(lo, len(at)) if rank[k] >= 1), None)
+            ahead = bisect_left(strong, lo)
+            nxt = strong[ahead] if ahead < len(strong) else None
             reach = at[nxt] if nxt is not None else n
             if reach - fresh <= max_size:
                 start = max(start, reach - max_size)

@@ -139,12 +139,14 @@ def candidates(text: str, roster: Roster, pattern: re.Pattern, gap: float, befor
         if boxed and not closes:
             boxed = False
         begin = m.start() if boxed or m["mark"] and start == m.start("name") else start
-        head = flat[:begin]
+        # What is right before: 240 characters tell, however long the text is.
+        low = max(0, begin - 240)
+        cut = begin
         for a, b in stamps:
-            if b <= begin and not flat[b:begin].strip(" \t>"):
-                head = flat[:a]
-        bare = re.sub(r"(?:>>|[♪♫♬~～])\s*$", "", _trail_sound(head)).rstrip(" \t")
-        line_start = not bare or bare[-1] == "\n" or head != flat[:begin] and not bare.strip()
+            if low <= b <= begin and not flat[b:begin].strip(" \t>"):
+                cut = max(a, low)
+        bare = re.sub(r"(?:>>|[♪♫♬~～])\s*$", "", _trail_sound(flat[low:cut])).rstrip(" \t")
+        line_start = bare[-1:] == "\n" or not bare.strip() and low == 0
         prior = bare.rstrip()[-1:]
         tail = re.search(r"([A-Za-z]+)\s*$", flat[max(0, begin - 16) : begin])
         kind = 0 if sep.endswith(":") else 1 if sep in ("-", "--", "—", "–") else 2 if closes else 3
