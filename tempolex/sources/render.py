@@ -69,9 +69,11 @@ def review_section(top: DataFrame, key: str) -> DataFrame:
 def replace_section(body: Column, name: str, section: Column) -> Column:
     """A note with one section put anew, at its place or at the end; doing it twice changes nothing."""
     put = F.concat(F.lit(f"## {name}\n\n"), section, F.lit("\n"))
-    pattern = rf"(?s)## {name}\n.*?(?=\n## |\z)"
-    safe = F.regexp_replace(F.regexp_replace(put, r"\\", r"\\\\\\\\"), r"\$", r"\\\\\$")
-    return F.when(body.rlike(rf"(?m)^## {name}$"), F.regexp_replace(body, F.lit(pattern), safe)).otherwise(F.concat(F.rtrim(body), F.lit("\n\n"), put))
+    parts = F.split(body, r"(?m)(?=^## )")
+    is_it = lambda p: F.startswith(p, F.lit(f"## {name}\n"))
+    # A section but the last keeps the empty line that parts it from the next.
+    there = F.transform(parts, lambda p, i: F.when(is_it(p), F.when(i == F.size(parts) - 1, put).otherwise(F.concat(put, F.lit("\n")))).otherwise(p))
+    return F.when(F.exists(parts, is_it), F.array_join(there, "")).otherwise(F.concat(F.rtrim(body), F.lit("\n\n"), put))
 
 
 def backfill(existing: Column, new: Column) -> Column:

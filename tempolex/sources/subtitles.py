@@ -15,6 +15,10 @@ def _ms(text: Column, first: int) -> Column:
     return (part(0) * 3600 + part(1) * 60 + part(2)) * 1000 + fraction
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _out(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("seq").cast("int").alias("seq"), "start_ms", "end_ms", "text")
 
@@ -29,7 +33,7 @@ def parse_cues(files: DataFrame, doc_id: str = "path", text: str = "value") -> D
     timed = blocks.where(F.col("b").rlike(rf"{_CLOCK}\s*-->\s*{_CLOCK}"))
     line = F.regexp_extract("b", r"(?m)^.*-->.*$", 0)
     body = F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)$", 1)
-    rows = timed.select("doc_id", F.col("block").alias("seq"), _ms(line, 1).alias("start_ms"), _ms(line, 5).alias("end_ms"), F.trim(F.regexp_replace(body, r"<[^<>]*>", "")).alias("text"))
+    rows = timed.select("doc_id", F.col("block").alias("seq"), _ms(line, 1).alias("start_ms"), _ms(line, 5).alias("end_ms"), _stripped(F.regexp_replace(body, r"<[^<>]*>", "")).alias("text"))
     return _out(rows)
 
 
@@ -39,7 +43,7 @@ def parse_ass(files: DataFrame, doc_id: str = "path", text: str = "value") -> Da
     times = F.regexp_extract("l", r"^Dialogue:[^,]*,([^,]*,[^,]*)", 1)
     said = F.regexp_extract("l", r"^Dialogue:(?:[^,]*,){9}(.*)$", 1)
     plain = F.regexp_replace(F.regexp_replace(said, r"\{[^{}]*\}", ""), r"\\[Nn]", "\n")
-    return _out(rows.select("doc_id", "seq", _ms(times, 1).alias("start_ms"), _ms(times, 5).alias("end_ms"), F.trim(plain).alias("text")))
+    return _out(rows.select("doc_id", "seq", _ms(times, 1).alias("start_ms"), _ms(times, 5).alias("end_ms"), _stripped(plain).alias("text")))
 
 
 def parse_player_json(files: DataFrame, doc_id: str = "path", text: str = "value") -> DataFrame:
