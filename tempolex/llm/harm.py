@@ -380,9 +380,9 @@ def fit_label_model(patterns: DataFrame, rounds: int = 6) -> LabelModel:
             yield pd.DataFrame({"s": [np.concatenate([total, fired.ravel(), bad.ravel(), pair.ravel()]).tolist()]})
 
         parts = [np.array(r["s"]) for r in patterns.mapInPandas(sums, "s array<double>").toLocalIterator()]
-        if not parts:
+        got = np.sum(parts, axis=0) if parts else np.zeros(1)
+        if not got[0]:
             return model
-        got = np.sum(parts, axis=0)
         total, fired, bad, pair = got[:2], got[2 : 2 + 3 * m].reshape(3, m), got[2 + 3 * m : 2 + 6 * m].reshape(3, m), got[2 + 6 * m :].reshape(m, m)
         share_bad = float(np.clip(total[1] / max(total[0], 1), 1e-4, 0.3))
         odds = share_bad / (1 - share_bad)
@@ -475,6 +475,9 @@ def fit_linear(units: list[str], fired: np.ndarray, target: np.ndarray, epochs:
 # ---------------------------------------------------------------- operator
 
 
+_KINDS = {"pattern": object, "unit": object, "n": "int64", "h": "int64"}
+
+
 def _training(most_silent: int, sample_chars: int):
     """Per partition: each speaking remark with its votes and number, the number of silent ones, and the silent ones of smallest hash."""
 
@@ -501,10 +504,10 @@ def _training(most_silent: int, sample_chars: int):
                 loud.clear()
         loud["", None] = n_silent
         yield frame(loud)
-        yield pd.DataFrame({"pattern": "", "unit": [u for _, u in silent], "n": 0, "h": [-h for h, _ in silent]}, columns=["pattern", "unit", "n", "h"]).astype({"n": "int64", "h": "int64"})
+        yield pd.DataFrame({"pattern": "", "unit": [u for _, u in silent], "n": 0, "h": [-h for h, _ in silent]}, columns=["pattern", "unit", "n", "h"]).astype(_KINDS)
 
     def frame(some: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"pattern": [p for p, _ in some], "unit": [u for _, u in some], "n": list(some.values()), "h": 0}).astype({"n": "int64", "h": "int64"})
+        return pd.DataFrame({"pattern": [p for p, _ in some], "unit": [u for _, u in some], "n": list(some.values()), "h": 0}).astype(_KINDS)
 
     return run
 

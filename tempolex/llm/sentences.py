@@ -336,8 +336,11 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], m
     return newline and judged != "A"
 
 
-def _elsewhere(text: str, token: str) -> tuple[bool, bool]:
-    """Whether the text has the token with a stop before a small letter or a comma, and whether it has it without one."""
+def _elsewhere(text: str, token: str, known: dict[str, str]) -> tuple[bool, bool]:
+    """Whether the text has the token with a stop before a small letter or a comma, and whether it has it without one.
+
+    A word known to start sentences in small letters tells nothing.
+    """
     small = bare = False
     at, size, n = text.find(token), len(token), len(text)
     while at >= 0:
@@ -349,8 +352,8 @@ def _elsewhere(text: str, token: str) -> tuple[bool, bool]:
                 if text[to + 1] == ",":
                     small = True
                 elif text[to + 1].isspace():
-                    rest = text[to + 1 : to + 4].lstrip()
-                    small = small or rest[:1].islower()
+                    word = _NEXT.match(text, to + 1)
+                    small = word is not None and word[1][0].islower() and "s" not in known.get(token_key(word[1]), "")
             if small:
                 return True, bare
         at = text.find(token, to)
@@ -376,7 +379,7 @@ def _abbreviates(text: str, token: str, key: str, known: dict[str, str], memo: d
     if len(token) > 5:
         return _KNOWN.get(key, "")
     if token not in memo:
-        memo[token] = _elsewhere(text, token)
+        memo[token] = _elsewhere(text, token, known)
     before_small, bare = memo[token]
     if before_small:
         return "E"

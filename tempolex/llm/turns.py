@@ -427,6 +427,8 @@ def _local_turns(model: TurnModel, with_text: bool):
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in _LOCAL.split(", ")]
     df = pd.DataFrame(rows, columns=names)
+    for c in ("speaker", "end_speaker", "text"):
+        df[c] = df[c].astype(object)
     for c in ("first_no", "last_no"):
         df[c] = df[c].astype("Int32")
     for c in ("first_id", "last_id"):
