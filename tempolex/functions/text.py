@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -16,15 +17,29 @@ _HALF = "".join(map(chr, range(0x21, 0x7F)))
 _FULL = "".join(chr(ord(c) + 0xFEE0) for c in _HALF)
 
 
-def simplify(text: Column, mode: str = "auto") -> tuple[Column, str]:
-    """Simplified characters and the mode that took effect: off, or fallback (the table above); `on` needs a dictionary."""
+def simplify(text: Column, mode: str = "auto", converter: Callable[[pd.Series], pd.Series] | None = None) -> tuple[Column, str]:
+    """Simplified characters and the mode that took effect: off, converter (the caller's), or fallback (the table above).
+
+    `on` needs a converter; `auto` takes one if given.
+    """
+    if mode not in ("auto", "on", "off"):
+        raise ValueError(f"unknown mode {mode!r}")
     if mode == "off":
         return text, "off"
+    if converter is not None:
+        return _converted(text, converter), "converter"
     if mode == "on":
-        raise RuntimeError("no conversion dictionary is installed; use auto")
+        raise RuntimeError("no conversion dictionary is installed; use auto or give a converter")
     return F.translate(text, TRADITIONAL, SIMPLIFIED), "fallback"
 
 
+def _converted(text: Column, converter: Callable[[pd.Series], pd.Series]) -> Column:
+    def run(t: pd.Series) -> pd.Series:
+        return converter(t)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def half_width(text: Column) -> Column:
     """Full-width ASCII and the ideographic blank in their usual width."""
     return F.translate(text, _FULL + "　", _HALF + " ")

@@ -60,8 +60,9 @@ def canonical_segments(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def require_ok(rows: DataFrame) -> DataFrame:
-    """Fails the job at the first row that is not ok."""
-    return rows.withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise(F.raise_error(F.concat(F.lit("segment rejected: "), F.col("status")))))
+    """Fails the job at the first row that is not ok; a filter, so that no pruning of columns removes the check."""
+    failure = F.raise_error(F.concat(F.lit("segment rejected: "), F.col("status"))).cast("boolean")
+    return rows.where(F.when(F.col("status") == "ok", F.lit(True)).otherwise(failure))
 
 
 def delivered_once(df: DataFrame, key: str) -> DataFrame:

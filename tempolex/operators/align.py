@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import MARKS
+from .intervals import overlapping
 
 #: One difference: kind as from a to b, places in both, both texts.
 SPAN = "array<struct<tag:string,a_lo:int,a_hi:int,b_lo:int,b_hi:int,a_text:string,b_text:string>>"
@@ -136,6 +137,36 @@ def score(pairs: DataFrame, case: str, hyp: str, ref: str, minutes: Column | Non
     return s.withColumn("cer", (F.col("sub") + F.col("omit") + F.col("extra")) / F.nullif("ref_chars", F.lit(0))).withColumn("hallucination_rate", F.col("hallucinated") / F.nullif("minutes", F.lit(0.0))).drop("minutes")
 
 
+def common_block(a: Column, b: Column) -> Column:
+    """Length of the longest stretch two texts share; null where either is null."""
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size for x, y in zip(xs, ys)], dtype="Int32")
+
+    return F.pandas_udf(run, "int")(a, b)
+
+
+def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, reach_ms: int = 10_000, least: int = 2) -> DataFrame:
+    """(id, gold_id, block, offset_ms): the gold piece that shares the longest stretch with a segment, and how far its start is.
+
+    Pieces are looked up within reach_ms; fewer than `least` common characters are no match. Ties go to the nearer
+    start, then the smaller gold id.
+    """
+    wide = segments.where("start_ms is not null and end_ms is not null").select(key, id_col, "text", F.col("start_ms").alias("_s"), (F.col("start_ms") - reach_ms).alias("start_ms"), (F.col("end_ms") + reach_ms).alias("end_ms"))
+    met = overlapping(wide, gold.select(key, gold_id, "text", "start_ms", "end_ms"), key)
+    scored = met.withColumn("_n", common_block(F.col("text"), F.col("r_text"))).where(F.col("_n") >= least)
+    off = F.abs(F.col("_s") - F.col("r_start_ms"))
+    best = scored.groupBy(id_col).agg(F.min(F.struct((-F.col("_n")).alias("n"), off.alias("d"), F.col(f"r_{gold_id}").alias("g"))).alias("m"))
+    return best.select(id_col, F.col("m.g").alias(gold_id), (-F.col("m.n")).alias("block"), F.col("m.d").alias("offset_ms"))
+
+
+def match_cases(hypotheses: DataFrame, gold: DataFrame, case: str = "case") -> DataFrame:
+    """Cases with both texts: (case, hyp, ref). A gold's folder and suffix do not count; a case without gold has a null ref."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(case), "^.*/", ""), r"\.[A-Za-z0-9]+$", "")
+    refs = gold.withColumn("_c", bare).groupBy("_c").agg(F.min("text").alias("ref"))
+    return hypotheses.withColumn("_c", bare).join(refs, "_c", "left").select(case, F.col("text").alias("hyp"), "ref")
+
+
 def _marks(text: str) -> list[tuple[int, str]]:
     """Each mark with the number of other characters before it."""
     out, at = [], 0

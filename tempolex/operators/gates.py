@@ -104,7 +104,8 @@ def baseline_gate(scores: DataFrame, baseline: DataFrame, keys: list[str], metri
 
 def require_recorded(gated: DataFrame) -> DataFrame:
     """Fails the job where a case has no baseline under its norm."""
-    return gated.withColumn("verdict", F.when(F.col("verdict") == "unrecorded", F.raise_error("no baseline is recorded for a case and norm")).otherwise(F.col("verdict")))
+    failure = F.raise_error(F.lit("no baseline is recorded for a case and norm")).cast("boolean")
+    return gated.where(F.when(F.col("verdict") == "unrecorded", failure).otherwise(F.lit(True)))
 
 
 def difference_gate(spans: DataFrame, least_chars: int = 1) -> DataFrame:

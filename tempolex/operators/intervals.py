@@ -57,6 +57,16 @@ def coverage(df: DataFrame, durations: DataFrame, key: str, id_col: str) -> Data
     )
 
 
+def window_means(windows: DataFrame, samples: DataFrame, key: str, window_id: str, value: str) -> DataFrame:
+    """(window_id, n, mean) of the samples' values over each window they overlap; windows without any have a null mean.
+
+    Values are added in millionths, so the mean does not depend on the order of the rows. Null values do not count.
+    """
+    met = overlapping(windows.select(key, window_id, "start_ms", "end_ms"), samples.where(F.col(value).isNotNull()).select(key, value, "start_ms", "end_ms"), key)
+    sums = met.groupBy(window_id).agg(F.count("*").alias("n"), F.sum(F.round(F.col(f"r_{value}") * 1_000_000).cast("bigint")).alias("s"))
+    return windows.select(window_id).join(sums, window_id, "left").select(window_id, F.coalesce("n", F.lit(0)).alias("n"), (F.col("s") / F.col("n") / 1_000_000).alias("mean"))
+
+
 def _buckets(a: Column, b: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(a / width).cast("bigint"), F.floor(b / width).cast("bigint")))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import bare, is_blank
 from .scan import by_number, scan
 
 # Marks at which a piece ends, particles that make a pause a question or keep it short.
@@ -70,6 +73,26 @@ def pause_marks(df: DataFrame, key: str, order: str, id_col: str, text: str = "t
     return seen.select(*df.columns, pause.alias("pause_ms"), mark.alias("mark"), F.lit("rules").alias("mode"))
 
 
+def punctuate(df: DataFrame, key: str, order: str, id_col: str, text: str = "text", backend: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """df with `readable`, its text with marks, and the mode that took effect.
+
+    `backend` maps texts to texts with marks (mode `model`); where it gives a null or changes anything but marks and
+    blanks, and without one, the pause rules stand (mode `rules`).
+    """
+    ruled = pause_marks(df, key, order, id_col, text)
+    by_rules = F.concat(F.coalesce(text, F.lit("")), "mark")
+    if backend is None:
+        return ruled.select(*df.columns, by_rules.alias("readable"), "mode")
+
+    def run(t: pd.Series) -> pd.Series:
+        return backend(t)
+
+    said = F.pandas_udf(run, "string")(F.col(text))
+    both = ruled.withColumn("_said", said)
+    sound = F.coalesce(bare(F.col("_said")) == bare(F.col(text)), F.lit(False))
+    return both.select(*df.columns, F.when(sound, F.col("_said")).otherwise(by_rules).alias("readable"), F.when(sound, "model").otherwise("rules").alias("mode"))
+
+
 def topic_chunks(df: DataFrame, key: str, order: str, id_col: str, text: str = "text", most_chars: int = 600) -> DataFrame:
     """df with chunk_no: consecutive segments of a key in chunks of about most_chars, by their running length.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import engine
 from ..functions.text import numerals, redact, simplify
 from ..model import canonical_segments, delivered_once, ms, settings_identity
 from ..operators import align, clean, fuse, gates, history, intervals, review, segmenting, validate
@@ -188,6 +189,12 @@ def lines_without_evidence(spark, d):
     return validate.lines_without_evidence(validate.lines(notes)).groupBy("path").agg(F.count("*").alias("n_lines"))
 
 
+@query
+def asset_counts(spark, d):
+    notes = table(spark, d, "documents").where("doc_kind = 'note'").select(F.col("doc_id").alias("path"), "text")
+    return engine.asset_counts(notes)
+
+
 @query
 def manifest_check(spark, d):
     r = table(spark, d, "results").select(F.col("result_id").cast("string").alias("path"), "text", "punct_mode")
@@ -242,6 +249,11 @@ def timeline_offset(spark, d):
     )
 
 
+@query
+def window_means(spark, d):
+    return intervals.window_means(cards(spark, d).where("card_id is not null"), segments(spark, d), "media_id", "card_id", "no_speech_prob")
+
+
 @query
 def chunk_plan(spark, d):
     return intervals.chunk_plan(durations(spark, d), "media_id")
@@ -298,6 +310,11 @@ def card_alignment(spark, d):
     return align.score(_cards_with_segments(spark, d), "media_id", "segment_text", "card_text")
 
 
+@query
+def gold_offsets(spark, d):
+    return align.gold_offsets(segments(spark, d).where("segment_id is not null"), cards(spark, d), "media_id", "segment_id", "card_id")
+
+
 @query
 def difference_spans(spark, d):
     rows = _cards_with_segments(spark, d).select("card_id", F.explode(align.diff_spans(F.col("segment_text"), F.col("card_text"))).alias("s"))
@@ -478,6 +495,12 @@ def media_notes(spark, d):
     return m.select("media_id", render.note(F.col("title"), {"source": F.col("media_id"), "platform": F.col("platform"), "lang": F.col("lang")}, [("Uploader", F.col("uploader"))]).alias("note"))
 
 
+@query
+def vault_index(spark, d):
+    pages = render.vault_pages(media_notes(spark, d).join(table(spark, d, "media").select("media_id", "platform"), "media_id"), "platform", "media_id", "note")
+    return pages.groupBy("topic").agg(F.count("*").alias("n_pages"), F.min("name").alias("first_page"))
+
+
 @query
 def processing_sections(spark, d):
     steps = table(spark, d, "results").select("result_id", F.explode("diagnostics").alias("step"))

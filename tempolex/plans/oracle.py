@@ -96,6 +96,8 @@ def oracle_sql() -> dict[str, str]:
     sql["forbidden_content"] = kinds
     sql["lines_without_evidence"] = """SELECT path, count(*) AS n_lines FROM (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_kind = 'note')
       WHERE trim(line) <> '' AND NOT contains(line, '#') GROUP BY path"""
+    sql["asset_counts"] = """SELECT path, count(*) FILTER (WHERE trim(line) <> '' AND ltrim(line) NOT LIKE '#%') AS n_entries FROM (
+      SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_kind = 'note') GROUP BY path"""
     sql["manifest_check"] = """SELECT CAST(result_id AS VARCHAR) AS path, 'malformed' AS failure FROM results WHERE text IS NULL
       UNION ALL SELECT CAST(result_id AS VARCHAR), 'missing' FROM results WHERE text IS NULL OR punct_mode IS NULL OR punct_mode = 'none'"""
     sql["segment_gaps"] = f"WITH {SEG}, {GAPS} SELECT * FROM gaps"
@@ -112,6 +114,9 @@ def oracle_sql() -> dict[str, str]:
     sql["frame_alignment"] = f"WITH {SEG}, {CARD}, {NEAR} SELECT card_id, segment_id, delta_ms FROM near"
     sql["timeline_offset"] = f"""WITH {SEG}, {CARD}, {NEAR} SELECT c.media_id, count(near.segment_id) AS matched, count(*) AS considered, median(delta_ms) AS median_ms, max(delta_ms) AS max_ms
       FROM card c LEFT JOIN near ON near.card_id = c.card_id WHERE c.media_id IS NOT NULL AND c.start_ms IS NOT NULL GROUP BY c.media_id"""
+    sql["window_means"] = f"""WITH {SEG}, {CARD}, j AS (SELECT card_id, count(*) AS n, sum(CAST(round(no_speech_prob * 1000000) AS BIGINT)) AS s FROM card c JOIN seg ON c.media_id = seg.media_id
+      AND c.start_ms <= seg.end_ms AND seg.start_ms <= c.end_ms WHERE c.end_ms >= c.start_ms AND seg.end_ms >= seg.start_ms AND no_speech_prob IS NOT NULL GROUP BY card_id)
+      SELECT card.card_id, coalesce(n, 0) AS n, s / n / 1000000 AS mean FROM card LEFT JOIN j ON j.card_id = card.card_id"""
     sql["chunk_plan"] = """WITH d AS (SELECT media_id, CAST(round(duration_s * 1000) AS BIGINT) AS t FROM media WHERE round(duration_s * 1000) > 0),
       n AS (SELECT media_id, t, CAST(greatest(1, ceil((t - 2000) / 598000.0)) AS INTEGER) AS n FROM d),
       k AS (SELECT media_id, t, CASE WHEN n > 1 AND (t - (n - 1) * 598000) * 4 < 600000 THEN n - 1 ELSE n END AS n FROM n)
@@ -180,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
     sql["plain_text"] = f"""WITH {SEG} SELECT result_id, CAST(floor(seg_no / 256) AS BIGINT) AS part_no, string_agg(coalesce(text, ''), '' ORDER BY seg_no, segment_id) AS text FROM seg WHERE result_id IS NOT NULL GROUP BY 1, 2"""
     sql["media_notes"] = """SELECT media_id, concat_ws(chr(10), '---' || chr(10) || concat_ws(chr(10), 'source: ' || media_id, 'platform: ' || platform, 'lang: ' || lang) || chr(10) || '---' || chr(10),
       '# ' || coalesce(title, 'untitled') || chr(10), CASE WHEN coalesce(uploader, '') <> '' THEN '## Uploader' || chr(10) || chr(10) || uploader END) AS note FROM media"""
+    sql["vault_index"] = "SELECT coalesce(platform, 'unsorted') AS topic, count(*) AS n_pages, min(media_id) AS first_page FROM media GROUP BY 1"
     labels = ", ".join(f"({q(k)}, {q(v)})" for k, v in STEP_LABELS.items())
     sql["processing_sections"] = f"""WITH l(step, label) AS (VALUES {labels}), s AS (SELECT DISTINCT result_id, unnest(diagnostics) AS step FROM results)
       SELECT result_id, '| Step |' || chr(10) || '| --- |' || chr(10) || string_agg('| ' || label || ' |', chr(10) ORDER BY label) AS section FROM s JOIN l ON l.step = s.step GROUP BY result_id"""

@@ -81,6 +81,22 @@ def backfill(existing: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(new, lambda k, v: ~F.coalesce(F.map_contains_key(existing, k), F.lit(False))), existing)
 
 
+def vault_pages(notes: DataFrame, topic: str, name: str, body: str) -> DataFrame:
+    """(topic, name, value): notes as pages of a wiki folder by topic, for write.partitionBy(topic).text; null topics are `unsorted`.
+
+    Characters that a path does not take become a dash.
+    """
+    safe = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("unsorted")), r'[\\/:*?"<>|\s]+', "-")
+    return notes.select(safe(topic).alias("topic"), safe(name).alias("name"), F.col(body).alias("value"))
+
+
+def synthesis(notes: DataFrame, topic: str, name: str, title: str) -> DataFrame:
+    """(topic, part_no, section): the index of a topic over many media, in parts of at most some hundred lines."""
+    rows = notes.withColumn("part_no", F.pmod(F.xxhash64(name), F.lit(64)).cast("int")).where(F.col(topic).isNotNull())
+    line = F.concat(F.lit("- [["), F.col(name), F.lit("]] "), F.coalesce(title, F.lit("untitled")))
+    return rows.groupBy(topic, "part_no").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("section"))
+
+
 def anki_cards(df: DataFrame, front: Column, back: Column, tags: Column) -> DataFrame:
     """One column `value` of tab-separated front, back and tags; tabs and line breaks within become blanks and <br>."""
     flat = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\t", " "), "\r?\n", "<br>")

@@ -78,3 +78,27 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select(F.col("path").alias("doc_id"), F.posexplode(F.split("value", "\n")).alias("seq", "text"))
     none = F.lit(None).cast("bigint")
     return _out(rows.select("doc_id", "seq", none.alias("start_ms"), none.alias("end_ms"), "text").where(F.trim("text") != ""))
+
+
+#: Nested metadata as fetched and dropped into a folder by another program.
+METADATA = "video_id string, title string, duration double, uploader string, subtitles array<struct<lang:string,url:string>>, chapters array<struct<title:string,`from`:double,`to`:double>>, comments array<struct<user:string,text:string,likes:bigint>>"
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata, subtitle tracks, chapters and comments of media, one JSON object per line; malformed lines fail the job."""
+    return spark.read.schema(METADATA).option("mode", "FAILFAST").json(path)
+
+
+def read_eval(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Input of a score as canonical segments: canonical or asr (JSON lines), txt, or any subtitle format."""
+    if kind == "txt":
+        return read_plain(spark, path)
+    if kind in PARSERS and kind != "json":
+        return read_subtitles(spark, path, kind)
+    if kind not in ("canonical", "asr"):
+        raise ValueError(f"unknown kind {kind!r}")
+    fields = "`from` double, `to` double, content string" if kind == "asr" else "`start` double, `end` double, text string"
+    rows = spark.read.schema(f"{fields}, doc_id string, seq int").option("mode", "FAILFAST").json(path)
+    from ..model import canonical_segments, require_ok
+
+    return _out(require_ok(canonical_segments(rows, "doc_id", "seq")).drop("status"))
