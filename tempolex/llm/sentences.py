@@ -260,7 +260,7 @@ def boundaries(text: str, known: dict[str, str] | None = None) -> list[int]:
             nxt = text[to]
             if nxt in _LIGHT and nxt not in _CLOSE:
                 continue
-            if c in "!?" and to == stop and (nxt.isalnum() and nxt.isascii()):
+            if c in "!?" and to == stop and nxt.isascii() and nxt.isalnum() and not (nxt.isupper() and text[at - 1 : at].isalpha()):
                 continue
             end(to)
         elif marks & set(ELLIPSIS) or len(c) > 1:
@@ -310,6 +310,8 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], m
         prior = text[at - 1 : at]
         if to > at + 1:
             return nxt not in _LIGHT
+        if prior.islower() and (nxt.isupper() or nxt in "\"“„«「(（¿¡"):
+            return _runs_on(text, at, to, start, known, memo)
         wide = "⺀" <= prior <= "鿿"
         return wide and not nxt.isascii() and nxt not in _LIGHT or nxt in "“「«" and prior.isalpha()
     if to > at + 1:
@@ -336,6 +338,20 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], m
     return newline and judged != "A"
 
 
+def _runs_on(text: str, at: int, to: int, start: int, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> bool:
+    """Whether a stop between a small letter and a capital, without a blank, ends a sentence whose blank was lost.
+
+    Not behind abbreviations or single letters, nor before an extension or a name in capitals.
+    """
+    token = _before(text, at, start)
+    if len(token) < 2 or not token[-2:].isalpha() or "." in token:
+        return False
+    word = _NEXT.match(text, to)
+    if word and len(word[1]) > 1 and word[1].isupper():
+        return False
+    return not _abbreviates(text, token, token_key(token), known, memo)
+
+
 def _elsewhere(text: str, token: str, known: dict[str, str]) -> tuple[bool, bool]:
     """Whether the text has the token with a stop before a small letter or a comma, and whether it has it without one.
 

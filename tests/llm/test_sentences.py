@@ -34,6 +34,8 @@ def cut(text, known=None):
         ("لماذا؟ قال المعلم: «ابدأ. والباقي». نعم.", ["لماذا؟", "قال المعلم: «ابدأ. والباقي».", "نعم."]),
         ("선생님이 “먼저. 나중.”라고 했어요. 네.", ["선생님이 “먼저. 나중.”라고 했어요.", "네."]),
         ("M. Bruvelle a dit : « Euh. Oui. » Non.", ["M. Bruvelle a dit : « Euh. Oui. »", "Non."]),
+        ("It works better.The live set.Is it?Yes! No!Well done. See a.Bc and x.MD", ["It works better.", "The live set.", "Is it?", "Yes!", "No!", "Well done.", "See a.Bc and x.MD"]),
+        ('It is over."Is it?" asked Theo.(You can skip it.) See Dr.Tamsin', ["It is over.", '"Is it?" asked Theo.', "(You can skip it.)", "See Dr.Tamsin"]),
         ("no mark at all", ["no mark at all"]),
         ("one\n\ntwo", ["one", "two"]),
         ("  \n ", []),
