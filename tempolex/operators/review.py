@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .scan import scan
+
 #: Single characters whose exchange changes nothing much.
 FUNCTION_WORDS = "的了是在和也就都着过呢吗吧啊"
 
@@ -36,11 +38,11 @@ def worksheet(df: DataFrame, key: str, id_col: str, reasons: list[tuple[str, obj
     names = F.array(*(F.lit(r) for r, _ in reasons))
     rows = df.where(f"{key} is not null").withColumn("_w", when)
     counts = rows.groupBy(key).agg(F.greatest(F.lit(least), F.floor(F.count("*") * F.lit(share))).alias("_most"), F.count("_w").alias("flagged_total"))
-    flagged = rows.where("_w is not null").select(key, id_col, "_w").join(counts, key)
-    inner = W.partitionBy(key, "_s").orderBy("_w", id_col)
-    thin = flagged.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(64))).withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= F.col("_most"))
-    ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("_w", id_col))).where(F.col("rank") <= F.col("_most"))
-    return ranked.select(key, id_col, F.element_at(names, F.col("_w") + 1).alias("reason"), "rank", "flagged_total")
+    flagged = rows.where("_w is not null").select(key, id_col, "_w")
+    # The rank by a blocked scan: the share of a key that is listed may be large, so no window holds it.
+    ranked = scan(flagged, [key], F.struct("_w", F.floor(F.col(id_col) / 1024).alias("b")), ["_w", id_col], {"rank": ("count", F.lit(1))}, inclusive=True)
+    listed = ranked.join(counts, key).where(F.col("rank") <= F.col("_most"))
+    return listed.select(key, id_col, F.element_at(names, F.col("_w") + 1).alias("reason"), F.col("rank").cast("int").alias("rank"), "flagged_total")
 
 
 def lowest_decile(df: DataFrame, key: str, id_col: str, score: str) -> DataFrame:
