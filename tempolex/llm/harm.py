@@ -196,7 +196,10 @@ def _han_disguise() -> tuple[re.Pattern, dict[str, str]]:
         each = [f"(?:{c}|{_PINYIN[c]})" if c in _PINYIN else c for c in w]
         alts.append(f"(?P<w{k}>{f'{_SEP}{{0,2}}'.join(each)})")
         back[f"w{k}"] = w
-    return re.compile("|".join(alts)), back
+    # Only where a word may begin: with its first character, or with pinyin that no Latin letter comes before.
+    first = "".join(sorted({w[0] for w in back.values()}))
+    spelt = "|".join(sorted({_PINYIN[w[0]] for w in back.values() if w[0] in _PINYIN}))
+    return re.compile(f"(?=[{first}]|(?<![a-z])(?:{spelt}))(?:{'|'.join(alts)})"), back
 
 
 _HAN, _HAN_BACK = _han_disguise()
