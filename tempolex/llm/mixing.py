@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import stage
 from .packing import byte_tokens
 
 
@@ -55,7 +56,8 @@ def mix(
     the next quotients fill the room; so the total is reached where it can be. The blocks of a source are apportioned
     in the same way to its shards (by a seeded hash of doc_id), and each shard turns its quota into whole rounds of its
     documents plus those of its first blocks in seeded order. Only counts per source and shard reach the driver, both
-    bounded by the parameters; a dominating source has as many more shards.
+    bounded by the parameters; a dominating source has as many more shards. The sizes are written to the shared folder
+    once, so the texts are read once.
 
     report: source_key, target_share, max_repeats, source_tokens, is_short (tokens * max_repeats < share * all tokens),
     quota_tokens, mixed_tokens and actual_share of what was really picked.
@@ -71,10 +73,11 @@ def mix(
         if r["norm"] is not None:
             goals[r["norm"]] = (r["source_key"], max(0.0, r["target_share"] or 0.0), max(0, r["max_repeats"] or 0))
     listed = spark.createDataFrame([(k, v[0]) for k, v in goals.items()], "norm string, source_key string")
-    sized = (
+    sized = stage(
         docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("norm"), byte_tokens(text_col).cast("bigint").alias("n_tokens"))
-        .join(F.broadcast(listed.select("norm")), "norm")
+        .join(F.broadcast(listed.select("norm")), "norm"),
+        "sizes",
     )
     sums = {r["norm"]: r["t"] for r in sized.groupBy("norm").agg(F.sum("n_tokens").alias("t")).collect()}
     total = sum(sums.values())
