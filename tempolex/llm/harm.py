@@ -89,6 +89,22 @@ VOTERS: list[tuple[str, int, str, str]] = [
     ("calm_coarse", -1, "", r"笑死我|哈哈|\blol\b|stupid bug|damn good|killed me \w+ times|我这[^。！？\n]{0,8}(?:垃圾|废物)|(?:render|idea|code|result|draft|video|mix) was (?:trash|garbage|worthless|crap)|(?:代码|结果|画质|软件|电脑|渲染|剪辑)[^。！？\n]{0,4}(?:垃圾|烂)"),
 ]
 CATEGORIES = ("insult", "threat", "hate", "sexual")
+#: English phrases as they stand in speech whose recogniser drops all blanks.
+_GLUED = {
+    "en_noun": "dumbass;asshole;scumbag",
+    "en_phrase": "piece of trash;waste of oxygen;brain dead;worthless clown;pathetic rat;pathetic excuse;braying donkey;stupid pig",
+    "en_idiom": "shut up;crawl back under;makes me vomit;nobody wants to hear your;smarter than you;delete your account;nobody asked you;go back to school you;like you would fail;uploader is a;people in this chat are",
+    "en_threat": "smash your face;deserve to be beaten;bring a knife;end up in a ditch;you will be sorry;burn together with;hope you die;until you stop talking;until you cannot walk",
+    "en_stalk": "know your street;know where you live;which school your;next time i see;post one more",
+    "en_wish": "jump off a roof;nobody would miss you;if you were gone;kill yourself;do us all a favor;go and die",
+    "en_degrade": "breed like rats;not even human;are vermin;they are animals;lazy and thieving;should be thrown out;they stink;once and for all;have no brain;when they leave;was clean before",
+    "en_sexual": "get naked;casual sex;dirty pics;her panties;strip and moan;naked on my bed;i am wet;play with myself;do her all night;him to go deeper;so horny;your tits;uncensored",
+    "en_solicit": "send me nudes;message me with pics;link in my profile;want you naked;private videos are;watch me play;bend over",
+    "calm_topic": "hate speech;topic of this;stop calling;deserves to be told;deleted those",
+    "calm_technical": "strip the wires;sex chromosomes;breast tissue",
+    "calm_coarse": "stupid bug;killed me three times;render was trash",
+}
+VOTERS = [(n, s, c, "|".join([p, *(g.replace(" ", "") for g in _GLUED[n].split(";"))]) if n in _GLUED else p) for n, s, c, p in VOTERS]
 _PATTERNS = [re.compile(p) for *_, p in VOTERS]
 _SIGN = np.array([s for _, s, _, _ in VOTERS])
 _TOPIC = [n for n, *_ in VOTERS].index("calm_topic")

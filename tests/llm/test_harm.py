@@ -24,6 +24,12 @@ def test_required_literals_are_necessary():
             assert harm.votes(u) == [k for k, p in enumerate(harm._PATTERNS) if p.search(u)]
 
 
+def test_speech_without_blanks():
+    names = lambda t: {harm.VOTERS[k][0] for u in harm.remarks(t) for k in harm.votes(u)}
+    assert "en_threat" in names("0番目の例を見ていきますsomebodyshouldsmashyourfaceuntilyoustoptalkingえっと")
+    assert names("ませんnobodydeservestobetoldtogoanddiesoideletedthoserepliesえっと") == {"en_wish", "calm_topic"}
+
+
 def test_long_speech_is_cut_around_the_remark():
     calm = "今天讲第三个例子然后看封面图" * 30
     units = harm.remarks(calm + "你就是个废物赶紧注销账号吧" + calm)
