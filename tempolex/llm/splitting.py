@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from math import sqrt
@@ -124,7 +125,11 @@ def _choose(text: str, at: list[int], rank: list[int], lo: int, hi: int, fresh:
             depth = _depths(sims)
             best = max(range(len(some)), key=lambda i: (depth[i], at[some[i]]))
             return at[some[best]], least
-    return limit, -1
+    # Not between a character and its marks.
+    cut = limit
+    while cut > fresh + 1 and unicodedata.category(text[cut]) in ("Mn", "Mc", "Me", "Cf"):
+        cut -= 1
+    return (cut if limit - cut < 16 else limit), -1
 
 
 _PIECES = "struct<forced:boolean,pieces:array<struct<start:int,end:int,repeated:int,cut:string>>>"

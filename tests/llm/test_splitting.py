@@ -62,6 +62,12 @@ def test_operator(spark):
         split_oversized(df, "unit_id", "text", 1, 0, "k")
 
 
+def test_hard_cuts_spare_combined_characters():
+    text = "e\u0301" * 100
+    pieces, _ = split_text(text, 51, 0)
+    assert rebuilt(text, pieces) == text and all(text[b - 1] == "\u0301" for _, b, *_ in pieces)
+
+
 def test_very_long_without_blanks():
     text = "字，" * 400_000
     pieces, forced = split_text(text, 2000, 120)
