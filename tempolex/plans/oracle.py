@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.text import REDACTIONS, SIMPLIFIED, TRADITIONAL
+from ..functions.text import MARKS, REDACTIONS, SIMPLIFIED, TRADITIONAL
 from ..operators.clean import FAILURES, MISREAD, NOISE
+from ..operators.fuse import PREFERENCES
 from ..operators.validate import FORBIDDEN, FORBIDDEN_SUFFIXES
 from ..sources.render import STEP_LABELS
 
@@ -46,6 +47,31 @@ NEAR = """near AS (SELECT card_id, media_id, segment_id, delta_ms FROM (SELECT c
   row_number() OVER (PARTITION BY c.card_id ORDER BY abs(c.start_ms - s.t), s.t, s.id) AS r FROM card c
   JOIN (SELECT media_id, start_ms AS t, min(segment_id) AS id FROM seg WHERE start_ms IS NOT NULL GROUP BY ALL) s
   ON c.media_id = s.media_id AND s.t BETWEEN c.start_ms - 5000 AND c.start_ms + 5000) WHERE r = 1)"""
+
+
+def _norm(expr: str) -> str:
+    """The form texts are compared in, as SQL."""
+    half = "".join(map(chr, range(0x21, 0x7F)))
+    full = "".join(chr(ord(c) + 0xFEE0) for c in half)
+    out = f"translate({expr}, {q(full + '　')}, {q(half + ' ')})"
+    out = f"regexp_replace(translate({out}, {q(MARKS)}, ''), '\\s+', '', 'g')"
+    return f"lower(translate({out}, {q(TRADITIONAL)}, {q(SIMPLIFIED)}))"
+
+
+FUSED = f"""a AS (SELECT media_id, card_id AS p, start_ms, end_ms, coalesce(text, '') AS text FROM card WHERE media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms >= start_ms),
+  b AS (SELECT media_id, segment_id AS q, start_ms, end_ms, coalesce(text, '') AS text FROM seg WHERE media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms >= start_ms),
+  own AS (SELECT b.media_id, q, arg_max(p, row(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms), -a.start_ms, p)) AS p
+    FROM a JOIN b ON a.media_id = b.media_id AND a.start_ms <= b.end_ms AND b.start_ms <= a.end_ms GROUP BY 1, 2),
+  pr AS (SELECT own.q, a.text AS x, b.text AS y FROM own JOIN a ON a.p = own.p JOIN b ON b.q = own.q),
+  cx AS (SELECT q, c, count(*) AS n FROM (SELECT q, unnest(string_split(x, '')) AS c FROM pr) GROUP BY 1, 2),
+  cy AS (SELECT q, c, count(*) AS n FROM (SELECT q, unnest(string_split(y, '')) AS c FROM pr) GROUP BY 1, 2),
+  sh AS (SELECT cx.q, sum(least(cx.n, cy.n)) AS shared FROM cx JOIN cy ON cx.q = cy.q AND cx.c = cy.c WHERE cx.c <> '' GROUP BY 1),
+  w AS (SELECT b.*, own.p, own.p IS NOT NULL AND coalesce(sh.shared, 0) < 2 AND length(b.text) >= 2 AS lost FROM b LEFT JOIN own ON own.q = b.q LEFT JOIN sh ON sh.q = b.q),
+  u AS (SELECT media_id, p, string_agg(text, '' ORDER BY start_ms, q) AS t, count(*) AS n FROM w WHERE p IS NOT NULL AND NOT lost GROUP BY 1, 2),
+  k AS (SELECT a.*, u.t, u.n, u.t IS NULL OR {_norm("u.t")} = {_norm("a.text")} OR {_norm("u.t")} = '' OR contains({_norm("a.text")}, {_norm("u.t")}) AS same FROM a LEFT JOIN u ON u.p = a.p),
+  fused AS (SELECT media_id, start_ms, end_ms, text, CASE WHEN same THEN 'subtitle' ELSE 'mixed' END AS provenance, CASE WHEN NOT same OR t <> text THEN t END AS alternative, NOT same AS needs_review,
+      CAST(NULL AS VARCHAR) AS recovered_by, p AS piece_id, coalesce(n, 0) AS n_secondary FROM k
+    UNION ALL SELECT media_id, start_ms, end_ms, text, 'asr', NULL, true, CASE WHEN p IS NOT NULL THEN 'coverage_audit' END, q, 1 FROM w WHERE p IS NULL OR lost)"""
 _MARK_END = r"[，。！？、；：,.!?;:…”\"）)」]$"
 _GOES = "^(?:但是|所以|因为|然后|而且|不过|如果)"
 _IDENTITY = ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in ("engine", "model_size", "device", "compute_type", "chunked", "diarized", "punct_mode"))
@@ -138,6 +164,15 @@ def oracle_sql() -> dict[str, str]:
       WHEN pause_ms IS NULL OR pause_ms < 100 THEN '' WHEN pause_ms >= 600 AND NOT goes THEN stop ELSE '，' END AS mark FROM m"""
     sql["topic_chunks"] = f"""WITH {SEG}, r AS (SELECT result_id, coalesce(length(text), 0) AS n, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY result_id ORDER BY seg_no, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
       FROM seg WHERE result_id IS NOT NULL) SELECT result_id, CAST(floor(b / 600) AS BIGINT) AS chunk_no, count(*) AS n_segments, sum(n) AS n_chars FROM r GROUP BY 1, 2"""
+    sql["fused_transcript"] = f"WITH {SEG}, {CARD}, {FUSED} SELECT * FROM fused"
+    sql["provenance_counts"] = f"WITH {SEG}, {CARD}, {FUSED} SELECT provenance, count(*) AS n, count(*) FILTER (WHERE needs_review) AS n_review FROM fused GROUP BY provenance"
+    near1 = NEAR.replace("5000", "1000")
+    rules = " ".join(
+        f"WHEN contains(c.text, {q(a)}) AND contains(s.text, {q(b)}) THEN row(s.text, {q(a + '→' + b)}) WHEN contains(c.text, {q(b)}) AND contains(s.text, {q(a)}) THEN row(c.text, {q(a + '→' + b)})"
+        for a, b in PREFERENCES.items() if a != b
+    )
+    sql["preferred_cards"] = f"""WITH {SEG}, {CARD}, {near1}, x AS (SELECT c.card_id, CASE {rules} END AS r FROM near JOIN card c ON c.card_id = near.card_id JOIN seg s ON s.segment_id = near.segment_id)
+      SELECT card_id, r[1] AS text, r[2] AS chosen_by FROM x WHERE r IS NOT NULL"""
     sql["source_priority"] = f"""WITH {SEG}, {CARD} SELECT media_id, 'card' AS source, count(*) AS n FROM card WHERE media_id IS NOT NULL GROUP BY media_id
       UNION ALL SELECT media_id, 'asr', count(*) FROM seg WHERE media_id IS NOT NULL AND media_id NOT IN (SELECT media_id FROM card WHERE media_id IS NOT NULL) GROUP BY media_id"""
     sql["lexicon_terms"] = r"""WITH t AS (SELECT trim(unnest([name_zh, name_en, other_name])) AS term, 0 AS priority FROM speakers
