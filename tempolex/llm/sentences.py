@@ -27,17 +27,15 @@ _LIGHT = set(",，、;；:：）)]】」』”»’")
 _QUOTATIVE = re.compile(r"(?:と|って|という|とか|라고|이라고|하고|고 |라는|など|だ|です|の|を|が|は|に|も)")
 _SAYING_HAN = re.compile(r"^[^，,。！？!?\s]{0,8}?[说問问道答喊叫想笑讲講嘆叹写寫]")
 _SAYING = re.compile(r"^(?:\W*\w+){0,3}?\W*(?:says?|said|asks?|asked|wrote|writes|replied|answered|added|shouted|told|thought)\b", re.I)
-# Abbreviations known without a corpus; those marked + may end a sentence.
-_KNOWN = dict(
-    pair.rstrip("+").rpartition("=")[0::2] if "=" in pair else (pair.rstrip("+"), "E" if pair.endswith("+") else "A")
-    for pair in "mr mrs ms dr prof st fig no vs jr+ sr+ inc+ ltd+ co+ etc+ approx ca bzw nr usw+ str sra sr srta dra pág p pp vol m mme mlle стр г+ гг ул рис".split()
-)
+# Abbreviations known without a corpus, those that never end a sentence and those that may.
+_NEVER = "mr mrs ms dr prof st fig no vs approx ca bzw nr str sra sr srta dra pág p pp vol m mme mlle стр гг ул рис"
+_MAY = "jr inc ltd co etc usw г"
+_KNOWN = {token_key(w): v for words, v in ((_NEVER, "A"), (_MAY, "E")) for w in words.split()}
 
 _W = rf"\w{chr(0x300)}-{chr(0x36F)}{INVISIBLE}"
 _TOKEN = re.compile(rf"([{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*)$")
 _NEXT = re.compile(rf"[\s\"“„«»「『(（\[¿¡‹'‘—–-]*([{_W}]+)")
 _EVENT = re.compile(rf"[{STRONG}{STOP}{ELLIPSIS}]+|[\"“”„«»「」『』（）()\[\]【】〈〉《》［］‹›〔〕＂]|\n\s*\n|(?<=[ก-ฺเ-๎])[{INVISIBLE}]*\s+[{INVISIBLE}]*(?=[ก-ฺเ-๎])")
-_LAST = rf"[\s{INVISIBLE}]*$"
 
 
 def _before(text: str, at: int, start: int = 0) -> str:
@@ -223,8 +221,9 @@ def boundaries(text: str, known: dict[str, str] | None = None) -> list[int]:
 
     def end(at: int) -> None:
         nonlocal start
-        if text[start:at].strip():
-            ends.append(at)
+        if said := text[start:at].rstrip():
+            if said.strip():
+                ends.append(start + len(said))
         start = at
 
     for m in events:
