@@ -48,7 +48,7 @@ def test_cases(text, want):
 
 def test_ends_count_characters_and_leave_out_blanks():
     assert boundaries("Ｄｒ. A came.  \n B.  ") == [11, 17]
-    assert boundaries("one  \n\n two ") == [3, 10]
+    assert boundaries("one  \n\n two ") == [3, 11]
     assert boundaries("边​界。好。") == [4, 6]
 
 
