@@ -21,6 +21,15 @@ CHUNK = """chunk AS (SELECT chunk_id, any_value(result_id) AS result_id, any_val
 HIST = """h AS (SELECT media_id AS "case", model_size AS norm, created_at, result_id, elapsed FROM results)"""
 
 
+#: Types of the columns that sums and counts would widen.
+_TYPES = {
+    "short_fragment_merge": {"piece_no": "BIGINT"}, "card_runs": {"run_no": "BIGINT"}, "retry_windows": {"rank": "INTEGER"}, "interval_coverage": {"covered_ms": "BIGINT"},
+    "coverage_repair": {"before_ms": "BIGINT", "after_ms": "BIGINT"}, "cards_over_segments": {"overlap_ms": "BIGINT"}, "completeness_report": {"n_changes": "BIGINT", "covered_ms": "BIGINT"},
+    "topic_chunks": {"n_chars": "BIGINT"}, "lexicon_terms": {"rank": "INTEGER"}, "edit_distances": {"distance": "INTEGER"}, "repeated_ngrams": {"repeats": "INTEGER"},
+    "char_overlap": {"n_shared": "INTEGER", "n_chars": "INTEGER"}, "refine_candidates": {"rank": "INTEGER"}, "run_summary": {"n_chars": "BIGINT", "n_steps": "INTEGER"}, "worksheet_flags": {"rank": "INTEGER"},
+}
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -229,4 +238,6 @@ def oracle_sql() -> dict[str, str]:
     sql["event_sessions"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM s GROUP BY user_id, k"""
     sql["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+    for name, types in _TYPES.items():
+        sql[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql[name]})"
     return sql
