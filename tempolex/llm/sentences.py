@@ -134,7 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verdicts(texts: DataFrame) -> DataFrame:
     """What the corpus decides: (word, verdict), only for words whose evidence departs from an ordinary word.
 
-    A: abbreviation that never ends a sentence; E: one that may; W: ordinary word although short; s: word that starts
+    A: abbreviation that is not seen to end a sentence; E: one that may; T: title, before names only; W: ordinary word although short; s: word that starts
     sentences in lower case; N: capitalised word that follows numbers with a stop and starts no sentence (months).
     Counts are summed in Python per partition, then by word: one shuffle of distinct words.
     """
@@ -144,13 +144,15 @@ def verdicts(texts: DataFrame) -> DataFrame:
     before = F.col("k_l") + F.col("k_c") + F.col("k_d")
     total = before + F.col("k_u") + F.col("k_o") + F.col("k_q") + F.col("k_e")
     short = (F.length("word") <= 8) & ~F.col("word").rlike(r"\d")
-    abbreviates = short & (
-        ((total >= 2) & (before >= 0.5 * total) & (F.col("k_e") <= 0.34 * total)) | ((total >= 20) & (F.length("word") <= 4) & (F.col("k_e") + F.col("k_o") + F.col("k_q") == 0) & (F.col("k_p") <= 0.05 * total))
+    goes_on = short & (total >= 2) & (before >= 0.5 * total) & (F.col("k_e") <= 0.34 * total)
+    abbreviates = goes_on | short & (
+        ((total >= 20) & (F.length("word") <= 4) & (F.col("k_e") + F.col("k_o") + F.col("k_q") == 0) & (F.col("k_p") <= 0.05 * total))
     )
     ends = F.col("k_e") >= 0.02 * total
     verdict = (
         F.when(abbreviates & ends, "E")
-        .when(abbreviates, "A")
+        .when(goes_on, "A")
+        .when(abbreviates, "T")
         .when(short & (F.length("word") <= 4) & (total >= 5) & ends & (before < 0.5 * total), "W")
     )
     starts = F.when(F.col("k_low") >= 3, "s").when(
@@ -332,9 +334,20 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], m
     judged = _abbreviates(text, token, key, known, memo)
     if not judged:
         return True
+    if judged == "A" and shape == "u" and len(key) > 1 and key not in _KNOWN and _common(text, follows):
+        return True
     if judged == "E":
         return shape != "d"
-    return newline and judged != "A"
+    return False
+
+
+def _common(text: str, word: str) -> bool:
+    """Whether the document shows that a capitalised word is no name: it stands in it in small letters, and nowhere
+    capitalised behind a small word."""
+    small = word.lower()
+    if small == word or not re.search(rf"(?<![{_W}]){re.escape(small)}(?![{_W}])", text):
+        return False
+    return not re.search(rf"[a-zа-яà-ÿ,] {re.escape(word)}(?![{_W}])", text)
 
 
 def _runs_on(text: str, at: int, to: int, start: int, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> bool:
@@ -376,7 +389,7 @@ def _elsewhere(text: str, token: str, known: dict[str, str]) -> tuple[bool, bool
 
 
 def _abbreviates(text: str, token: str, key: str, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> str:
-    """'' for an ordinary word, 'A' for an abbreviation, 'E' for one that may end a sentence.
+    """'' for an ordinary word, 'A' or 'T' for an abbreviation, 'E' for one that may end a sentence.
 
     The document decides first: the token with a stop before a small letter or a comma is an abbreviation in all of
     it, the token without a stop an ordinary word. Then the corpus, then what is known without one.
@@ -384,9 +397,9 @@ def _abbreviates(text: str, token: str, key: str, known: dict[str, str], memo: d
     if len(token) > 12:
         return ""
     verdict = known.get(key, "")
-    corpus = next((v for v in verdict if v in "AEW"), "")
+    corpus = next((v for v in verdict if v in "AETW"), "")
     initials = _is_initials(token)
-    if corpus in ("A", "E"):
+    if corpus in ("A", "E", "T"):
         return corpus
     if initials:
         inner = "." in token or "．" in token

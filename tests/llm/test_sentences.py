@@ -63,6 +63,13 @@ def test_the_document_decides_before_the_corpus():
     assert cut("The st is here. Take st. Next.") == ["The st is here.", "Take st.", "Next."]
 
 
+def test_names_and_common_words_behind_an_abbreviation():
+    known = {"u.s": "A", "dr": "T"}
+    assert cut("He left the U.S. The plane was the last.", known) == ["He left the U.S.", "The plane was the last."]
+    assert cut("He joined the U.S. Army there. The army is large, so the Army said.", known)[0] == "He joined the U.S. Army there."
+    assert cut("Ask Dr. Will first. We will see.", known) == ["Ask Dr. Will first.", "We will see."]
+
+
 def test_verdicts(spark):
     t = ["We wait 5 min. before it, min. after it. The min we had. Am 3. Mai ist es.\nAm 4. Mai auch! vidkit a. ok? vidkit b! vidkit c"] * 5 + ["Der Fall. Es geht.\nIm Fall. Ja."]
     got = {r["word"]: r["verdict"] for r in verdicts(spark.createDataFrame([(x,) for x in t], "t string")).collect()}
