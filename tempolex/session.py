@@ -25,9 +25,11 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the setting is absent (single machine)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="tempolex-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
