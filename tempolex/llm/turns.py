@@ -212,10 +212,8 @@ class Fillers:
     def __post_init__(self) -> None:
         p = filler_pattern(self.words)
         self.only = re.compile(rf"(?:[\W_]*{p})*[\W_]*", re.I)
-        self.find = re.compile(rf"(?<![^\W\d_a-zA-Z])(?<![A-Za-z]){p}(?:[，,、\s…~～]*{p})*(?![A-Za-z])|{p}", re.I)
-        latin = [w for w in self.words if w.isascii()]
+        self.find = re.compile(rf"(?<![A-Za-z]){p}(?![A-Za-z])", re.I)
         self.order = {token_key(w): i for i, w in enumerate(sorted(set(self.words)))}
-        del latin
 
     def nothing_else(self, speech: str) -> bool:
         key = re.sub(rf"[{INVISIBLE}]", "", speech).lower()
