@@ -22,7 +22,7 @@ _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "
 _CLOSE = set(_OPEN.values()) | {"’"}
 _ROUND = {"（": "(", "）": ")", "［": "[", "］": "]"}
 _BRACKETS = set("（([【［〔")
-_LIGHT = set(",，、;；:：）)]】」』”»’")
+_LIGHT = set(",，、،;；؛:：）)]】」』”»’")
 # Particles that carry a sentence on after a quotation, and verbs of saying.
 _QUOTATIVE = re.compile(r"(?:と|って|という|とか|라고|이라고|하고|고 |라는|など|だ|です|の|を|が|は|に|も)")
 _SAYING_HAN = re.compile(r"^[^，,。！？!?\s]{0,8}?[说問问道答喊叫想笑讲講嘆叹写寫]")
@@ -93,7 +93,7 @@ def evidence(text: str, into: Counter) -> None:
         blank, after = m[1], m[2]
         number = text[m.start() - 1].isdecimal()
         if not blank and after:
-            if after in ",，;；":
+            if after in ",，،;；؛":
                 kind = "c"
             else:
                 continue
