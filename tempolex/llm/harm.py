@@ -233,13 +233,20 @@ def unmask(text: str) -> str:
         t = _INITIAL.sub(lambda m: _INITIALS[m[0]] if re.search("[一-鿿]", t) else m[0], t)
     t = _SPELT.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), t)
     if re.search(r"[0-9@$!|]", t):
-        t = _LEETED.sub(lambda m: _known(m[0].rstrip("!|").translate(_LEET)) + m[0][len(m[0].rstrip("!|")) :] if _known(m[0].rstrip("!|").translate(_LEET)) else m[0], t)
+        t = _LEETED.sub(lambda m: _unleeted(m[0]), t)
     t = _DRAWN.sub(lambda m: _undrawn(m[0]), t)
     if "**" in t:
         t = _MASKED.sub(lambda m: _unmasked(m[0]), t)
     return t
 
 
+def _unleeted(token: str) -> str:
+    """The word a token of letters, digits and signs stands for, if the lexicon has it; marks at its end stay."""
+    core = token.rstrip("!|")
+    word = _known(core.translate(_LEET))
+    return word + token[len(core) :] if word else token
+
+
 def _known(word: str) -> str:
     if word in _VOCAB:
         return word
