@@ -358,12 +358,23 @@ def lexicon_terms(spark, d):
     return fuse.lexicon([(0, names), (1, titles)], noise=["the", "of", "and"])
 
 
+def _neighbours(spark, d):
+    rows = segments(spark, d)
+    return scan(rows, ["result_id"], by_number("seg_no"), ["seg_no", "segment_id"], {"b": ("last", F.struct("text"))})
+
+
 @query
 def edit_distances(spark, d):
-    rows = segments(spark, d)
-    seen = scan(rows, ["result_id"], by_number("seg_no"), ["seg_no", "segment_id"], {"b": ("last", F.struct("text"))})
+    """Pairs in ASCII only, as its SQL twin has them; neighbour_distances has all."""
     ascii_ = lambda c: F.col(c).rlike(r"^[\x00-\x7F]*$")
-    return seen.where(ascii_("text") & ascii_("b.text")).select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
+    return _neighbours(spark, d).where(ascii_("text") & ascii_("b.text")).select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
+
+
+@query
+def neighbour_distances(spark, d):
+    """Character edit distance of every segment to the one before it in its run, in any script, where neither text is null."""
+    pairs = _neighbours(spark, d).where("text is not null and b.text is not null")
+    return pairs.select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
 
 
 @query

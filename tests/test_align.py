@@ -162,3 +162,25 @@ def test_decile_and_decisions(spark):
     assert sorted(r["i"] for r in review.lowest_decile(df, "k", "i", "s").collect()) == [0, 10, 20, 30]
     v = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (4, None)], "d bigint, v int")
     assert {r["d"]: r["decision"] for r in review.decisions(v, "d", "v").collect()} == {1: "unresolved", 2: "correct", 3: "keep", 4: None}
+
+
+def test_distances_of_neighbours_in_any_script(spark, data):
+    from tempolex.plans import catalog
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    rows = [r for r in catalog.segments(spark, data).collect() if r["result_id"] is not None]
+    number = lambda v: (v is not None, v)
+    rows.sort(key=lambda r: (r["result_id"], number(r["seg_no"]), number(r["segment_id"])))
+    pairs = [(b["segment_id"], a["text"], b["text"]) for a, b in zip(rows, rows[1:]) if a["result_id"] == b["result_id"] and a["text"] is not None and b["text"] is not None]
+    got = sorted(map(tuple, catalog.neighbour_distances(spark, data).collect()), key=str)
+    assert got == sorted(((i, distance(a, b)) for i, a, b in pairs), key=str)
+    assert sum(not (a + b).isascii() for _, a, b in pairs) > len(pairs) / 2
+    few = set(map(tuple, catalog.edit_distances(spark, data).collect()))
+    assert few < set(got)
