@@ -35,6 +35,7 @@ _KNOWN = {token_key(w): v for words, v in ((_NEVER, "A"), (_MAY, "E")) for w in
 _W = rf"\w{chr(0x300)}-{chr(0x36F)}{INVISIBLE}"
 _TOKEN = re.compile(rf"([{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*)$")
 _NEXT = re.compile(rf"[\s\"“„«»「『(（\[¿¡‹'‘—–-]*([{_W}]+)")
+_MID = re.compile(r"[a-zа-яà-ÿ] $")
 _EVENT = re.compile(rf"[{STRONG}{STOP}{ELLIPSIS}]+|[\"“”„«»「」『』（）()\[\]【】〈〉《》［］‹›〔〕＂]|\n\s*\n|(?<=[ก-ฺเ-๎])[{INVISIBLE}]*\s+[{INVISIBLE}]*(?=[ก-ฺเ-๎])")
 
 
@@ -336,11 +337,22 @@ def _stop_ends(text: str, at: int, to: int, start: int, known: dict[str, str], m
         return True
     if judged == "A" and shape == "u" and len(key) > 1 and key not in _KNOWN and _common(text, follows):
         return True
-    if judged == "E":
+    if judged == "D" and shape == "u":
+        return not _name(text, follows)
+    if judged in ("E", "D"):
         return shape != "d"
     return False
 
 
+def _name(text: str, word: str) -> bool:
+    """Whether the document shows that a capitalised word is a name: it stands in it capitalised behind a small word or
+    a comma, and nowhere in small letters."""
+    small = word.lower()
+    if small != word and re.search(rf"(?<![{_W}]){re.escape(small)}(?![{_W}])", text):
+        return False
+    return re.search(rf"[a-zа-яà-ÿ,] {re.escape(word)}(?![{_W}])", text) is not None
+
+
 def _common(text: str, word: str) -> bool:
     """Whether the document shows that a capitalised word is no name: it stands in it in small letters, and nowhere
     capitalised behind a small word."""
@@ -367,14 +379,17 @@ def _runs_on(text: str, at: int, to: int, start: int, known: dict[str, str], mem
 def _elsewhere(text: str, token: str, known: dict[str, str]) -> tuple[bool, bool]:
     """Whether the text has the token with a stop before a small letter or a comma, and whether it has it without one.
 
-    A word known to start sentences in small letters tells nothing.
+    A word known to start sentences in small letters tells nothing, nor does a capitalised one or a single letter
+    without a stop, unless a small letter stands before it: at a start it may be another word (No, A).
     """
     small = bare = False
     at, size, n = text.find(token), len(token), len(text)
     while at >= 0:
         to = at + size
         if not (at and (text[at - 1].isalnum() or text[at - 1] in STOP)):
-            if to == n or not (text[to].isalnum() or text[to] in STOP):
+            if (size == 1 or token[0].isupper()) and not _MID.search(text, max(0, at - 3), at):
+                pass
+            elif to == n or not (text[to].isalnum() or text[to] in STOP):
                 bare = True
             elif text[to] in STOP and to + 1 < n:
                 if text[to + 1] == ",":
@@ -388,34 +403,34 @@ def _elsewhere(text: str, token: str, known: dict[str, str]) -> tuple[bool, bool
     return small, bare
 
 
+def _shown(text: str, token: str, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> tuple[bool, bool]:
+    """_elsewhere(), looked up once per text."""
+    if token not in memo:
+        memo[token] = _elsewhere(text, token, known)
+    return memo[token]
+
+
 def _abbreviates(text: str, token: str, key: str, known: dict[str, str], memo: dict[str, tuple[bool, bool]]) -> str:
-    """'' for an ordinary word, 'A' or 'T' for an abbreviation, 'E' for one that may end a sentence.
+    """'' for an ordinary word, 'A' or 'T' for an abbreviation, 'E' for one that may end a sentence, 'D' for one that
+    only the document shows.
 
-    The document decides first: the token with a stop before a small letter or a comma is an abbreviation in all of
-    it, the token without a stop an ordinary word. Then the corpus, then what is known without one.
+    The document decides first, for tokens of every length: one with a stop before a small letter or a comma is an
+    abbreviation in all of it, else one without a stop an ordinary word. Then the corpus, then what is known without
+    one; for an abbreviation of the document these only tell the kind.
     """
-    if len(token) > 12:
+    before_small, bare = _shown(text, token, known, memo)
+    if bare and not before_small:
         return ""
     verdict = known.get(key, "")
     corpus = next((v for v in verdict if v in "AETW"), "")
-    initials = _is_initials(token)
     if corpus in ("A", "E", "T"):
         return corpus
-    if initials:
+    if _is_initials(token):
         inner = "." in token or "．" in token
         return "E" if inner and (corpus == "W" or token.islower()) else "A"
-    if len(token) > 5:
-        return _KNOWN.get(key, "")
-    if token not in memo:
-        memo[token] = _elsewhere(text, token, known)
-    before_small, bare = memo[token]
     if before_small:
-        return "E"
-    if bare:
-        return ""
-    if corpus == "W":
-        return ""
-    return _KNOWN.get(key, "")
+        return _KNOWN.get(key, "D")
+    return "" if corpus == "W" else _KNOWN.get(key, "")
 
 
 def _split_udf(known: dict[str, str]):

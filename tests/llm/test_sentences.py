@@ -63,6 +63,19 @@ def test_the_document_decides_before_the_corpus():
     assert cut("The st is here. Take st. Next.") == ["The st is here.", "Take st.", "Next."]
 
 
+def test_the_document_overrides_contradicting_verdicts():
+    # The corpus takes an ordinary word for an abbreviation, of whatever length.
+    for word, verdict in (("min", "A"), ("min", "E"), ("vitamin", "A"), ("st", "T"), ("K", "A")):
+        assert cut(f"The {word} is here. Take {word}. Next.", {word.lower(): verdict}) == [f"The {word} is here.", f"Take {word}.", "Next."]
+    # The corpus takes an abbreviation of the document for an ordinary word; only a name goes on behind it.
+    for word in ("ref", "approxim", "superintendent"):
+        told = {word: "W"}
+        assert cut(f"The {word}. it helps. We saw Oakley there. Ask {word}. Oakley now. Read {word}. Next.", told) == [f"The {word}. it helps.", "We saw Oakley there.", f"Ask {word}. Oakley now.", f"Read {word}.", "Next."]
+        assert cut(f"The {word}. it helps. So says Well. All is well. Ask {word}. Well now.", told)[-2:] == [f"Ask {word}.", "Well now."]
+    # Words and initials at a start of a sentence show nothing.
+    assert cut("No, we wait. A plane came. See No. 25 by A. Marlow.", {"no": "A"}) == ["No, we wait.", "A plane came.", "See No. 25 by A. Marlow."]
+
+
 def test_names_and_common_words_behind_an_abbreviation():
     known = {"u.s": "A", "dr": "T"}
     assert cut("He left the U.S. The plane was the last.", known) == ["He left the U.S.", "The plane was the last."]
