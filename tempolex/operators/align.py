@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import MARKS
-from .intervals import overlapping
 
 #: One difference: kind as from a to b, places in both, both texts.
 SPAN = "array<struct<tag:string,a_lo:int,a_hi:int,b_lo:int,b_hi:int,a_text:string,b_text:string>>"
@@ -146,18 +149,87 @@ def common_block(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "int")(a, b)
 
 
-def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, reach_ms: int = 10_000, least: int = 2) -> DataFrame:
-    """(id, gold_id, block, offset_ms): the gold piece that shares the longest stretch with a segment, and how far its start is.
+def _best_blocks(own: list[dict], gold: list[dict], least: int) -> list[tuple]:
+    """(id, gold id, block, distance) of each segment that shares `least` characters or more with a piece of gold.
 
-    Pieces are looked up within reach_ms; fewer than `least` common characters are no match. Ties go to the nearer
-    start, then the smaller gold id.
+    The pieces are looked up in one text, parted by a character that no segment has; two pointers over a segment find
+    the length of its longest block, the places of all blocks of that length give the pieces.
     """
-    wide = segments.where("start_ms is not null and end_ms is not null").select(key, id_col, "text", F.col("start_ms").alias("_s"), (F.col("start_ms") - reach_ms).alias("start_ms"), (F.col("end_ms") + reach_ms).alias("end_ms"))
-    met = overlapping(wide, gold.select(key, gold_id, "text", "start_ms", "end_ms"), key)
-    scored = met.withColumn("_n", common_block(F.col("text"), F.col("r_text"))).where(F.col("_n") >= least)
-    off = F.abs(F.col("_s") - F.col("r_start_ms"))
-    best = scored.groupBy(id_col).agg(F.min(F.struct((-F.col("_n")).alias("n"), off.alias("d"), F.col(f"r_{gold_id}").alias("g"))).alias("m"))
-    return best.select(id_col, F.col("m.g").alias(gold_id), (-F.col("m.n")).alias("block"), F.col("m.d").alias("offset_ms"))
+    size = max(least, 6)
+    used = {c for r in own for c in r["text"]}
+    part = next(c for c in map(chr, range(0x10FFFF)) if c not in used)
+    whole = part.join(r["text"] for r in gold)
+    starts = [0, *accumulate(len(r["text"]) + 1 for r in gold)][:-1]
+    short = {whole[i : i + least] for i in range(len(whole) - least + 1)}
+    grams = {whole[i : i + size] for i in range(len(whole) - size + 1)}
+    out = []
+    for r in own:
+        t = r["text"]
+        most, blocks = least - 1, set()
+        for i in range(len(t) - least + 1):
+            if t[i : i + least] not in short:
+                continue
+            while (to := i + max(most, least - 1) + 1) <= len(t) and (to - i < size or t[to - size : to] in grams) and t[i:to] in whole:
+                most, blocks = to - i, set()
+            if most >= least and i + most <= len(t) and (most < size or t[i + most - size : i + most] in grams):
+                blocks.add(t[i : i + most])
+        best = None
+        for block in blocks:
+            at = whole.find(block)
+            while at >= 0:
+                g = gold[bisect_right(starts, at) - 1]
+                rank = (abs(r["s"] - g["s"]), g["id"] is not None, g["id"])
+                if best is None or rank < best:
+                    best = rank
+                at = whole.find(block, at + 1)
+        if best:
+            out.append((r["id"], best[2], most, best[0]))
+    return out
+
+
+def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2, block_rows: int = 2048) -> DataFrame:
+    """(id, gold_id, block, offset_ms): the gold piece of the key that shares the longest stretch with a segment, and how far its start is.
+
+    All pieces of the key are looked at, however far; fewer than `least` common characters are no match. Ties go to the
+    nearer start, then the smaller gold id. Rows without key, start or text take no part. Both sides of a key are dealt
+    into blocks of about block_rows, and a task takes one block of each.
+    """
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.where(f"{key} is not null and start_ms is not null and text is not null").select(key, F.col(name).alias("id"), F.col("start_ms").alias("s"), "text")
+        return rows, rows.groupBy(key).agg(F.ceil(F.count("*") / block_rows).alias("_n"))
+
+    def spread(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("id", "s", "text"), F.col(f"_n{mine}")).alias(f"_b{mine}")
+        return rows.join(sizes, key).select(key, "id", "s", "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n{other}") - 1)).alias(f"_b{other}"))
+
+    a, na = dealt(segments, id_col)
+    b, nb = dealt(gold, gold_id)
+    sizes = na.withColumnRenamed("_n", "_na").join(nb.withColumnRenamed("_n", "_nb"), key)
+    types = pa.schema([("id", to_arrow_type(a.schema["id"].dataType)), ("g", to_arrow_type(b.schema["id"].dataType)), ("n", pa.int32()), ("d", pa.int64())])
+
+    def run(own: pa.Table, pieces: pa.Table) -> pa.Table:
+        rows = _best_blocks(own.to_pylist(), pieces.to_pylist(), least)
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], schema=types)
+
+    on = [key, "_ba", "_bb"]
+    kind = f"id {a.schema['id'].dataType.simpleString()}, g {b.schema['id'].dataType.simpleString()}, n int, d bigint"
+    met = spread(a, "a", "b").groupBy(*on).cogroup(spread(b, "b", "a").groupBy(*on)).applyInArrow(run, kind)
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "d", "g")).alias("m"))
+    return best.select(F.col("id").alias(id_col), F.col("m.g").alias(gold_id), (-F.col("m.n")).alias("block"), F.col("m.d").alias("offset_ms"))
+
+
+def timeline_offset(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2) -> DataFrame:
+    """(key, matched, considered, median_ms, max_ms): the gold_offsets() of each key that has gold, summed up.
+
+    Segments with an id, a start and a text are considered; ids must be unique. A key none of whose segments match has
+    null offsets.
+    """
+    rows = segments.where(f"{id_col} is not null and start_ms is not null and text is not null").join(gold.select(key).distinct(), key, "left_semi")
+    off = gold_offsets(rows, gold, key, id_col, gold_id, least)
+    return rows.select(key, id_col).join(off, id_col, "left").groupBy(key).agg(
+        F.count("offset_ms").alias("matched"), F.count("*").alias("considered"), F.median("offset_ms").alias("median_ms"), F.max("offset_ms").alias("max_ms")
+    )
 
 
 def match_cases(hypotheses: DataFrame, gold: DataFrame, case: str = "case") -> DataFrame:

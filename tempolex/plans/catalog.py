@@ -242,6 +242,7 @@ def frame_alignment(spark, d):
 
 @query
 def timeline_offset(spark, d):
+    """By nearest start within 5 s, as its SQL twin has it; gold_timeline_offset aligns by text, at any distance."""
     c = cards(spark, d).where("media_id is not null and start_ms is not null").select("card_id", "media_id")
     near = frame_alignment(spark, d)
     return c.join(near, "card_id", "left").groupBy("media_id").agg(
@@ -315,6 +316,11 @@ def gold_offsets(spark, d):
     return align.gold_offsets(segments(spark, d).where("segment_id is not null"), cards(spark, d), "media_id", "segment_id", "card_id")
 
 
+@query
+def gold_timeline_offset(spark, d):
+    return align.timeline_offset(segments(spark, d), cards(spark, d), "media_id", "segment_id", "card_id")
+
+
 @query
 def difference_spans(spark, d):
     rows = _cards_with_segments(spark, d).select("card_id", F.explode(align.diff_spans(F.col("segment_text"), F.col("card_text"))).alias("s"))

@@ -184,3 +184,31 @@ def test_distances_of_neighbours_in_any_script(spark, data):
     assert sum(not (a + b).isascii() for _, a, b in pairs) > len(pairs) / 2
     few = set(map(tuple, catalog.edit_distances(spark, data).collect()))
     assert few < set(got)
+
+
+def test_offsets_at_any_distance(spark):
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 14)))
+    kind = "m string, id bigint, start_ms bigint, end_ms bigint, text string"
+    own = [(f"m{i % 3}", i, rng.randrange(200_000), None, text()) for i in range(60)] + [("m9", 60, 0, 1, "abc"), ("m0", 61, 0, 1, None), (None, 62, 0, 1, "abcd")]
+    gold = [(f"m{i % 3}", i, rng.randrange(200_000), None, text()) for i in range(50)] + [("m0", 50, None, 0, "abcdefgh"), ("m0", 51, 5, 9, None)]
+    want = []
+    for m, i, s, _, t in own:
+        near = []
+        for k, g, u, _, v in gold:
+            if m == k and None not in (t, u, v) and (n := SequenceMatcher(None, t, v, autojunk=False).find_longest_match().size) >= 2:
+                near.append((-n, abs(s - u), g))
+        if near:
+            want.append((i, min(near)[2], -min(near)[0], min(near)[1]))
+    a, b = spark.createDataFrame(own, kind), spark.createDataFrame(gold, kind).withColumnRenamed("id", "g")
+    for rows in (2048, 7):
+        assert sorted(map(tuple, align.gold_offsets(a, b, "m", "id", "g", block_rows=rows).collect())) == want
+    assert max(w[3] for w in want) > 10_000
+
+
+def test_timeline_offset_of_a_shifted_medium(spark):
+    kind = "m string, id bigint, start_ms bigint, end_ms bigint, text string"
+    words = ["red apples", "blue chairs", "old green doors", "6789"]
+    a = spark.createDataFrame([("m", i, i * 2000 + 30_000, i * 2000 + 31_000, w) for i, w in enumerate(words)] + [("n", 9, 0, 1, "x"), ("o", 10, 0, 1, "pq")], kind)
+    b = spark.createDataFrame([("m", i, i * 2000, i * 2000 + 1000, w) for i, w in enumerate(words[:3])] + [("o", 10, 0, 1, "rs")], kind)
+    assert sorted(map(tuple, align.timeline_offset(a, b, "m", "id", "id").collect())) == [("m", 3, 4, 30_000.0, 30_000), ("o", 0, 1, None, None)]
