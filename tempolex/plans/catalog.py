@@ -277,9 +277,17 @@ def completeness_report(spark, d):
 
 @query
 def resegmented(spark, d):
+    """Cut by characters, as its SQL twin has it; resegmented_words cuts at words only."""
     return segmenting.recut(segments(spark, d).where("segment_id is not null"), ["segment_id"])
 
 
+@query
+def resegmented_words(spark, d):
+    """Segments cut at their words; without a column of words, as in the given tables, all stay whole."""
+    rows = delivered_once(table(spark, d, "segments"), "segment_id").where("segment_id is not null")
+    return segmenting.resegment(canonical_segments(rows, "segment_id", *(c for c in ["words"] if c in rows.columns)), ["segment_id"])
+
+
 @query
 def pause_punctuation(spark, d):
     return segmenting.pause_marks(segments(spark, d), "result_id", "seg_no", "segment_id").select("segment_id", "pause_ms", "mark")

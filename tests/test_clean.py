@@ -89,6 +89,35 @@ def test_words_cut_at_pause_mark_and_length(spark):
     assert got[1][0] is None and got[2][0] == []
 
 
+def test_segments_are_cut_at_words_or_stay_whole(spark):
+    kind = "id int, start_ms bigint, end_ms bigint, text string, words array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
+    good = [(0, 100, "今天"), (100, 200, "讲。"), (200, 300, " 下"), (1000, 1100, "课"), (1100, 1200, "后记得"), (1200, 1300, "复习")]
+    rows = [
+        (1, 0, 1500, " 今天 讲。 下课后记得复习 ", good),
+        (2, 0, 1500, "今天讲，下课后记得复习", good),
+        (3, 0, 1500, "今天讲", [(0, 100, "今天"), (50, 200, "讲")]),
+        (4, 0, 1500, "一段没有词时间的很长很长很长很长很长很长很长很长的话", None),
+        (5, 0, 1500, "今天讲", [(0, 100, "今天"), (None, 200, "讲")]),
+        (6, 0, 150, "今天讲", [(0, 100, "今天"), (100, 200, "讲")]),
+        (7, None, None, "今天讲", []),
+        (8, 0, 1, "", good),
+        (9, 0, 1, None, good),
+        (10, 0, 1500, "今天讲", [(0, 100, "今天")]),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted(map(tuple, segmenting.resegment(df, ["id"], most_chars=4).collect()))
+    assert got[:4] == [(1, 0, 0, 200, " 今天 讲。 "), (1, 1, 200, 300, "下"), (1, 2, 1000, 1200, "课后记得"), (1, 3, 1200, 1300, "复习 ")]
+    assert got[4:] == [(i, 0, s, e, t) for i, s, e, t, _ in rows[1:] if t]
+    assert sorted(map(tuple, segmenting.resegment(df.drop("words"), ["id"]).collect())) == [(i, 0, s, e, t) for i, s, e, t, _ in rows if t]
+
+
+def test_given_segments_have_no_words_and_stay_whole(spark, data):
+    from tempolex.plans import catalog
+
+    want = [(r["segment_id"], 0, r["start_ms"], r["end_ms"], r["text"]) for r in catalog.segments(spark, data).collect() if r["segment_id"] is not None and r["text"]]
+    assert sorted(map(tuple, catalog.resegmented_words(spark, data).collect()), key=str) == sorted(want, key=str)
+
+
 def test_pause_marks(spark):
     df = spark.createDataFrame(
         [(1, 0, 1, 0, 100, "你好"), (1, 1, 2, 250, 300, "是吗"), (1, 2, 3, 950, 1000, "有。"), (1, 3, 4, 1050, 1100, "没"), (1, 4, 5, 1750, 1800, "但是"), (1, 5, 6, 1801, 1900, None)], SEGS
