@@ -56,11 +56,11 @@ def mix(
     the next quotients fill the room; so the total is reached where it can be. The blocks of a source are apportioned
     in the same way to its shards (by a seeded hash of doc_id), and each shard turns its quota into whole rounds of its
     documents plus those of its first blocks in seeded order. Only counts per source and shard reach the driver, both
-    bounded by the parameters; a dominating source has as many more shards. The sizes are written to the shared folder
-    once, so the texts are read once.
+    bounded by the parameters; a dominating source has as many more shards. The sizes and the picks are written to the
+    shared folder once, so the texts are read once and the report counts the very picks that are given.
 
     report: source_key, target_share, max_repeats, source_tokens, is_short (tokens * max_repeats < share * all tokens),
-    quota_tokens, mixed_tokens and actual_share of what was really picked.
+    target_tokens (share * all tokens), quota_tokens, mixed_tokens and actual_share of what was really picked.
     """
     spark = docs.sparkSession
     goals = {}
@@ -104,20 +104,21 @@ def mix(
             plan.append((k, j, tokens // t, tokens % t))
     quotas = spark.createDataFrame(plan, "norm string, shard bigint, rounds bigint, rest bigint")
     within = W.partitionBy("norm", "shard").orderBy(order, "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
-    picks = (
+    picks = stage(
         dealt.join(_small(quotas, len(plan)), ["norm", "shard"])
         .withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .withColumn("copies", (F.col("rounds") + (F.col("before") + F.col("n_tokens") / 2 <= F.col("rest")).cast("bigint")).cast("int"))
         .where("copies > 0")
         .join(F.broadcast(listed), "norm")
-        .select("doc_id", "source_key", "n_tokens", "copies")
+        .select("doc_id", "source_key", "n_tokens", "copies"),
+        "picks",
     )
     mixed = picks.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     plan_rows = [
-        (v[0], float(v[1]), int(v[2]), int(sums.get(k, 0)), bool(room[k] < v[1] * total), int(quota[k])) for k, v in goals.items()
+        (v[0], float(v[1]), int(v[2]), int(sums.get(k, 0)), bool(room[k] < v[1] * total), float(v[1] * total), int(quota[k])) for k, v in goals.items()
     ]
     sheet = spark.createDataFrame(
-        plan_rows, "source_key string, target_share double, max_repeats int, source_tokens bigint, is_short boolean, quota_tokens bigint"
+        plan_rows, "source_key string, target_share double, max_repeats int, source_tokens bigint, is_short boolean, target_tokens double, quota_tokens bigint"
     )
     report = (
         sheet.join(mixed, "source_key", "left")

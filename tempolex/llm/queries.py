@@ -11,8 +11,10 @@ from . import harm, lookalikes, mixing, nearest, packing, sentences, splitting,
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
-    """max_size and overlap_size by limit_key; a fixed table of three rows."""
-    return {r["limit_key"]: (r["max_size"], r["overlap_size"]) for r in table(spark, d, "size_limits").limit(100).collect()}
+    """max_size and overlap_size of the limits used here, three at most."""
+    rows = table(spark, d, "size_limits").where(F.col("limit_key").isin("results", "chunks", "container"))
+    once = rows.groupBy("limit_key").agg(F.min(F.struct("max_size", "overlap_size")).alias("l"))
+    return {r["limit_key"]: (r["l"]["max_size"], r["l"]["overlap_size"]) for r in once.collect()}
 
 
 def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +40,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return flat.dropDuplicates()
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text with sentences: where its last one ends, and whether the ends ascend."""
+    rows = p1_sentences(spark, d).where(F.size("ends") > 0)
+    return rows.groupBy("unit_kind", "unit_id").agg(
+        F.max(F.element_at("ends", -1)).alias("last_end"), F.bool_and(F.col("ends") == F.array_sort(F.array_distinct("ends"))).alias("ascends")
+    )
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "cards").select("card_id", "media_id", "shown_s")
     segments = table(spark, d, "segments").select("segment_id", "media_id", "from_s")
@@ -59,6 +69,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no = 0").select("unit_kind", "unit_id", "cut_kind")
 
 
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text that was cut: the hash of what its pieces put together give, and whether all are within the limit."""
+    at = limits(spark, d)
+    most = F.when(F.col("unit_kind") == "results", at["results"][0]).otherwise(at["chunks"][0])
+    rows = p3_pieces(spark, d).withColumn("within", F.length("piece") <= most)
+    fresh = F.struct("piece_no", F.expr("substring(piece, n_repeated + 1)").alias("t"))
+    whole = rows.groupBy("unit_kind", "unit_id").agg(F.array_sort(F.collect_list(fresh)).alias("p"), F.bool_and("within").alias("all_within"))
+    return whole.select("unit_kind", "unit_id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("text_md5"), "all_within")
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """unit_kind, unit_id, form: every transcript and segment text in its one form."""
     return _forms(spark, d).select("unit_kind", "unit_id", "form").dropDuplicates(["unit_kind", "unit_id"])
@@ -106,6 +126,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_containers(spark, d).where("piece_no = 1").select("doc_id")
 
 
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document that was packed: its tokens in all containers together, and whether it was split."""
+    return p6_containers(spark, d).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), (F.count("*") > 1).alias("is_split"))
+
+
+def p6_fit(spark: SparkSession, d: str) -> DataFrame:
+    """One row: tokens in all, containers above the capacity, and whether the containers are within 1 % of the fewest possible, one for each started block aside."""
+    most = limits(spark, d)["container"][0]
+    bins = p6_containers(spark, d).groupBy("block", "bin_no").agg(F.sum("n_tokens").alias("used"))
+    one = bins.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.count_if(F.col("used") > most).alias("n_over"), F.count("*").alias("n"), F.count_distinct("block").alias("b"))
+    return one.select("n_tokens", "n_over", (F.col("n") <= 1.01 * F.col("n_tokens") / most + F.col("b")).alias("is_tight"))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
@@ -114,8 +147,14 @@ def p7_picks(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).picks
 
 
+def p7_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """The apportionment of the report: what does not depend on which documents the seed takes."""
+    return p7_mixture(spark, d).select("source_key", "target_share", "max_repeats", "source_tokens", "is_short", "quota_tokens")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_mixture(spark, d).where("is_short").select("source_key")
+    """Sources whose picks fall short of their share; the exact check leaves those that could not have reached it."""
+    return p7_mixture(spark, d).where("mixed_tokens < target_tokens").where("is_short").select("source_key")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -25,32 +25,42 @@ _BRACKETS = set("（([【［〔")
 _LIGHT = set(",，、،;；؛:：）)]】」』”»’")
 # Particles that carry a sentence on after a quotation, and verbs of saying.
 _QUOTATIVE = re.compile(r"(?:と|って|という|とか|라고|이라고|하고|고 |라는|など|だ|です|の|を|が|は|に|も)")
-_SAYING_HAN = re.compile(r"^[^，,。！？!?\s]{0,8}?[说問问道答喊叫想笑讲講嘆叹写寫]")
-_SAYING = re.compile(r"^(?:\W*\w+){0,3}?\W*(?:says?|said|asks?|asked|wrote|writes|replied|answered|added|shouted|told|thought)\b", re.I)
+_SAYING_HAN = re.compile(r"\s*[^，,。！？!?\s]{0,8}?[说問问道答喊叫想笑讲講嘆叹写寫]")
+_SAYING = re.compile(r"(?:\W*+\w++){0,3}?\W*+(?:says?|said|asks?|asked|wrote|writes|replied|answered|added|shouted|told|thought)\b", re.I)
 # Abbreviations known without a corpus, those that never end a sentence and those that may.
 _NEVER = "mr mrs ms dr prof st fig no vs approx ca bzw nr str sra sr srta dra pág p pp vol m mme mlle стр гг ул рис"
 _MAY = "jr inc ltd co etc usw г"
 _KNOWN = {token_key(w): v for words, v in ((_NEVER, "A"), (_MAY, "E")) for w in words.split()}
 
 _W = rf"\w{chr(0x300)}-{chr(0x36F)}{INVISIBLE}"
-_TOKEN = re.compile(rf"([{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*)$")
+_JOIN = ".．’'-‐–"
+#: A token read backwards from its end.
+_NEKOT = re.compile(rf"[{_W}]+(?:[.．’'\-‐–]+[{_W}]+)*")
 _NEXT = re.compile(rf"[\s\"“„«»「『(（\[¿¡‹'‘—–-]*([{_W}]+)")
 _MID = re.compile(r"[a-zа-яà-ÿ] $")
 _EVENT = re.compile(rf"[{STRONG}{STOP}{ELLIPSIS}]+|[\"“”„«»「」『』（）()\[\]【】〈〉《》［］‹›〔〕＂]|\n\s*\n|(?<=[ก-ฺเ-๎])[{INVISIBLE}]*\s+[{INVISIBLE}]*(?=[ก-ฺเ-๎])")
 
 
 def _before(text: str, at: int, start: int = 0) -> str:
-    """The token right before position `at`, of 40 characters at most; '' if there is none."""
-    parts = text[max(start, at - 40) : at].rsplit(None, 1)
-    if not parts:
-        return ""
-    chunk = parts[-1]
-    if chunk.isascii():
-        chunk = chunk.lstrip("\"'([{<-/*_~")
-        if chunk.isalnum():
-            return chunk
-    m = _TOKEN.search(chunk)
-    return m[1] if m else ""
+    """The token right before position `at`, not reaching before `start`; '' if there is none."""
+    size = 40
+    while True:
+        low = max(start, at - size)
+        parts = text[low:at].rsplit(None, 1)
+        if not parts:
+            return ""
+        chunk = parts[-1]
+        cut = low > start and len(chunk) == at - low
+        if chunk.isascii():
+            chunk = chunk.lstrip("\"'([{<-/*_~")
+            if chunk.isalnum() and not cut:
+                return chunk
+        m = _NEKOT.match(chunk[::-1])
+        # A token that the stretch cuts off, or may, is looked for in a longer one.
+        if cut and not (m and chunk[: len(chunk) - len(m[0])].strip(_JOIN)):
+            size *= 4
+            continue
+        return m[0][::-1] if m else ""
 
 
 def _shape(ch: str) -> str:
@@ -166,41 +176,48 @@ def verdicts(texts: DataFrame) -> DataFrame:
 
 
 def _pairs(text: str, events: list) -> dict[int, int]:
-    """Opening position -> closing position of the quotations and brackets that are closed within the text."""
-    stack: list[tuple[str, int]] = []
+    """Opening position -> closing position of the quotations and brackets that are closed within the text.
+
+    A mark closes the last one open that it fits, and whatever was opened since is given up. What is open is counted by
+    the mark that closes it, so a mark that closes nothing costs nothing and the text is read once.
+    """
+    stack: list[tuple[str, str, int]] = []
+    waiting: Counter = Counter()
     found: dict[int, int] = {}
+
+    def shut(closer: str, opener: str | None, at: int) -> None:
+        while stack:
+            o, c, i = stack.pop()
+            waiting[c] -= 1
+            waiting[o] -= 1
+            if c == closer and (opener is None or o == opener):
+                found[i] = at
+                return
+
+    def put(opener: str, closer: str, at: int) -> None:
+        stack.append((opener, closer, at))
+        waiting[closer] += 1
+        waiting[opener] += 1
+
     for m in events:
         c = m[0]
         if len(c) != 1 or c.isspace() or c in STRONG or c in STOP or c in ELLIPSIS:
             continue
         at = m.start()
         if c in '"＂':
-            if any(o == '"' for o, _ in stack):
-                while stack:
-                    o, i = stack.pop()
-                    if o == '"':
-                        found[i] = at
-                        break
+            if waiting['"']:
+                shut('"', None, at)
             else:
-                stack.append(('"', at))
+                put('"', '"', at)
             continue
         c = _ROUND.get(c, c)
-        if c == "“" and any(o == "„" for o, _ in stack):
-            while stack:
-                o, i = stack.pop()
-                if o == "„":
-                    found[i] = at
-                    break
-            continue
-        if c in _OPEN:
-            stack.append((c, at))
-            del stack[:-64]
-        elif c in _CLOSE:
-            for k in range(len(stack) - 1, -1, -1):
-                if _ROUND.get(_OPEN.get(stack[k][0], ""), _OPEN.get(stack[k][0], "")) == c:
-                    found[stack[k][1]] = at
-                    del stack[k:]
-                    break
+        if c == "“" and waiting["„"]:
+            shut("“", "„", at)
+        elif c in _OPEN:
+            closer = _OPEN[c]
+            put(c, _ROUND.get(closer, closer), at)
+        elif c in _CLOSE and waiting[c]:
+            shut(c, None, at)
     return found
 
 
@@ -283,24 +300,26 @@ def _after_closing(text: str, start: int, opened: int, shut: int, last: int, kno
     to = shut + 1
     if to >= last:
         return False
-    rest = text[to : to + 60]
-    nxt = rest.lstrip()[:1]
-    blank = rest[:1].isspace()
+    behind = to
+    while behind < last and text[behind].isspace():
+        behind += 1
+    nxt = text[behind : min(behind + 1, last)]
+    blank = behind > to
     if not nxt or nxt in _LIGHT or nxt in STRONG or nxt in STOP:
         return False
     alone = not text[start:opened].strip()
     if text[opened] in _BRACKETS:
         return alone
-    if "\n" in rest[: len(rest) - len(rest.lstrip())]:
+    if "\n" in text[to:behind]:
         return True
-    if not blank and _QUOTATIVE.match(rest):
+    if not blank and _QUOTATIVE.match(text, to):
         return False
-    word = _NEXT.match(rest)
+    word = _NEXT.match(text, to)
     lower = nxt.islower() and not ("s" in known.get(token_key(word[1]), "") if word else False)
     if lower:
         return False
     if alone:
-        return not (_SAYING.match(rest) if nxt.isascii() else _SAYING_HAN.match(rest.lstrip()))
+        return not (_SAYING if nxt.isascii() else _SAYING_HAN).match(text, behind)
     before = text[start:opened].rstrip()[-1:]
     return before in ":：,，、" or blank
 
@@ -367,8 +386,10 @@ def _runs_on(text: str, at: int, to: int, start: int, known: dict[str, str], mem
 
     Not behind abbreviations or single letters, nor before an extension or a name in capitals.
     """
-    token = _before(text, at, start)
-    if len(token) < 2 or not token[-2:].isalpha() or "." in token:
+    low = max(start, text.rfind(".", start, at) + 1)
+    token = _before(text, at, low)
+    # A token that holds a stop is none that ends a sentence.
+    if len(token) < 2 or not token[-2:].isalpha() or low > start and len(token) == at - low:
         return False
     word = _NEXT.match(text, to)
     if word and len(word[1]) > 1 and word[1].isupper():
@@ -444,17 +465,27 @@ def _split_with(texts: pd.Series, words: pd.Series, marks: pd.Series) -> pd.Seri
     return pd.Series([None if t is None else boundaries(t, {} if w is None else dict(zip(w, v))) for t, w, v in zip(texts, words, marks)])
 
 
-def _asked(texts: pd.Series) -> pd.Series:
-    """Words of a text about which the corpus may be asked."""
-    out = []
-    for t in texts:
-        got = set()
-        for m in _SEEN.finditer(t or ""):
-            got.add(token_key(_before(t, m.start())))
-            if w := _NEXT.match(t, m.end(1)):
+def asked(text: str) -> set[str]:
+    """Words of a text about which boundaries() may ask the corpus: the one before each full stop, and the one behind
+    each mark, quotation or bracket, also where several close one after the other."""
+    got = set()
+    for m in _EVENT.finditer(text):
+        at, to = m.span()
+        if text[at] in STOP and (token := _before(text, at)):
+            # A sentence may begin within what looks like one token.
+            got.update(token_key(token[k:]) for k in range(len(token)) if not k or token[k - 1] in _JOIN)
+        while True:
+            if w := _NEXT.match(text, to):
                 got.add(token_key(w[1]))
-        out.append(sorted(got))
-    return pd.Series(out)
+            if to < len(text) and (text[to] in _CLOSE or text[to] in '"＂'):
+                to += 1
+            else:
+                break
+    return got
+
+
+def _asked(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(asked(t)) if t else [] for t in texts])
 
 
 # ---------------------------------------------------------------- operator

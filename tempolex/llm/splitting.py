@@ -37,32 +37,60 @@ def _places(text: str) -> tuple[list[int], list[int]]:
     return at, rank
 
 
-def _bag(text: str) -> Counter:
-    return Counter(w.lower() for w in _WORD.findall(text))
+def _similarities(text: str, at: list[int], block: int) -> list[float]:
+    """Cosine of the words of the `block` characters on either side of each place of `at`, ascending.
 
-
-def _similar(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    dot = sum(c * b[w] for w, c in a.items() if w in b)
-    return dot / sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
+    Two blocks slide over the words of the text; counts, lengths and the product are kept up to date word by word, so
+    the cost is that of the words, however many places there are.
+    """
+    words = [(m.start(), m[0].lower()) for m in _WORD.finditer(text)]
+    starts = [p for p, _ in words]
+    left: Counter = Counter()
+    right: Counter = Counter()
+    dot = left_2 = right_2 = 0
+    # Words left_lo..middle are in the block before a place, middle..right_hi in the one behind it.
+    left_lo = middle = right_hi = 0
+    out = []
+    for place in at:
+        to = bisect_left(starts, place + block, right_hi)
+        for _, w in words[right_hi:to]:
+            n = right[w]
+            right_2 += 2 * n + 1
+            dot += left[w]
+            right[w] = n + 1
+        right_hi = to
+        to = bisect_left(starts, place, middle)
+        for _, w in words[middle:to]:
+            n = right[w]
+            right_2 -= 2 * n - 1
+            right[w] = n - 1
+            m = left[w]
+            dot += n - 1 - m
+            left_2 += 2 * m + 1
+            left[w] = m + 1
+        middle = to
+        to = bisect_left(starts, place - block, left_lo)
+        for _, w in words[left_lo:to]:
+            m = left[w]
+            left_2 -= 2 * m - 1
+            dot -= right[w]
+            left[w] = m - 1
+        left_lo = to
+        out.append(dot / sqrt(left_2 * right_2) if left_2 and right_2 else 0.0)
+    return out
 
 
 def _depths(sims: list[float]) -> list[float]:
     """Depth of the valley at each gap: how far one climbs from it on either side before the curve falls again."""
-    out = []
-    for i, s in enumerate(sims):
-        left = right = s
-        j = i - 1
-        while j >= 0 and sims[j] >= left:
-            left = sims[j]
-            j -= 1
-        j = i + 1
-        while j < len(sims) and sims[j] >= right:
-            right = sims[j]
-            j += 1
-        out.append(left - s + right - s)
-    return out
+    n = len(sims)
+    left, right = list(sims), list(sims)
+    for i in range(1, n):
+        if sims[i - 1] >= sims[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right[i] = right[i + 1]
+    return [a + b - 2 * s for a, b, s in zip(left, right, sims)]
 
 
 def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tuple[list[tuple[int, int, int, str]], bool]:
@@ -70,10 +98,10 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
 
     Forced: some stretch of more than max_size characters has no blank, line break or sentence-ending mark. A text
     within max_size is one piece. Every piece is within max_size and starts `overlap` characters before the end of the
-    one before it (less only where the piece would then have to break a stretch that fits without). The cut of a piece
-    is the deepest valley of the similarity between the `block` characters on either side, among the sentence ends and
-    line breaks of the later half of its window, else among those of the earlier half, else blanks, clause marks, and
-    at last the limit itself.
+    one before it (less only where the piece would then have to break a stretch that fits without). Over all sentence
+    ends and line breaks of the text the words of the `block` characters on either side are compared; the cut of a
+    piece is the deepest valley of that curve within its window, the later one of equal depth. A window without such a
+    place is cut at its last blank, else clause mark, and at last at the limit itself.
     """
     n = len(text)
     forced = any(m.end() - m.start() > max_size for m in _STRETCH.finditer(text))
@@ -81,6 +109,8 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
         return [(0, n, 0, "end")], forced
     overlap = max(0, min(overlap, max_size // 2))
     at, rank = _places(text)
+    pauses = [p for p, r in zip(at, rank) if r == 3]
+    depth = dict(zip(pauses, _depths(_similarities(text, pauses, block))))
     strong = [k for k, r in enumerate(rank) if r >= 1]
     pieces: list[tuple[int, int, int, str]] = []
     start, fresh, lo = 0, 0, 0
@@ -94,7 +124,7 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
         hi = lo
         while hi < len(at) and at[hi] <= limit:
             hi += 1
-        cut, kind = _choose(text, at, rank, lo, hi, fresh, limit, block)
+        cut, kind = _choose(text, at, rank, lo, hi, fresh, limit, depth)
         if kind < 1 and start < fresh:
             # A stretch that fits into a piece is not broken for the sake of the full overlap.
             ahead = bisect_left(strong, lo)
@@ -111,20 +141,14 @@ def split_text(text: str, max_size: int, overlap: int, block: int = 240) -> tupl
         fresh, start = cut, max(start + 1, cut - overlap)
 
 
-def _choose(text: str, at: list[int], rank: list[int], lo: int, hi: int, fresh: int, limit: int, block: int) -> tuple[int, int]:
-    middle = fresh + (limit - fresh) // 2
-    for least in (3, 1, 0):
-        inside = [k for k in range(lo, hi) if rank[k] >= least]
-        late = [k for k in inside if at[k] > middle]
-        for some in (late, inside):
-            if not some:
-                continue
-            if least < 3:
-                return at[some[-1]], least
-            sims = [_similar(_bag(text[max(0, at[k] - block) : at[k]]), _bag(text[at[k] : at[k] + block])) for k in some]
-            depth = _depths(sims)
-            best = max(range(len(some)), key=lambda i: (depth[i], at[some[i]]))
-            return at[some[best]], least
+def _choose(text: str, at: list[int], rank: list[int], lo: int, hi: int, fresh: int, limit: int, depth: dict[int, float]) -> tuple[int, int]:
+    """Where the window's places lo..hi, all behind `fresh`, cut it, and the rank of that place; -1 for the limit."""
+    pauses = [at[k] for k in range(lo, hi) if rank[k] == 3]
+    if pauses:
+        return max(pauses, key=lambda p: (depth[p], p)), 3
+    for least in (1, 0):
+        if some := [at[k] for k in range(lo, hi) if rank[k] >= least]:
+            return some[-1], least
     # Not between a character and its marks.
     cut = limit
     while cut > fresh + 1 and unicodedata.category(text[cut]) in ("Mn", "Mc", "Me", "Cf"):

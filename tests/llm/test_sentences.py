@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,58 @@ def test_nulls_empty_repeats(spark):
 def test_very_long_text():
     text = "Use ab. x or cd. Then (go on. " * 20_000
     assert boundaries(text)[-1] <= len(text)
+
+
+class Recording(dict):
+    """Verdicts that note which words are asked for."""
+
+    def get(self, key, default=""):
+        self.setdefault("\0", set()).add(key)
+        return dict.get(self, key, default)
+
+
+PIECES = ["Dr", "e.g", "iPhone", "etc", "Smith", "no", "5", "a", "U.S", "ul. Long", "“", "”", "(", ")", "’", "\"", "’ ", "»", "«", ".", ". ", ".) ", ".” ", "!", "! ", "。", "\n", " ", " ", ", ", "x" * 50, "said"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_all_words_asked_for_are_told_beforehand(seed):
+    from tempolex.llm.sentences import asked
+
+    rng = random.Random(seed)
+    for _ in range(40):
+        text = "".join(rng.choice(PIECES) for _ in range(30))
+        known = Recording({"iphone": "s", "dr": "A", "etc": "E"})
+        boundaries(text, known)
+        assert dict.get(known, "\0", set()) <= asked(text), text
+
+
+def test_both_ways_of_telling_verdicts_agree_on_quotations(spark):
+    rows = [(i, t) for i, t in enumerate(['He said "Stop it!" iPhone sales rose again. ' * 2, "(Done!) iPhone sales rose. Dr. No came.", None, "", "“Go.” iPhone."])]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    corpus = spark.createDataFrame([("Yes! iPhone sales rose.",)] * 5 + [("The etc. of it, the etc. and so on",)] * 9, "t string")
+    one = [r["ends"] for r in sentence_ends(df, "text", corpus, ["id"]).orderBy("id").collect()]
+    other = [r["ends"] for r in sentence_ends(df, "text", corpus, ["id"], most_broadcast=0).orderBy("id").collect()]
+    assert one == other and 18 in one[0]
+
+
+def test_tokens_and_brackets_have_no_limit():
+    from tempolex.llm.sentences import _before
+
+    long = "Donaudampfschifffahrtsgesellschaftskapitaensmuetze" * 3
+    assert _before(f"die {long}", len(long) + 4) == long
+    assert _before(f"die x-{long}", len(long) + 6) == "x-" + long
+    assert _before("." * 80 + "ab", 82) == "ab" and _before(" " * 80, 80) == ""
+    deep = "(" * 100 + "x" + ")" * 100
+    text = f"One {deep} two. Three."
+    assert boundaries(text) == [text.index("two.") + 4, len(text)]
+    assert boundaries("(" * 200_000) == [200_000] and boundaries(")" * 200_000) == [200_000]
+    assert boundaries("„" * 100_000 + "“" * 100_000) == [200_000]
+
+
+def test_a_contrary_verdict_of_the_corpus_does_not_overrule_the_document():
+    text = "Put it by the bin. The bin was red. We saw the bin. Then it rained."
+    for verdict in ("A", "T", "E"):
+        assert len(boundaries(text, {"bin": verdict})) == 4
+    text = "The apt. is small, this apt. was cheap, and our apt. Miller lives with Miller, as Miller does."
+    for verdict in ("W", ""):
+        assert boundaries(text, {"apt": verdict}) == [len(text)]

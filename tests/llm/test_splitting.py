@@ -72,3 +72,47 @@ def test_very_long_without_blanks():
     text = "字，" * 400_000
     pieces, forced = split_text(text, 2000, 120)
     assert forced and rebuilt(text, pieces) == text
+
+
+def test_similarities_and_depths_against_brute_force():
+    from collections import Counter
+    from math import sqrt
+
+    from tempolex.llm.splitting import _WORD, _depths, _similarities
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab", "cd", "ef", "早上", "好"]) + rng.choice([" ", ". ", "。", " " * 30]) for _ in range(300))
+    at = [i + 1 for i, c in enumerate(text) if c in ".。" and i + 1 < len(text)]
+    words = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+    want = []
+    for p in at:
+        a, b = Counter(w for q, w in words if p - 50 <= q < p), Counter(w for q, w in words if p <= q < p + 50)
+        norm = sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
+        want.append(sum(a[w] * b[w] for w in a) / norm if norm else 0.0)
+    assert _similarities(text, at, 50) == pytest.approx(want)
+
+    def climb(sims, i, step):
+        top = sims[i]
+        while 0 <= (i := i + step) < len(sims) and sims[i] >= top:
+            top = sims[i]
+        return top
+
+    sims = [round(rng.random(), 1) for _ in range(200)]
+    assert _depths(sims) == pytest.approx([climb(sims, i, -1) + climb(sims, i, 1) - 2 * sims[i] for i in range(200)])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_each_cut_is_the_deepest_valley_of_its_whole_window(seed):
+    from tempolex.llm.splitting import _depths, _places, _similarities
+
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["cat ", "dog ", "bird ", "fish "]) * rng.randrange(1, 9) + "x. " for _ in range(120))
+    pieces, _ = split_text(text, 400, 30)
+    at, rank = _places(text)
+    pauses = [p for p, r in zip(at, rank) if r == 3]
+    depth = dict(zip(pauses, _depths(_similarities(text, pauses, 240))))
+    fresh = 0
+    for a, b, r, cut in pieces[:-1]:
+        inside = [p for p in pauses if fresh < p <= a + 400]
+        assert cut == "pause" and depth[b] == max(depth[p] for p in inside)
+        fresh = b
