@@ -27,7 +27,7 @@ _SHAPELESS = [
 #: The same as the inside of a character class.
 INVISIBLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SHAPELESS)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
-_BLANK = re.compile(r"[^\S\n]")
+_BLANK = re.compile(r"[^\S\n ]")
 _BREAK = re.compile(f"\r\n|[\r\x85{chr(0x2028)}{chr(0x2029)}]")
 
 

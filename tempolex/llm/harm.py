@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
-from heapq import heappush, heapreplace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
@@ -52,16 +51,16 @@ VOTERS: list[tuple[str, int, str, str]] = [
     ("en_noun", 1, "insult", rf"\b(?:{'|'.join(n for n in _EN_NOUNS if n not in ('pig', 'rat', 'clown', 'donkey', 'prick'))})(?:e?s)?\b"),
     ("en_phrase", 1, "insult", rf"\b(?:{'|'.join(_EN_PHRASES)})s?\b"),
     ("en_aimed", 1, "insult", rf"\b(?:you|your|u|uploader|shut up|crawl back|go back to|@[\w. ]+)\b[^.!?\n]{{0,40}}\b(?:{'|'.join(_EN_NOUNS)}|trash|worthless|pathetic|oxygen|brain-?dead)(?:e?s)?\b"),
-    ("en_idiom", 1, "insult", r"\bshut up\b|\bshut your\b|crawl back under|makes? me (?:vomit|sick|puke)|nobody wants to hear your|smarter than you|delete your account|nobody asked you|go back to school you|excuse for a human|\blike you would fail\b|uploader is a\b|what an? \w+(?:[ -]\w+){0,2} you are|people in this chat are"),
+    ("en_idiom", 1, "insult", r"\bshut up\b|\bshut your\b|makes? me (?:vomit|sick|puke)|delete your account|excuse for a human|what an? \w+(?:[ -]\w+){0,2} you are"),
     ("en_row", 1, "insult", rf"(?:\b(?:{'|'.join(_EN_NOUNS)}|worthless|pathetic|braying|brain-?dead)\b\W*){{2,}}"),
-    ("en_threat", 1, "threat", r"smash your|beat(?:en)? (?:you|until)|deserve to be beaten|kill you\b|\b(?:bring|have) a knife|end up in a (?:ditch|hospital|grave)|you will be sorry|watch your back|burn together with|hope you (?:die|burn|rot)|break your (?:legs|arms|neck|face)|stab you|shoot you|i will find you|until you (?:stop talking|cannot walk)"),
-    ("en_stalk", 1, "threat", r"know (?:your (?:street|address)|where you live|which school your)|your (?:daughter|son|family|kids?) (?:goes|go|lives?)\b|next time i see \w|\bor else\b|keep talking and you|post one more"),
+    ("en_threat", 1, "threat", r"smash your|beat(?:en)? (?:you|until)|deserve to be beaten|kill you\b|\b(?:bring|have) a knife|end up in a (?:ditch|hospital|grave)|you will be sorry|watch your back|hope you (?:die|burn|rot)|break your (?:legs|arms|neck|face)|stab you|shoot you|i will find you"),
+    ("en_stalk", 1, "threat", r"know (?:your (?:street|address)|where you live)|your (?:daughter|son|family|kids?) (?:goes|go|lives?)\b|next time i see \w|\bor else\b|keep talking and you"),
     ("en_wish", 1, "threat", r"jump off a|nobody would miss you|if you were gone|kill yourself|just do it already|do us all a favor|go and die\b|hang yourself|drink bleach"),
     ("en_group", 1, "hate", rf"\b{_GROUP_EN}\b[^.!?\n]{{0,40}}\b(?:vermin|parasites?|animals|rats|cockroaches|thrown out|stink|lazy|thieving|no brain|not even human|subhuman|leave|crawled|breed|scum|filth|trash|cannot learn|inferior)\b"),
     ("en_group_rear", 1, "hate", rf"\b(?:get rid of|keep|if you let|not trust any of those|only good thing about|typical|was clean before|no|ban all|exterminate|deport all)\s+(?:the |those )?{_GROUP_EN}\b[^.!?\n]{{0,50}}(?:once and for all|away|vote|breed|leave|lazy|crawled|stink|animals|human|out)"),
-    ("en_degrade", 1, "hate", r"breed like rats|not even human|are vermin|they are animals|lazy and thieving|should be thrown out|they stink|once and for all|have no brain, that|good thing about \w+(?: \w+)? is when they leave|place was clean before"),
-    ("en_sexual", 1, "sexual", r"\bnudes?\b|\bhorny\b|\btits\b|\bcasual sex\b|\bdirty pics\b|\bpanties\b|strip and moan|naked (?:on|and|in|with)\b|get naked|\bi am wet\b|play with myself|do (?:her|him|you) all night|begged (?:him|her) to go|go deeper|uncensored|blow ?job|\bsexy (?:pics|photos|girls)\b|\bporn\b|cum (?:on|in)\b"),
-    ("en_solicit", 1, "sexual", r"send me (?:nudes|pics|photos of)|message me with pics|link in my profile|swap \w+ pics|show us your|hot girls|want you naked|private videos are|watch me play|bend over|do it on the|on my bed right now"),
+    ("en_degrade", 1, "hate", r"not even human|are vermin|they are animals|should be thrown out|they stink"),
+    ("en_sexual", 1, "sexual", r"\bnudes?\b|\bhorny\b|\btits\b|\bcasual sex\b|\bdirty pics\b|\bpanties\b|strip and moan|naked (?:on|and|in|with)\b|get naked|\bi am wet\b|play with myself|do (?:her|him|you) all night|uncensored|blow ?job|\bsexy (?:pics|photos|girls)\b|\bporn\b|cum (?:on|in)\b"),
+    ("en_solicit", 1, "sexual", r"send me (?:nudes|pics|photos of)|message me with pics|link in my profile|swap \w+ pics|show us your|want you naked|private videos are|bend over"),
     ("de_insult", 1, "insult", r"halt die (?:fresse|klappe|schnauze)|vollidiot|arschloch|hurensohn|wichser|missgeburt|\bdu (?:\w+ )?(?:idiot|schwein|sau|penner|opfer)\b|verpiss dich|dumme (?:kuh|sau)"),
     ("de_other", 1, "hate", r"ungeziefer|(?:ausländer|flüchtlinge|frauen|behinderte)\b.{0,20}(?:raus|parasiten|dreck|abschaum|dumm)|alle raus\b|ich bring dich um|ich weiß,? wo du wohnst"),
     ("de_sexual", 1, "sexual", r"nacktbilder|nacktfotos|schlampe|\bnutte\b|fick mich|geile? (?:titten|sau|schlampe)"),
@@ -89,25 +88,10 @@ VOTERS: list[tuple[str, int, str, str]] = [
     ("calm_coarse", -1, "", r"笑死我|哈哈|\blol\b|stupid bug|damn good|killed me \w+ times|我这[^。！？\n]{0,8}(?:垃圾|废物)|(?:render|idea|code|result|draft|video|mix) was (?:trash|garbage|worthless|crap)|(?:代码|结果|画质|软件|电脑|渲染|剪辑)[^。！？\n]{0,4}(?:垃圾|烂)"),
 ]
 CATEGORIES = ("insult", "threat", "hate", "sexual")
-#: English phrases as they stand in speech whose recogniser drops all blanks.
-_GLUED = {
-    "en_noun": "dumbass;asshole;scumbag",
-    "en_phrase": "piece of trash;waste of oxygen;brain dead;worthless clown;pathetic rat;pathetic excuse;braying donkey;stupid pig",
-    "en_idiom": "shut up;crawl back under;makes me vomit;nobody wants to hear your;smarter than you;delete your account;nobody asked you;go back to school you;like you would fail;uploader is a;people in this chat are",
-    "en_threat": "smash your face;deserve to be beaten;bring a knife;end up in a ditch;you will be sorry;burn together with;hope you die;until you stop talking;until you cannot walk",
-    "en_stalk": "know your street;know where you live;which school your;next time i see;post one more",
-    "en_wish": "jump off a roof;nobody would miss you;if you were gone;kill yourself;do us all a favor;go and die",
-    "en_degrade": "breed like rats;not even human;are vermin;they are animals;lazy and thieving;should be thrown out;they stink;once and for all;have no brain;when they leave;was clean before",
-    "en_sexual": "get naked;casual sex;dirty pics;her panties;strip and moan;naked on my bed;i am wet;play with myself;do her all night;him to go deeper;so horny;your tits;uncensored",
-    "en_solicit": "send me nudes;message me with pics;link in my profile;want you naked;private videos are;watch me play;bend over",
-    "calm_topic": "hate speech;topic of this;stop calling;deserves to be told;deleted those",
-    "calm_technical": "strip the wires;sex chromosomes;breast tissue",
-    "calm_coarse": "stupid bug;killed me three times;render was trash",
-}
-VOTERS = [(n, s, c, "|".join([p, *(g.replace(" ", "") for g in _GLUED[n].split(";"))]) if n in _GLUED else p) for n, s, c, p in VOTERS]
-_PATTERNS = [re.compile(p) for *_, p in VOTERS]
+#: English words also end where writing without blanks goes on in another script.
+_PATTERNS = [re.compile(p, re.A if n.startswith("en_") else 0) for n, _, _, p in VOTERS]
 _SIGN = np.array([s for _, s, _, _ in VOTERS])
-_TOPIC = [n for n, *_ in VOTERS].index("calm_topic")
+_HARM = _SIGN > 0
 
 
 def required(pattern: str) -> set[str]:
@@ -200,9 +184,10 @@ _VOCAB = {w for w in re.findall(r"[a-z]{2,}", " ".join([*_EN_NOUNS, *_EN_PHRASES
 _VOCAB |= {w + "s" for w in _EN_NOUNS}
 _SPELT = re.compile(r"(?<![a-z0-9])(?:[a-z]([ .\-])(?:[a-z]\1)+[a-z])(?![a-z0-9])")
 _LEETED = re.compile(r"(?<![\w@$])(?=[a-z0-9@$!|]*[0-9@$!|])(?=[a-z0-9@$!|]*[a-z])[a-z0-9@$!|]{3,}")
+_THRICE = re.compile(r"([a-z])\1\1")
 _DRAWN = re.compile(r"\b\w*([a-z])\1\1\w*\b")
 _MASKED = re.compile(r"(?<![a-z])[a-z]\*{2,}[a-z](?![a-z])")
-_QUOTED = re.compile(r"“[^“”\n]{1,80}”|\"[^\"\n]{1,80}\"|「[^「」\n]{1,80}」|«[^«»\n]{1,80}»|„[^„“\n]{1,80}“|《[^《》\n]{1,80}》")
+_QUOTED = re.compile(r"“[^“”\n]+”|\"[^\"\n]+\"|「[^「」\n]+」|«[^«»\n]+»|„[^„“\n]+“|《[^《》\n]+》")
 
 
 def _han_disguise() -> tuple[re.Pattern, dict[str, str]]:
@@ -234,7 +219,8 @@ def unmask(text: str) -> str:
     t = _SPELT.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), t)
     if re.search(r"[0-9@$!|]", t):
         t = _LEETED.sub(lambda m: _unleeted(m[0]), t)
-    t = _DRAWN.sub(lambda m: _undrawn(m[0]), t)
+    if _THRICE.search(t):
+        t = _DRAWN.sub(lambda m: _undrawn(m[0]), t)
     if "**" in t:
         t = _MASKED.sub(lambda m: _unmasked(m[0]), t)
     return t
@@ -274,7 +260,21 @@ _UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 
 
 #: A remark ends at a mark; one too many does no harm here, so titles are the only abbreviations looked at.
-_ENDS = re.compile(r"(?<=[。！？!?؟।])\s*|(?<=\.)(?<!\bmr\.)(?<!\bms\.)(?<!\bdr\.)(?<!prof\.)(?<!\bj\.)(?<!\bk\.)\s+")
+_END = re.compile(r"[。！？!?؟।]\s*|\.\s+")
+_TITLES = ("mr", "ms", "dr", "prof", "j", "k")
+
+
+def _sentences(line: str) -> list[str]:
+    out, at = [], 0
+    for m in _END.finditer(line):
+        if m[0][0] == ".":
+            word = line[max(at, m.start() - 5) : m.start()].rpartition(" ")[2]
+            if word in _TITLES:
+                continue
+        out.append(line[at : m.end()])
+        at = m.end()
+    out.append(line[at:])
+    return out
 
 
 def remarks(text: str) -> list[str]:
@@ -284,7 +284,7 @@ def remarks(text: str) -> list[str]:
         line = _PREFIX.sub("", line).strip()
         if not line:
             continue
-        for u in _ENDS.split(_QUOTED.sub("\x01", line)):
+        for u in _sentences(_QUOTED.sub("\x01", line)):
             if u := u.strip():
                 out += _windows(u) if len(u) > 80 else [u]
     return out
@@ -327,46 +327,41 @@ def votes(unit: str) -> list[int]:
 
 
 # ---------------------------------------------------------------- label model
-
-
-#: Fixed values of the label model's priors: how often a voice for harm is right, alone, beside a voice against
-#: and beside talk about such language, and by how much a voice against lowers the odds.
-_RIGHT, _RIGHT_BESIDE, _RIGHT_TOPIC, _CALMS = 0.85, 0.3, 0.08, 0.2
-
-
-def _context(fired: np.ndarray) -> np.ndarray:
-    """0 without a voice against, 1 with one, 2 where the topic is such language."""
-    return np.where(fired[:, _TOPIC] > 0, 2, fired[:, _SIGN < 0].any(axis=1).astype(int))
+#: Fixed values the estimates start from, each with the weight of so many remarks: a voice for harm is right more often
+#: than not, a voice against speaks seldom beside harm and often beside what only sounds like it.
+_START_RIGHT, _RIGHT_FIRINGS, _START_BESIDE, _BESIDE_FIRINGS, _START_SHARE = 0.8, 10.0, (0.4, 0.005), 100.0, 0.01
 
 
 @dataclass
 class LabelModel:
-    """How far each voter is to be believed.
+    """A generative model of who speaks on a remark, given whether it is harmful.
 
-    Voters speak up or stay silent. A voice for harm is right with probability right[0], right[1] where a voice
-    against speaks on the same remark, right[2] where that one tells that such language is the topic: the correlation
-    between voters of opposite sign. Voters of the same sign
-    that tend to speak together (`alike`, a correlation) share their weight where they do. `odds` are those of harm before any vote.
+    `share` of the remarks are harmful. A voice for harm speaks on a harmful remark with probability speaks[1], on
+    another with speaks[0]; `right` is what follows, how often it is right. Voices for harm that speak together more
+    than chance has it (`alike`, a correlation) share their weight. Voices against depend on whether a voice for harm
+    is heard: then each speaks with probability beside[1] or beside[0], else all are quiet; alone they tell nothing.
     """
 
-    odds: float
+    share: float
     right: np.ndarray
+    speaks: np.ndarray
+    beside: np.ndarray
     alike: np.ndarray
 
-    @classmethod
-    def start(cls) -> LabelModel:
-        m = len(VOTERS)
-        odds = 0.02
-        calm = _CALMS * odds / (1 + _CALMS * odds)
-        return cls(odds, np.stack([np.where(_SIGN > 0, _RIGHT, calm), np.where(_SIGN > 0, _RIGHT_BESIDE, calm), np.where(_SIGN > 0, _RIGHT_TOPIC, calm)]), np.zeros((m, m)))
-
     def probability(self, fired: np.ndarray) -> np.ndarray:
         """Probability of harm of rows x voters (0/1)."""
-        beside = _context(fired)
-        base = np.log(self.odds)
-        p = np.clip(self.right, 1e-6, 1 - 1e-6)
-        gain = np.log(p / (1 - p)) - base
-        z = base + (fired * gain[beside] / (1 + 0.5 * fired @ self.alike)).sum(axis=1)
+        harm = fired * _HARM
+        loud = harm.any(axis=1)
+        base = np.log(self.share / (1 - self.share))
+        silent = (np.log1p(-self.speaks[1]) - np.log1p(-self.speaks[0]))[_HARM].sum()
+        right = np.clip(self.right, 1e-6, 1 - 1e-6)
+        gain = np.where(_HARM, np.log(right / (1 - right)) - base, 0)
+        b = np.clip(self.beside, 1e-9, 1 - 1e-9)
+        some = np.clip(b[:, ~_HARM].sum(axis=1), 0, 0.95)
+        quiet = np.log1p(-some[1]) - np.log1p(-some[0])
+        calm = fired * ~_HARM
+        against = np.where(calm.any(axis=1), (calm * (np.log(b[1]) - np.log(b[0]))).sum(axis=1), quiet)
+        z = base + np.where(loud, (harm * gain / (1 + 0.5 * harm @ self.alike)).sum(axis=1) + against, silent)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -378,51 +373,63 @@ def _matrix(patterns: list[str]) -> np.ndarray:
     return out
 
 
-def fit_label_model(patterns: DataFrame, rounds: int = 6) -> LabelModel:
+def _counted(fired: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums that do not depend on a model: remarks, firings, joint firings."""
+    return np.concatenate([[n.sum()], n @ fired, ((fired * n[:, None]).T @ fired).ravel()])
+
+
+def _expected(model: LabelModel, fired: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums under a model: harmful remarks; those on which a voice for harm speaks, harmful or not; firings by either kind."""
+    p = model.probability(fired)
+    loud = (fired * _HARM).any(axis=1)
+    bad, good = n * p, n * (1 - p)
+    return np.concatenate([[bad.sum(), bad[loud].sum(), good[loud].sum()], bad @ fired, bad[loud] @ fired[loud], good[loud] @ fired[loud]])
+
+
+def fit_label_model(patterns: DataFrame, rounds: int = 15, most_local: int = 100_000) -> LabelModel:
     """Expectation maximisation over (pattern, n): what fired on a remark, and how often in all documents.
 
-    Each round is one pass over the distinct patterns that returns sums per partition: class weights, firings by
-    context and their harmful part, joint firings. A voter's accuracy is the mean of the posterior over what it fired
-    on, drawn to its prior by pseudo-counts of half its firings and ten, for votes that nothing else confirms or
-    contradicts. Joint firings beyond chance make voters of one sign share their weight.
+    Each round sums over the distinct patterns. Up to `most_local` of them, counted first, are summed on the driver,
+    more by a pass over their table that returns one row per partition; the sums are the same.
     """
-    model = LabelModel.start()
     m = len(VOTERS)
-    for _ in range(rounds):
-        current = model
+    head = patterns.limit(most_local + 1).collect()
+    x, n = _matrix([r["pattern"] for r in head]), np.array([float(r["n"]) for r in head])
+
+    def sums(make) -> np.ndarray:
+        if len(head) <= most_local:
+            return make(x, n)
 
-        def sums(frames: Iterator[pd.DataFrame], current: LabelModel = current) -> Iterator[pd.DataFrame]:
-            total, fired, bad, pair = np.zeros(2), np.zeros((3, m)), np.zeros((3, m)), np.zeros((m, m))
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                x, n = _matrix(f["pattern"].tolist()), f["n"].to_numpy(float)
-                p = current.probability(x)
-                beside = _context(x)
-                total += [n.sum(), (n * p).sum()]
-                for c in range(3):
-                    some = beside == c
-                    fired[c] += n[some] @ x[some]
-                    bad[c] += (n * p)[some] @ x[some]
-                pair += (x * n[:, None]).T @ x
-            yield pd.DataFrame({"s": [np.concatenate([total, fired.ravel(), bad.ravel(), pair.ravel()]).tolist()]})
-
-        parts = [np.array(r["s"]) for r in patterns.mapInPandas(sums, "s array<double>").toLocalIterator()]
-        got = np.sum(parts, axis=0) if parts else np.zeros(1)
-        if not got[0]:
-            return model
-        total, fired, bad, pair = got[:2], got[2 : 2 + 3 * m].reshape(3, m), got[2 + 3 * m : 2 + 6 * m].reshape(3, m), got[2 + 6 * m :].reshape(m, m)
-        share_bad = float(np.clip(total[1] / max(total[0], 1), 1e-4, 0.3))
-        odds = share_bad / (1 - share_bad)
-        prior = LabelModel.start().right
-        prior[:, _SIGN < 0] = _CALMS * odds / (1 + _CALMS * odds)
-        weight = 0.5 * fired + 10
-        right = (bad + weight * prior) / (fired + weight)
-        right[:, _SIGN < 0] = np.minimum(right[:, _SIGN < 0], prior[:, _SIGN < 0])
-        right[0] = np.where(_SIGN > 0, np.maximum(right[0], 0.3), right[0])
-        q = np.diag(pair) / max(total[0], 1)
-        sd = np.sqrt(np.clip(q * (1 - q), 1e-12, None))
-        corr = np.clip((pair / max(total[0], 1) - np.outer(q, q)) / np.outer(sd, sd), 0, 1) * np.equal.outer(_SIGN, _SIGN) * (pair > 0)
-        np.fill_diagonal(corr, 0)
-        model = LabelModel(odds, right, corr)
+                yield pd.DataFrame({"s": [make(_matrix(f["pattern"].tolist()), f["n"].to_numpy(float)).tolist()]})
+
+        return np.sum([np.array(r["s"]) for r in patterns.mapInPandas(run, "s array<double>").toLocalIterator()], axis=0)
+
+    nothing = LabelModel(_START_SHARE, np.where(_HARM, _START_RIGHT, 0.0), np.zeros((2, m)), np.outer(_START_BESIDE, np.ones(m)), np.zeros((m, m)))
+    if not head:
+        return nothing
+    got = sums(_counted)
+    total, fired, pair = max(got[0], 1.0), got[1 : 1 + m], got[1 + m :].reshape(m, m)
+    q = fired / total
+    sd = np.sqrt(np.clip(q * (1 - q), 1e-12, None))
+    alike = np.clip((pair / total - np.outer(q, q)) / np.outer(sd, sd), 0, 1) * np.outer(_HARM, _HARM) * (pair > 0)
+    np.fill_diagonal(alike, 0)
+
+    def with_rates(share: float, right: np.ndarray, beside: np.ndarray) -> LabelModel:
+        speaks = np.stack([(1 - right) * fired / (total * (1 - share)), right * fired / (total * share)])
+        return LabelModel(share, right, np.clip(speaks, 0, 0.95), beside, alike)
+
+    model = with_rates(nothing.share, nothing.right, nothing.beside)
+    for _ in range(rounds):
+        got = sums(lambda a, b, now=model: _expected(now, a, b))
+        (harmful, loud_bad, loud_good), (bad, bad_beside, good_beside) = got[:3], got[3:].reshape(3, m)
+        right = np.where(_HARM, (bad + _RIGHT_FIRINGS * _START_RIGHT) / (fired + _RIGHT_FIRINGS), 0.0)
+        beside = np.stack([
+            (good_beside + _BESIDE_FIRINGS * _START_BESIDE[0]) / (loud_good + _BESIDE_FIRINGS),
+            (bad_beside + _BESIDE_FIRINGS * _START_BESIDE[1]) / (loud_bad + _BESIDE_FIRINGS),
+        ])
+        model = with_rates(float(np.clip(harmful / total, 1e-5, 0.5)), right, beside)
     return model
 
 
@@ -431,13 +438,15 @@ BITS = 17
 
 
 def _grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the hashed 2- to 4-grams of characters, digits alike."""
-    codes = np.concatenate([np.frombuffer(u.encode("utf-32-le", "replace"), np.uint32) for u in units]).astype(np.uint64)
-    sizes = np.array([len(u) for u in units])
-    row = np.repeat(np.arange(len(units)), sizes)
+    """(row, feature) of the hashed 3- and 4-grams of characters, digits alike, blanks left out: speech recognisers
+    drop them."""
+    # Remarks hold no line break, so one parts them.
+    codes = np.frombuffer("\n".join(["", *units]).replace(" ", "").encode("utf-32-le", "replace"), np.uint32)
+    start = codes == 10
+    row = np.cumsum(start) - 1
     codes = np.where((codes >= 48) & (codes < 58), 48, codes).astype(np.uint64)
     rows, feats = [], []
-    for n, seed in ((2, 0x9E3779B97F4A7C15), (3, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+    for n, seed in ((3, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
         if len(codes) < n:
             continue
         h = np.zeros(len(codes) - n + 1, np.uint64)
@@ -445,7 +454,7 @@ def _grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(seed)
                 h ^= h >> np.uint64(29)
-        inside = row[: len(h)] == row[n - 1 :]
+        inside = (row[: len(h)] == row[n - 1 :]) & ~start[: len(h)]
         rows.append(row[: len(h)][inside])
         feats.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
     if not rows:
@@ -455,140 +464,122 @@ def _grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Linear:
-    """Logistic regression over voters and hashed n-grams."""
+    """Logistic regression over hashed n-grams; it does not see the voters."""
 
     grams: np.ndarray
-    voters: np.ndarray
     bias: float
 
-    def logit(self, units: list[str], fired: np.ndarray) -> np.ndarray:
+    def logit(self, units: list[str]) -> np.ndarray:
         row, f = _grams(units)
         n = np.bincount(row, minlength=len(units)).clip(1)
-        s = np.bincount(row, self.grams[f], minlength=len(units)) / np.sqrt(n)
-        return s + fired @ self.voters + self.bias
-
-
-def fit_linear(units: list[str], fired: np.ndarray, target: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-6, seed: int = 7) -> Linear:
-    """Adagrad on soft labels; both classes weigh alike, none more than 50-fold."""
-    mass = np.array([(1 - target).sum(), target.sum()])
-    lift = float(np.clip(mass[0] / max(mass[1], 1e-9), 1, 50))
-    rng = np.random.default_rng(seed)
-    # Voters start with their direction, so one that the sample never heard still counts.
-    model = Linear(np.zeros(1 << BITS), np.where(_SIGN > 0, 5.5, -3.0).astype(float), -2.0)
-    ga, gv, gb = np.full(1 << BITS, 1e-3), np.full(fired.shape[1], 1e-3), 1e-3
-    order = np.arange(len(units))
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for at in range(0, len(order), 512):
-            pick = order[at : at + 512]
-            sub = [units[i] for i in pick]
-            row, f = _grams(sub)
-            n = np.sqrt(np.bincount(row, minlength=len(sub)).clip(1))
-            x = fired[pick]
-            z = np.bincount(row, model.grams[f], minlength=len(sub)) / n + x @ model.voters + model.bias
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[pick]) * (1 + (lift - 1) * target[pick]) / len(sub)
-            g = np.bincount(f, (e / n)[row], minlength=1 << BITS) + decay * model.grams
-            v = x.T @ e
-            ga += g * g
-            gv += v * v
-            gb += e.sum() ** 2
-            model.grams -= rate * g / np.sqrt(ga)
-            model.voters -= rate * v / np.sqrt(gv)
-            model.bias -= rate * e.sum() / np.sqrt(gb)
-    return model
+        return np.bincount(row, self.grams[f], minlength=len(units)) / np.sqrt(n) + self.bias
+
+
+def fit_linear(units: list[str], target: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-6, lift: float = 3.0) -> Linear:
+    """Adagrad over all remarks on soft labels; a harmful one weighs `lift` times as much as another."""
+    row, f = _grams(units)
+    n = len(units)
+    value = (1 / np.sqrt(np.bincount(row, minlength=n).clip(1)))[row]
+    seen, at = np.unique(f, return_inverse=True)
+    weight = 1 + (lift - 1) * target
+    weight = weight / weight.sum()
+    w, bias = np.zeros(len(seen)), -4.0
+    gw, gb = np.full(len(seen), 1e-8), 1e-8
+    for _ in range(rounds):
+        z = np.bincount(row, w[at] * value, minlength=n) + bias
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
+        g = np.bincount(at, e[row] * value, minlength=len(seen)) + decay * w
+        gw += g * g
+        gb += e.sum() ** 2
+        w -= rate * g / np.sqrt(gw)
+        bias -= rate * e.sum() / np.sqrt(gb)
+    grams = np.zeros(1 << BITS)
+    grams[seen] = w
+    return Linear(grams, float(bias))
 
 
 # ---------------------------------------------------------------- operator
 
 
-_KINDS = {"pattern": object, "unit": object, "n": "int64", "h": "int64"}
-
-
-def _training(most_silent: int, sample_chars: int):
-    """Per partition: each speaking remark with its votes and number, the number of silent ones, and the silent ones of smallest hash."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loud: Counter = Counter()
-        silent: list[tuple[int, str]] = []
-        n_silent = 0
-        for f in frames:
-            for t in f["text"]:
-                for u in remarks(t):
-                    v = votes(u)
-                    if v:
-                        loud[",".join(map(str, v)), u if len(u) <= sample_chars else None] += 1
-                        continue
-                    n_silent += 1
-                    if len(u) <= sample_chars:
-                        h = -int.from_bytes(blake2b(u.encode("utf-8", "replace"), digest_size=7).digest(), "big")
-                        if len(silent) < most_silent:
-                            heappush(silent, (h, u))
-                        elif h > silent[0][0]:
-                            heapreplace(silent, (h, u))
-            if len(loud) > 100_000:
-                yield frame(loud)
-                loud.clear()
-        loud["", None] = n_silent
-        yield frame(loud)
-        yield pd.DataFrame({"pattern": "", "unit": [u for _, u in silent], "n": 0, "h": [-h for h, _ in silent]}, columns=["pattern", "unit", "n", "h"]).astype(_KINDS)
-
-    def frame(some: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"pattern": [p for p, _ in some], "unit": [u for _, u in some], "n": list(some.values()), "h": 0}).astype(_KINDS)
+def _lists(flat: list, offsets: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
 
-    return run
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., text) to rows (..., units, votes): the remarks of each text and the voters that speak on each."""
+    for b in batches:
+        units: list[str] = []
+        offsets = [0]
+        for t in b.column(b.num_columns - 1).to_pylist():
+            if t:
+                units += remarks(t)
+            offsets.append(len(units))
+        said = [",".join(map(str, votes(u))) for u in units]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(units, offsets), _lists(said, offsets)], names=[*b.schema.names[:-1], "units", "votes"])
 
-def _scorer(linear: Linear):
-    def score(texts: pd.Series) -> pd.DataFrame:
-        units, owner, fired = [], [], []
-        for k, t in enumerate(texts):
-            for u in remarks(t) if t else ():
-                units.append(u)
-                owner.append(k)
-                fired.append(votes(u))
-        best, kind = np.zeros(len(texts)), [None] * len(texts)
-        n_bad = np.zeros(len(texts), int)
-        for at in range(0, len(units), 20_000):
-            some = units[at : at + 20_000]
-            x = np.zeros((len(some), len(VOTERS)))
-            for r, v in enumerate(fired[at : at + 20_000]):
-                x[r, v] = 1
-            p = 1 / (1 + np.exp(-np.clip(linear.logit(some, x), -30, 30)))
-            for r, (k, v) in enumerate(zip(owner[at : at + 20_000], p)):
-                n_bad[k] += v >= 0.5
-                if v > best[k]:
-                    best[k] = v
-                    told = [VOTERS[i][2] for i in fired[at + r] if VOTERS[i][1] > 0]
-                    kind[k] = max(CATEGORIES, key=lambda c: (told.count(c), -CATEGORIES.index(c))) if told else None
-        return pd.DataFrame({"score": best, "category": [c if b >= 0.5 else None for b, c in zip(best, kind)], "n_remarks": n_bad})
-
-    return F.pandas_udf(score, "struct<score:double,category:string,n_remarks:int>")
-
-
-def train(docs: DataFrame, text_col: str = "text", most_harmful: int = 15_000, most_silent: int = 25_000, most_contested: int = 10_000, sample_chars: int = 400) -> Linear:
-    """The classifier of a corpus: votes of all remarks, label model over all their patterns, linear model on a sample.
+
+def read_remarks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source_key, units, votes) of every document, written to the shared folder: texts are cut and voted on once."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("source_key"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return stage(rows.mapInArrow(_cut, f"doc_id {kind}, source_key string, units array<string>, votes array<string>"), "remarks")
+
+
+def train(read: DataFrame, most_harmful: int = 15_000, most_silent: int = 25_000, most_contested: int = 10_000, sample_chars: int = 400) -> Linear:
+    """The classifier of a corpus: label model over the votes of all remarks of read_remarks(), linear model on a sample.
 
     The linear model learns from at most `most_harmful` remarks whose posterior is 0.5 or more, `most_contested` others
     on which a voter speaks and `most_silent` on which none does, all by smallest hash and of at most `sample_chars`
-    characters.
+    characters. Silent ones above a hash that four times as many may be expected to pass are not looked at.
     """
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    seen = stage(texts.mapInPandas(_training(most_silent, sample_chars), "pattern string, unit string, n bigint, h bigint"), "votes")
-    model = fit_label_model(stage(seen.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")), "patterns"))
+    each = read.select(F.explode(F.arrays_zip("units", "votes")).alias("r")).select(F.col("r.units").alias("unit"), F.col("r.votes").alias("pattern"))
+    counts = stage(each.groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
+    model = fit_label_model(counts)
 
     def belief(p: pd.Series) -> pd.Series:
         return pd.Series(model.probability(_matrix(p.tolist())))
 
-    loud = seen.where("pattern <> '' and unit is not null").groupBy("unit", "pattern").agg(F.sum("n").alias("n")).withColumn("p", F.pandas_udf(belief, "double")("pattern"))
-    order = [F.xxhash64("unit"), "unit"]
+    h = F.xxhash64("unit")
+    order = [h, "unit"]
+    some = each.where(F.length("unit") <= sample_chars)
+    loud = stage(some.where("pattern <> ''").dropDuplicates(["unit"]).withColumn("p", F.pandas_udf(belief, "double")("pattern")), "loud")
     harmful = loud.where("p >= 0.5").orderBy(*order).limit(most_harmful).collect()
-    contested = loud.where("p < 0.5").orderBy(*order).limit(most_contested).collect()
-    silent = seen.where("pattern = '' and n = 0").dropDuplicates(["unit"]).withColumn("p", F.lit(0.0)).orderBy("h", "unit").limit(most_silent).collect()
-    rows = [*harmful, *contested, *silent]
     if not harmful:
-        return Linear(np.zeros(1 << BITS), np.where(_SIGN > 0, 4.0, -4.0).astype(float), -3.0)
-    target = np.array([r["p"] for r in rows])
-    return fit_linear([r["unit"] for r in rows], _matrix([r["pattern"] for r in rows]), target)
+        return Linear(np.zeros(1 << BITS), -3.0)
+    contested = loud.where("p < 0.5").orderBy(*order).limit(most_contested).collect()
+    n_silent = next((r["n"] for r in counts.where("pattern = ''").collect()), 0)
+    top = -(1 << 63) + min(1 << 64, ((1 << 64) // max(n_silent, 1)) * 4 * most_silent)
+    few = some.where("pattern = ''").where(h <= F.lit(min(top, (1 << 63) - 1)))
+    silent = few.dropDuplicates(["unit"]).orderBy(*order).limit(most_silent).collect()
+    target = np.array([*(r["p"] for r in harmful), *(r["p"] for r in contested), *[0.0] * len(silent)])
+    return fit_linear([r["unit"] for r in [*harmful, *contested, *silent]], target)
+
+
+def _scored(linear: Linear):
+    """Function from rows (doc_id, source_key, units, votes) to their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            units, said = b.column(2).flatten().to_pylist(), b.column(3).flatten()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            p = np.zeros(len(units))
+            for at in range(0, len(units), 20_000):
+                p[at : at + 20_000] = 1 / (1 + np.exp(-np.clip(linear.logit(units[at : at + 20_000]), -30, 30)))
+            best = np.zeros(len(sizes))
+            np.maximum.at(best, owner, p)
+            n_bad = np.bincount(owner, p >= 0.5, minlength=len(sizes)).astype(np.int32)
+            kind: list[str | None] = [None] * len(sizes)
+            for i in np.flatnonzero((p >= 0.5) & (p == best[owner])):
+                told = [VOTERS[int(v)][2] for v in (said[int(i)].as_py() or "").split(",") if v and VOTERS[int(v)][1] > 0]
+                if told and kind[owner[i]] is None:
+                    kind[owner[i]] = max(CATEGORIES, key=lambda c: (told.count(c), -CATEGORIES.index(c)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(best, pa.float64()), pa.array(best >= 0.5, pa.bool_()), pa.array(kind, pa.string()), pa.array(n_bad, pa.int32())],
+                names=["doc_id", "source_key", "score", "is_harmful", "category", "n_remarks"],
+            )
+
+    return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", model: Linear | None = None) -> DataFrame:
@@ -596,12 +587,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every document has a row; null and empty texts score 0. Whole texts are read, sentence by sentence. Rows with equal
     ids each have their row. `category` is null for harmless documents and where no voter explains the score. Other
-    columns are ignored.
+    columns are ignored. The remarks are written to the shared folder once, about as large as the texts, and read to
+    train and to score.
     """
-    linear = model or train(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("source_key"), F.col(text_col).alias("_t"))
-    scored = rows.withColumn("_s", _scorer(linear)("_t"))
-    return scored.select("doc_id", "source_key", "_s.score", (F.col("_s.score") >= 0.5).alias("is_harmful"), "_s.category", "_s.n_remarks")
+    read = read_remarks(docs, id_col, text_col, source_col)
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(_scored(model or train(read)), f"doc_id {kind}, source_key string, score double, is_harmful boolean, category string, n_remarks int")
 
 
 def rates(scored: DataFrame) -> DataFrame:

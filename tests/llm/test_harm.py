@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -24,10 +26,16 @@ def test_required_literals_are_necessary():
             assert harm.votes(u) == [k for k, p in enumerate(harm._PATTERNS) if p.search(u)]
 
 
-def test_speech_without_blanks():
-    names = lambda t: {harm.VOTERS[k][0] for u in harm.remarks(t) for k in harm.votes(u)}
-    assert "en_threat" in names("0番目の例を見ていきますsomebodyshouldsmashyourfaceuntilyoustoptalkingえっと")
-    assert names("ませんnobodydeservestobetoldtogoanddiesoideletedthoserepliesえっと") == {"en_wish", "calm_topic"}
+def test_the_classifier_reads_speech_without_blanks_like_other_speech():
+    with_blanks, without = ["somebody should smash your face 12"], ["somebodyshouldsmashyourface34"]
+    assert np.array_equal(harm._grams(with_blanks)[1], harm._grams(without)[1])
+    row, f = harm._grams(["abcd", "", "a b c d", "xy", "语音识别"])
+    assert np.bincount(row, minlength=5).tolist() == [3, 0, 3, 0, 3] and sorted(f[row == 0]) == sorted(f[row == 2])
+    assert harm._grams([]) [0].size == 0 and harm._grams([""])[0].size == 0
+
+
+def test_sentences_end_behind_marks_but_not_titles():
+    assert harm._sentences("see dr. lee. then go! why?ok") == ["see dr. lee. ", "then go! ", "why?", "ok"]
 
 
 def test_long_speech_is_cut_around_the_remark():
@@ -63,12 +71,44 @@ def test_rates(scored):
 def test_label_model(spark):
     v = {n: k for k, (n, *_) in enumerate(harm.VOTERS)}
     p = lambda *n: ",".join(str(v[x]) for x in sorted(n, key=v.get))
-    rows = [("", 10_000), (p("zh_noun", "zh_noun_aimed"), 30), (p("zh_noun", "calm_technical"), 40), (p("en_wish", "calm_topic"), 60), (p("en_wish"), 5), (p("calm_topic"), 9)]
-    m = harm.fit_label_model(spark.createDataFrame(rows, "pattern string, n bigint"))
+    rows = [("", 10_000), (p("zh_noun", "zh_noun_aimed"), 30), (p("zh_noun", "calm_technical"), 40), (p("en_wish", "calm_topic"), 60), (p("en_wish"), 5), (p("calm_topic"), 9), (p("ru_insult"), 3)]
+    table = spark.createDataFrame(rows, "pattern string, n bigint")
+    m = harm.fit_label_model(table)
     q = m.probability(harm._matrix([r[0] for r in rows]))
-    assert q[0] < 0.05 and q[1] > 0.9 and q[2] < 0.5 and q[3] < 0.3 and q[4] > 0.5 and q[5] < 0.05
+    assert q[0] < 0.02 and q[1] > 0.9 and q[2] < 0.3 and q[3] < 0.3 and q[5] < 0.02
+    # How right a voter is comes of the data: one that speaks mostly beside voices against is believed less.
+    assert m.right[v["en_wish"]] < 0.5 < m.right[v["zh_noun_aimed"]] and m.right[v["ru_insult"]] == pytest.approx(0.8, abs=0.05)
     assert m.alike[v["zh_noun"], v["zh_noun_aimed"]] > 0.3
-    assert np.all(harm.fit_label_model(spark.createDataFrame([], "pattern string, n bigint")).right == harm.LabelModel.start().right)
+    far = harm.fit_label_model(table.repartition(3), most_local=2)
+    assert np.allclose(far.right, m.right) and np.allclose(far.beside, m.beside) and far.share == pytest.approx(m.share)
+    assert np.allclose(harm.fit_label_model(table.limit(0)).right[harm._HARM], 0.8)
+
+
+def test_a_third_of_the_voters_withheld(spark):
+    """The classifier, which sees no voter, stands for those that did not speak."""
+    from collections import Counter
+
+    import duckdb
+
+    d = "/root/testdata/sf0.1"
+    docs = duckdb.execute(f"select doc_id, text from '{d}/documents.parquet' where text <> ''").fetchall()
+    verdict = dict(duckdb.execute(f"select doc_id, max(is_harmful) from '{d}/doc_reviews.parquet' group by 1 having count(*) > 1 and min(is_harmful) = max(is_harmful)").fetchall())
+    units = [(i, u) for i, t in docs for u in harm.remarks(t)]
+    said = [harm.votes(u) for _, u in units]
+    voices = [k for k in range(len(harm.VOTERS)) if harm._HARM[k]]
+    for third in range(3):
+        out = set(voices[third::3])
+        heard = [",".join(str(k) for k in v if k not in out) for v in said]
+        model = harm.fit_label_model(spark.createDataFrame(list(Counter(heard).items()), "pattern string, n bigint"))
+        loud = {u: p for (_, u), p in zip(units, heard) if p}
+        silent = sorted({u for (_, u), p in zip(units, heard) if not p}, key=lambda u: zlib.crc32(u.encode()))[:25_000]
+        target = np.concatenate([model.probability(harm._matrix(list(loud.values()))), np.zeros(len(silent))])
+        z = harm.fit_linear([*loud, *silent], target).logit([u for _, u in units])
+        found = {i for (i, _), s in zip(units, z) if s >= 0}
+        by_voters = {i for (i, _), p, v in zip(units, heard, said) if p and model.probability(harm._matrix([p]))[0] >= 0.5}
+        assert found - by_voters
+        harmful = {i for i, v in verdict.items() if v}
+        assert len(found & harmful) >= 0.8 * len(harmful) and len(found & verdict.keys() - harmful) <= 2
 
 
 def test_empty_table(spark):
