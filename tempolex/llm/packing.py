@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -33,127 +32,127 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, width: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of `room`, the fullest first among the `width` kept.
+def _fillings(kinds: list[int], counts: dict[int, int], room: int, waste: int, width: int, steps: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` that leave `waste` at most, the fullest first; `width` of them, found in `steps`.
 
-    Martello-Toth dominance in the form that is cheap to test: a filling is dropped if an item outside it fits into the
-    room it leaves, or may take the place of a smaller one of its own. Fillings leaving more than `waste` are cut off.
+    `kinds` are the open sizes, negated and ascending. Martello-Toth dominance in the form that is cheap to test: a
+    filling is dropped if an item outside it fits into the room it leaves, or may take the place of a smaller one of
+    its own.
     """
     kept: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def walk(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 40 * width:
-            return
-        start = at
-        while start < len(sizes) and (sizes[start] > left or chosen.count(sizes[start]) >= counts[sizes[start]]):
-            start += 1
-        if start == len(sizes):
-            spare = [y for y in sizes if chosen.count(y) < counts[y]] if left <= waste else [0]
-            if not any(y <= left or any(x < y <= x + left for x in chosen) for y in spare):
+    n = len(kinds)
+    done = 0
+
+    def dominated(left: int, chosen: tuple[int, ...]) -> bool:
+        if not left:
+            return False
+        spare = lambda k: chosen.count(-kinds[k]) < counts[-kinds[k]]
+        if any(spare(k) for k in range(bisect_left(kinds, -left), n)):
+            return True
+        return any(spare(k) for x in set(chosen) for k in range(bisect_left(kinds, -x - left), bisect_left(kinds, -x)))
+
+    # Depth first, the larger item and the more copies of it first; without recursion, as a container may hold
+    # thousands of items. An entry: place among the kinds, room left, chosen, copies to take of the kind (None: most).
+    stack: list[tuple[int, int, tuple[int, ...], int | None]] = [(0, room, (), None)]
+    while stack and done < steps and len(kept) < width:
+        at, left, chosen, copies = stack.pop()
+        done += 1
+        at = max(at, bisect_left(kinds, -left))
+        if at == n:
+            if left <= waste and not dominated(left, chosen):
                 kept.append((left, chosen))
-            return
-        walk(start, left - sizes[start], (*chosen, sizes[start]))
-        if len(kept) < width and any(s <= left for s in sizes[start + 1 :]):
-            walk(start + 1, left, chosen)
-
-    walk(0, room, ())
+            continue
+        size = -kinds[at]
+        if copies is None:
+            copies = min(counts[size], left // size)
+        if copies:
+            stack.append((at, left, chosen, copies - 1))
+        stack.append((at + 1, left - copies * size, chosen + (size,) * copies, None))
     kept.sort(key=lambda x: (x[0], len(x[1])))
-    seen = set()
-    for _, chosen in kept[:width]:
-        if chosen not in seen:
-            seen.add(chosen)
-            yield chosen
+    return list(dict.fromkeys(chosen for _, chosen in kept))
 
 
-def bin_completion(sizes: list[int], capacity: int, node_limit: int = 20_000, width: int = 12, exact_up_to: int = 60) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, node_limit: int = 5_000, width: int = 12, steps: int = 480) -> list[list[int]]:
     """Positions of `sizes` by bin, every bin within `capacity`.
 
-    Branch and bound over bins, not items: the largest open item is given an undominated filling, then the next one.
-    A branch is cut when the waste so far exceeds what the best solution known can afford, which is seeded with
-    best-fit decreasing. Ends at once if the lower bound ceil(sum / capacity) is met. Items beyond `exact_up_to` are
-    first completed with the largest items that fit, the search deciding over the smallest rest; after
-    `node_limit` nodes the best solution found stands.
+    Branch and bound over bins, not items, from the first bin on: the largest open item is given an undominated
+    filling, then the next one. A branch is cut when its waste exceeds what one bin less than the best solution known
+    can afford; that solution is seeded with best-fit decreasing. The search ends, with a proof that no fewer bins do,
+    at the lower bound ceil(sum / capacity), which best-fit may meet itself, or when all branches are cut. Its limits:
+    `node_limit` bins opened, and for each the first `width` fillings found in `steps` steps; the best solution found
+    stands then.
     """
     if any(s > capacity or s <= 0 for s in sizes):
         raise ValueError("sizes must be in 1..capacity")
     incumbent = best_fit(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    if len(incumbent) <= bound:
+    total = sum(sizes)
+    bound = -(-total // capacity)
+    best_n, best = len(incumbent), None
+    if best_n <= bound:
         return incumbent
     pools: dict[int, list[int]] = {}
     for i in sorted(range(len(sizes)), key=lambda i: -i):
         pools.setdefault(sizes[i], []).append(i)
     counts = {s: len(p) for s, p in pools.items()}
-    total, n = sum(sizes), len(sizes)
-    head: list[tuple[int, ...]] = []
-
-    def distinct(c: dict[int, int]) -> list[int]:
-        return sorted((s for s, k in c.items() if k), reverse=True)
-
-    while n > exact_up_to:
-        kinds = distinct(counts)
-        first = kinds[0]
-        counts[first] -= 1
-        fill = _greedy_fill([s for s in kinds if counts[s]], counts, capacity - first)
-        for s in fill:
-            counts[s] -= 1
-        head.append((first, *fill))
-        n -= 1 + len(fill)
-        total -= first + sum(fill)
-    best: list[tuple[int, ...]] | None = None
-    best_n = len(incumbent) - len(head)
-    low = -(-total // capacity)
+    kinds = sorted(-s for s in counts)
     nodes = 0
 
-    def search(chosen: list[tuple[int, ...]], waste: int) -> None:
-        nonlocal best, best_n, nodes
+    def take(some: tuple[int, ...]) -> None:
+        for s in some:
+            counts[s] -= 1
+            if not counts[s]:
+                del kinds[bisect_left(kinds, -s)]
+
+    def put(some: tuple[int, ...]) -> None:
+        for s in some:
+            if not counts[s]:
+                insort(kinds, -s)
+            counts[s] += 1
+
+    chosen: list[tuple[int, ...]] = []
+
+    def opened(waste: int) -> tuple | None:
+        """The next bin: its largest item, its fillings, the waste before it; None where the branch ends."""
+        nonlocal nodes, best, best_n
         nodes += 1
-        kinds = distinct(counts)
         if not kinds:
             if len(chosen) < best_n:
                 best, best_n = list(chosen), len(chosen)
-            return
+            return None
         allowed = (best_n - 1) * capacity - total - waste
-        if allowed < 0 or nodes > node_limit or best_n <= low:
-            return
-        first = kinds[0]
-        counts[first] -= 1
-        rest = [s for s in kinds if counts[s]]
-        for fill in list(_fillings(rest, counts, capacity - first, allowed, width)):
-            for s in fill:
-                counts[s] -= 1
-            search([*chosen, (first, *fill)], waste + capacity - first - sum(fill))
-            for s in fill:
-                counts[s] += 1
-            if best_n <= low:
-                break
-        counts[first] += 1
-
-    search([], 0)
-    if best is None or len(head) + best_n >= len(incumbent):
+        if allowed < 0:
+            return None
+        first = -kinds[0]
+        take((first,))
+        return first, iter(_fillings(kinds, counts, capacity - first, allowed, width, steps)), waste
+
+    stack = [opened(0)]
+    filled: list[tuple[int, ...] | None] = [None]
+    while stack:
+        first, fillings, waste = stack[-1]
+        if filled[-1] is not None:
+            put(filled[-1])
+            chosen.pop()
+            filled[-1] = None
+        fill = None if nodes > node_limit or best_n <= bound else next(fillings, None)
+        if fill is None:
+            put((first,))
+            stack.pop()
+            filled.pop()
+            continue
+        take(fill)
+        chosen.append((first, *fill))
+        filled[-1] = fill
+        if (child := opened(waste + capacity - first - sum(fill))) is not None:
+            stack.append(child)
+            filled.append(None)
+    if best is None:
         return incumbent
-    out = []
-    for b in head + best:
-        out.append([pools[s].pop() for s in b])
-    return out
-
-
-def _greedy_fill(kinds: list[int], counts: dict[int, int], room: int) -> list[int]:
-    """The largest item that fits, again and again."""
-    fill: list[int] = []
-    left = room
-    for s in kinds:
-        while s <= left and fill.count(s) < counts[s]:
-            fill.append(s)
-            left -= s
-    return fill
+    return [[pools[s].pop() for s in b] for b in best]
 
 
 def pack_documents(
-    docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, node_limit: int = 20_000
+    docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, node_limit: int = 5_000, width: int = 12, steps: int = 480
 ) -> DataFrame:
     """Containers of at most `capacity` tokens (UTF-8 bytes), only a document above it being split.
 
@@ -161,8 +160,8 @@ def pack_documents(
     becomes pieces as full as whole characters allow; its last piece is packed with the other items. Repeated ids are
     packed as often as they occur. Other columns are ignored.
 
-    Documents are dealt by a hash of their id into blocks of about `block_tokens`, each packed by bin completion in one
-    task: a block's open container wastes at most 1 in block_tokens / capacity, whatever the sources look like, and
+    Documents are dealt by a hash of their id into blocks of about `block_tokens`, each packed by bin_completion() with
+    the given limits in one task: a block's open container wastes at most 1 in block_tokens / capacity, whatever the sources look like, and
     sizes alone are shuffled, not texts, and texts are read once.
     """
     if capacity < 4:
@@ -191,7 +190,7 @@ def pack_documents(
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece_no", "n_tokens"], kind="stable").reset_index(drop=True)
         bin_no = [0] * len(pdf)
-        for b, members in enumerate(bin_completion(pdf["n_tokens"].tolist(), capacity, node_limit)):
+        for b, members in enumerate(bin_completion(pdf["n_tokens"].tolist(), capacity, node_limit, width, steps)):
             for i in members:
                 bin_no[i] = b
         pdf["bin_no"] = pd.Series(bin_no, dtype="int32")

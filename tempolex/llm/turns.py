@@ -233,14 +233,25 @@ class Fillers:
 
 @dataclass
 class TurnModel:
-    """Everything the workers need: roster, fillers, and the two trained models."""
+    """Everything the workers need: roster, fillers, and the trained models.
+
+    `label` judges candidates, `pause` how likely the speaker changes between two adjacent pieces by gap and context
+    alone, `boundary` decides whether a turn begins between them, `filler` which words fill a pause.
+    """
 
     roster: Roster
     fillers: Fillers
+    label: Boosted
+    pause: Boosted
     boundary: Boosted
     filler: Boosted
 
 
+#: What the pause model sees of two adjacent pieces, and what the boundary model sees.
+PAUSE_FEATURES = ("gap", "within_segment", "prior_ends", "prior_length", "next_length", "next_opens_with_filler", "prior_spoken")
+PAIR_FEATURES = ("label", "same_speaker", "pause", "gap", "within_segment")
+
+
 #: Candidates every transcript agrees on, (features that differ from zero), label; so that a corpus
 #: without a counter-example of its own still knows one.
 _PRIOR = [
@@ -257,56 +268,153 @@ def _prior() -> tuple[np.ndarray, np.ndarray]:
     return np.array([[float(d.get(f, 0)) for f in FEATURES] for d, _ in _PRIOR]), np.array([y for _, y in _PRIOR], float)
 
 
+def _pair_prior() -> tuple[np.ndarray, np.ndarray]:
+    """Adjacent pieces every transcript agrees on: a label of another speaker begins a turn, nothing else does."""
+    rows = [((p, s, 0.3, g, w), float(p > 0.5 and s < 1)) for p in (0.0, 0.1, 0.9, 1.0) for s in (0.0, 0.5, 1.0) for g in (-1.0, 0.1, 1.0) for w in (0.0, 1.0)]
+    return np.array([x for x, _ in rows]), np.array([y for _, y in rows])
+
+
 def _squeeze(text: str) -> str:
     return re.sub(rf"[\W_{INVISIBLE}]", "", _flat(text).lower())
 
 
+def _weighted(px: np.ndarray, py: np.ndarray, x: list, y: list) -> Boosted:
+    """Trees over what was seen; the prior weighs little beside it, and all where nothing was seen."""
+    if not x:
+        return Boosted().fit(px, py)
+    weight = np.concatenate([np.full(len(py), 0.05), np.ones(len(y))])
+    return Boosted().fit(np.vstack([px, np.array(x)]), np.concatenate([py, np.array(y)]), weight)
+
+
 def train(rows: list, texts: dict, roster: Roster, fillers: Fillers) -> TurnModel:
-    """Both models from segments (result_id, content, gap) and the cleaned texts of their runs.
+    """The models from segments (result_id, content, gap), in order, and the cleaned texts of their runs.
 
-    A candidate is a boundary if the run's text lacks it together with what follows: a label is cleaned away, a mention
-    stays. A filler is one if the text joins its neighbours without it. Undecidable cases are not used.
+    A candidate is a label if the run's text lacks it together with what follows: a label is cleaned away, a mention
+    stays. Two adjacent pieces have a boundary between them if the second begins with a label of another speaker than
+    the one before. A filler is one if the text joins its neighbours, in the segment or beyond it, without it.
+    Undecidable cases are not used.
     """
     pattern = roster.pattern()
     x, y, fx, fy = [], [], [], []
+    seen: list[tuple] = []
     for rid, content, gap in rows:
         clean = texts.get(rid)
-        if not content or not clean:
-            continue
-        flat, found = candidates(content, roster, pattern, gap, None)
+        flat, found = candidates(content, roster, pattern, gap, None) if content else ("", [])
+        truth: list[float | None] = []
         for c in found:
             after = _squeeze(flat[c.end : c.end + 40])[:5]
             label = _squeeze(flat[c.start : c.end])
-            if not after:
-                continue
-            kept = label + after in clean
-            if not kept and after not in clean:
-                continue
-            x.append(c.features)
-            y.append(0.0 if kept else 1.0)
-        speech = _SOUND.sub(" ", _STAMP.sub(" ", _cut(flat, [(c.start, c.end) for c in found])))
-        for m in fillers.find.finditer(speech):
-            left, right = _squeeze(speech[max(0, m.start() - 12) : m.start()])[-4:], _squeeze(speech[m.end() : m.end() + 12])[:4]
+            kept = bool(clean) and label + after in clean
+            truth.append(None if not after or not clean or not kept and after not in clean else 0.0 if kept else 1.0)
+            if truth[-1] is not None:
+                x.append(c.features)
+                y.append(truth[-1])
+        seen.append((rid, flat, gap, found, truth))
+    label = _weighted(*_prior(), x, y)
+
+    # Pieces in order, each with what is known of the boundary before it.
+    made = _pieces(seen, label)
+    targets: list[float | None] = []
+    speaker: str | None = None
+    run = object()
+    for piece in made:
+        if piece.run != run:
+            run, speaker = piece.run, None
+        if piece.code is None:
+            targets.append(0.0 if speaker else None)
+        elif piece.truth is None:
+            targets.append(None)
+            speaker = piece.code if piece.label >= 0.5 else speaker
+        elif not piece.truth:
+            targets.append(0.0)
+        else:
+            targets.append(float(piece.code != speaker))
+            speaker = piece.code
+    px = _pause_features(made, fillers)
+    told = [i for i, t in enumerate(targets) if t is not None]
+    pause = Boosted(depth=4).fit(px[told], np.array([targets[i] for i in told])) if told else Boosted().fit(np.zeros((2, len(PAUSE_FEATURES))), np.array([0.0, 1.0]))
+    bx = _pair_features(made, px, pause)
+    boundary = _weighted(*_pair_prior(), [bx[i] for i in told], [targets[i] for i in told])
+
+    for k, piece in enumerate(made):
+        clean = texts.get(piece.run)
+        if not clean:
+            continue
+        prior = _squeeze(made[k - 1].speech[-12:]) if k and made[k - 1].run == piece.run else ""
+        behind = _squeeze(made[k + 1].speech[:12]) if k + 1 < len(made) and made[k + 1].run == piece.run else ""
+        for m in fillers.find.finditer(piece.speech):
+            left = (prior + _squeeze(piece.speech[max(0, m.start() - 12) : m.start()]))[-4:]
+            right = (_squeeze(piece.speech[m.end() : m.end() + 12]) + behind)[:4]
             if len(right) < 3:
                 continue
             with_it, without = left + _squeeze(m[0]) + right in clean, left + right in clean
             if with_it != without:
-                fx.append(fillers.features(speech, m))
+                fx.append(fillers.features(piece.speech, m))
                 fy.append(float(without))
-    px, py = _prior()
-    bx = np.vstack([px, np.array(x)]) if x else px
-    by = np.concatenate([py, np.array(y)])
-    boundary = Boosted().fit(bx, by)
     filler = Boosted().fit(np.array(fx), np.array(fy)) if fx else Boosted().fit(np.array([[0.0] * 6, [4.0] * 6]), np.array([1.0, 0.0]))
-    return TurnModel(roster, fillers, boundary, filler)
+    return TurnModel(roster, fillers, label, pause, boundary, filler)
 
 
-def _cut(text: str, spans: list[tuple[int, int]]) -> str:
-    out, at = [], 0
-    for a, b in spans:
-        out.append(text[at:a])
-        at = b
-    return "\n".join([*out, text[at:]])
+@dataclass
+class Piece:
+    """A stretch of speech that may begin a turn: the head of a segment, or what is behind a candidate in it."""
+
+    run: object
+    segment: int
+    code: str | None
+    label: float
+    truth: float | None
+    gap: float
+    inside: bool
+    speech: str
+    start: int
+    end: int
+    same: float = 0.5
+
+
+def _pieces(seen: list[tuple], label: Boosted, before: str | None = None) -> list[Piece]:
+    """Pieces of segments (run, flat text, gap, candidates, truths) in order; runs that change forget the speaker.
+
+    A candidate that the label model refuses stays in the speech of the piece it stands in, but is looked at as a
+    piece of its own by the boundary model too.
+    """
+    x = [c.features for *_, found, _ in seen for c in found]
+    p = iter(label.probability(np.array(x)) if x else [])
+    out: list[Piece] = []
+    speaker, run = before, seen[0][0] if seen else None
+    for k, (rid, flat, gap, found, truth) in enumerate(seen):
+        if rid != run:
+            run, speaker = rid, None
+        heads: list[tuple] = [(0, 0, None, 0.0, None)] + [(c.start, c.end, c.code, float(next(p)), t) for c, t in zip(found, truth)]
+        said = [_SOUND.sub(" ", _STAMP.sub(" ", flat[h[1] : heads[j + 1][0] if j + 1 < len(heads) else len(flat)])) for j, h in enumerate(heads)]
+        # With nothing said before it, a candidate stands at the head of the segment.
+        first = int(len(heads) > 1 and not any(ch.isalnum() for ch in said[0]))
+        for j in range(first, len(heads)):
+            _, start, code, prob, t = heads[j]
+            end = heads[j + 1][0] if j + 1 < len(heads) else len(flat)
+            same = 0.5 if speaker is None else float(code is None or code == speaker)
+            out.append(Piece(rid, k, code, prob, t, gap if j == first else 0.0, j > first, said[j], start, end, same))
+            if code is not None and prob >= 0.5:
+                speaker = code
+    return out
+
+
+def _pause_features(pieces: list[Piece], fillers: Fillers) -> np.ndarray:
+    out = np.zeros((len(pieces), len(PAUSE_FEATURES)))
+    prior = None
+    for k, p in enumerate(pieces):
+        said = prior.speech.rstrip() if prior is not None and prior.run == p.run else ""
+        head = p.speech.lstrip()
+        out[k] = (p.gap, p.inside, said[-1:] in _ENDS if said else 0, min(len(said), 80), min(len(head), 80), bool(fillers.find.match(head)), bool(said))
+        prior = p
+    return out
+
+
+def _pair_features(pieces: list[Piece], pauses: np.ndarray, pause: Boosted) -> np.ndarray:
+    if not pieces:
+        return np.zeros((0, len(PAIR_FEATURES)))
+    odds = pause.probability(pauses)
+    return np.array([(p.label, p.same, o, p.gap, float(p.inside)) for p, o in zip(pieces, odds)])
 
 
 # ---------------------------------------------------------------- one segment after the other
@@ -327,54 +435,79 @@ def _speech(flat: str, original: str, a: int, b: int) -> tuple[str, str]:
     return " ".join([*keep_f, part[at:]]), " ".join([*keep_r, raw[at:]])
 
 
-def parts_of(batch: list[tuple[str | None, float]], model: TurnModel, with_text: bool = False) -> list[list[tuple[str | None, bool, str]]]:
-    """Of each segment (content, gap), in order: (speaker named or None, whether anything is spoken, cleaned speech)."""
+def parts_of(batch: list[tuple[str | None, float]], model: TurnModel, with_text: bool = False, runs: list | None = None, before: str | None = None) -> list[list[tuple[str | None, bool, str]]]:
+    """Of each segment (content, gap), in order: (speaker who begins a turn or None, whether anything is spoken, cleaned speech).
+
+    `runs` tells which segments follow each other (default: none does), `before` who speaks before the first. For every
+    two adjacent pieces the boundary model decides whether a turn begins between them; without a label nobody is known
+    to begin one, and the speaker before goes on. Something is spoken if letters are left beside the words that the
+    filler model takes for fillers, unless the whole is nothing but words of the list.
+    """
     pattern = model.roster.pattern()
-    flats, all_found, x = [], [], []
-    for content, gap in batch:
+    seen = []
+    for k, (content, gap) in enumerate(batch):
         flat, found = candidates(content, model.roster, pattern, gap, None) if content else ("", [])
-        flats.append(flat)
-        all_found.append(found)
-        x += [c.features for c in found]
-    yes = iter(model.boundary.probability(np.array(x)) >= 0.5 if x else [])
-    out = []
-    for (content, _), flat, found in zip(batch, flats, all_found):
-        labels = [c for c in found if next(yes)]
-        parts: list[tuple[str | None, bool, str]] = []
-        if content:
-            edges = [(0, None, labels[0].start if labels else len(flat))]
-            edges += [(c.end, c.code, labels[k + 1].start if k + 1 < len(labels) else len(flat)) for k, c in enumerate(labels)]
-            for a, code, b in edges:
-                speech, raw = _speech(flat, content, a, b)
-                spoken = any(ch.isalnum() for ch in speech) and not model.fillers.nothing_else(speech)
-                if code is not None or spoken:
-                    parts.append((code, spoken, clean_speech(speech, raw, model) if spoken and with_text else ""))
-        out.append(parts)
+        seen.append((k if runs is None else runs[k], flat, gap, found, [None] * len(found)))
+    pieces = _pieces(seen, model.label, before)
+    begins = model.boundary.probability(_pair_features(pieces, _pause_features(pieces, model.fillers), model.pause)) >= 0.5 if pieces else []
+    # A refused candidate is speech of the piece it stands in.
+    spans: list[list] = []
+    for piece, begin in zip(pieces, begins):
+        if piece.code is not None and piece.label < 0.5:
+            if piece.inside:
+                spans[-1][3] = piece.end
+            else:
+                spans.append([piece.segment, None, 0, piece.end, False])
+        else:
+            spans.append([piece.segment, piece.code if begin else None, piece.start, piece.end, piece.code is not None])
+    said = [_speech(seen[k][1], batch[k][0], a, b) if batch[k][0] else ("", "") for k, _, a, b, _ in spans]
+    fillers = [list(model.fillers.find.finditer(speech)) for speech, _ in said]
+    x = [model.fillers.features(speech, m) for (speech, _), ms in zip(said, fillers) for m in ms]
+    drops = iter(model.filler.probability(np.array(x)) >= 0.5 if x else [])
+    out: list[list[tuple[str | None, bool, str]]] = [[] for _ in batch]
+    for (k, code, _, _, labelled), (speech, raw), ms in zip(spans, said, fillers):
+        gone = [m.span() for m in ms if next(drops)]
+        spoken = any(ch.isalnum() for ch in _without(speech, gone)) and not model.fillers.nothing_else(speech)
+        if labelled or spoken:
+            out[k].append((code, spoken, _tidy(raw, gone) if spoken and with_text else ""))
     return out
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _tidy(raw: str, gone: list[tuple[int, int]]) -> str:
+    """Speech without the spans and what strands behind them, blanks and commas at its ends tidied."""
+    for a, b in reversed(gone):
+        while b < len(raw) and raw[b] in ",，、… \t~～":
+            b += 1
+        raw = raw[:a] + raw[b:]
+    return re.sub(r"\s+", " ", raw).strip(" ,，、-—")
+
+
 def clean_speech(speech: str, raw: str, model: TurnModel) -> str:
     """Speech as written, without the fillers the model recognises, blanks and stranded commas tidied."""
     found = list(model.fillers.find.finditer(speech))
-    if found:
-        drop = model.filler.probability(np.array([model.fillers.features(speech, m) for m in found])) >= 0.5
-        for m, d in reversed(list(zip(found, drop))):
-            if d:
-                a, b = m.span()
-                while b < len(raw) and raw[b] in ",，、… \t~～":
-                    b += 1
-                raw = raw[:a] + raw[b:]
-    return re.sub(r"\s+", " ", raw).strip(" ,，、-—")
+    drop = model.filler.probability(np.array([model.fillers.features(speech, m) for m in found])) >= 0.5 if found else []
+    return _tidy(raw, [m.span() for m, d in zip(found, drop) if d])
 
 
 _LOCAL = "result_id bigint, block bigint, local_no int, speaker string, first_no int, first_id bigint, last_no int, last_id bigint, n_segments int, end_speaker string, text string"
 
 
 def _local_turns(model: TurnModel, with_text: bool):
-    """Function over partitions sorted by run, block and number: the turns within each block, the first of unknown speaker."""
+    """Function over partitions sorted by run, block and number: the turns within each block, the first of unknown speaker.
+
+    A row with `mark` stands before its block and tells when the one before it ended, so every gap is known.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, current, prev_to, prev_id = None, [], None, None, None
+        key, rows, current, prev_to, last = None, [], None, None, None
         done: list[tuple] = []
 
         def flush() -> None:
@@ -386,17 +519,21 @@ def _local_turns(model: TurnModel, with_text: bool):
 
         for pdf in frames:
             todo, meta = [], []
-            for rid, block, no, sid, a, b, content in zip(*(pdf[c].tolist() for c in ("result_id", "block", "seg_no", "segment_id", "from_s", "to_s", "content"))):
-                if meta and meta[-1][:4] == (rid, block, no, sid) or not meta and prev_id == (rid, block, no, sid):
+            for rid, block, no, sid, mark, a, b, content in zip(*(pdf[c].tolist() for c in ("result_id", "block", "seg_no", "segment_id", "mark", "from_s", "to_s", "content"))):
+                if last == (rid, block, no, sid):
+                    continue
+                if last is None or last[:2] != (rid, block):
+                    prev_to = None
+                last = (rid, block, no, sid)
+                if mark:
+                    # A row that only tells when the block before ended.
+                    prev_to = b
                     continue
-                same = meta[-1][:2] == (rid, block) if meta else prev_id is not None and prev_id[:2] == (rid, block)
-                gap = a - prev_to if same and prev_to is not None and a is not None and a == a and prev_to == prev_to else -1.0
+                gap = a - prev_to if prev_to is not None and a is not None and a == a and prev_to == prev_to else -1.0
                 todo.append((content, float(gap)))
                 meta.append((rid, block, no, sid))
                 prev_to = b
-            if meta:
-                prev_id = meta[-1]
-            for (rid, block, no, sid), parts in zip(meta, parts_of(todo, model, with_text)):
+            for (rid, block, no, sid), parts in zip(meta, parts_of(todo, model, with_text, [m[:2] for m in meta], current if meta and key == meta[0][:2] else None)):
                 if key != (rid, block):
                     flush()
                     key, rows, current = (rid, block), [], None
@@ -435,16 +572,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def speaker_turns(
-    segments: DataFrame, runs: DataFrame, speakers: DataFrame, fillers: DataFrame, with_text: bool = False, sample_runs: int = 300, sample_segments: int = 12_000, sample_chars: int = 200_000, block: int = 1024, most_broadcast: int = 200_000
+    segments: DataFrame, runs: DataFrame, speakers: DataFrame, fillers: DataFrame, with_text: bool = False, sample_runs: int = 300, sample_segments: int = 12_000, sample_chars: int = 200_000, block: int = 1024, most_broadcast: int = 200_000, most_names: int = 100_000
 ) -> DataFrame:
     """Turns of every diarized run: (result_id, turn_no, speaker_code, first_segment_id, last_segment_id, n_parts[, part_no, text]).
 
-    Labels are found anywhere in the content and accepted by gradient-boosted trees over their surroundings (FEATURES);
-    names are normalised against `speakers` (all spellings, recogniser numbers, one slip of the pen). What is left
-    after labels, clock times and sounds is speech, unless it holds nothing but words of `fillers`. Speech without a
+    Labels are found anywhere in the content and judged by gradient-boosted trees over their surroundings (FEATURES, of
+    which at most the 240 characters before a label); names are normalised against `speakers` (all spellings,
+    recogniser numbers, one slip of the pen). Whether a turn begins between two adjacent segments, or at a label within
+    one, is decided by trees over the label's judgement, the speaker before and the odds of a change by gap and context
+    (PAIR_FEATURES, PAUSE_FEATURES). What is left after labels, clock times and sounds is speech, unless the filler
+    model leaves nothing of it, or it holds nothing but words of `fillers`. Speech without a
     label goes on with the speaker before; before the first label of a run it belongs to nobody and is left out. A part
     of a segment counts once in n_parts. Rows with null ids or numbers are left out; rows delivered again count once;
-    an empty roster gives no turn. Other columns are ignored. With `with_text` the cleaned speech is given, one row per
+    an empty roster gives no turn, more than `most_names` speakers or fillers raise ValueError. Other columns are ignored. With `with_text` the cleaned speech is given, one row per
     turn and block (part_no), so a turn of any length is never gathered in one place; a turn's other columns repeat.
 
     The models are trained on at most `sample_segments` segments of `sample_runs` runs (the smallest by a hash of their
@@ -453,21 +593,28 @@ def speaker_turns(
     that cross blocks are joined over one summary row per block.
     """
     spark = segments.sparkSession
-    roster = Roster.of([r.asDict() for r in speakers.limit(100_000).collect()])
-    model_fillers = Fillers([r["word"] for r in fillers.limit(100_000).collect() if r["word"]])
+    roster = Roster.of([r.asDict() for r in _whole(speakers, most_names, "speakers")])
+    model_fillers = Fillers([r["word"] for r in _whole(fillers.select("word"), most_names, "fillers") if r["word"]])
     own = segments.where("result_id is not null and seg_no is not null and segment_id is not null").select("result_id", "seg_no", "segment_id", "from_s", "to_s", "content")
     diarized = runs.where("diarized and result_id is not null").select("result_id").distinct()
     few = diarized.limit(most_broadcast + 1).count() <= most_broadcast
     own = own.join(F.broadcast(diarized) if few else diarized, "result_id", "left_semi")
     model = _trained(own, runs, roster, model_fillers, sample_runs, sample_segments, sample_chars)
 
-    cells = own.withColumn("block", F.floor(F.col("seg_no") / F.lit(block)).cast("bigint"))
+    cells = own.withColumn("block", F.floor(F.col("seg_no") / F.lit(block)).cast("bigint")).withColumn("mark", F.lit(0))
+    order = W.partitionBy("result_id").orderBy("block")
+    # One row per block, put before the next one of its run: when it ended.
+    last = cells.groupBy("result_id", "block").agg(F.max_by(F.struct("to_s"), F.struct("seg_no", "segment_id")).alias("l"))
+    marks = last.withColumn("next", F.lead("block").over(order)).where("next is not null").select(
+        "result_id", F.lit(-(1 << 31)).alias("seg_no"), F.lit(-1).cast("bigint").alias("segment_id"), F.lit(None).cast("double").alias("from_s"), F.col("l.to_s").alias("to_s"),
+        F.lit(None).cast("string").alias("content"), F.col("next").alias("block"), F.lit(1).alias("mark"),
+    )
+    both = cells.unionByName(marks)
     local = stage(
-        cells.repartition("result_id", "block").sortWithinPartitions("result_id", "block", "seg_no", "segment_id").mapInPandas(_local_turns(model, with_text), _LOCAL),
+        both.repartition("result_id", "block").sortWithinPartitions("result_id", "block", F.desc("mark"), "seg_no", "segment_id").mapInPandas(_local_turns(model, with_text), _LOCAL),
         "turns",
     )
     # One row per block: the speaker it ends with, carried over blocks that name none.
-    order = W.partitionBy("result_id").orderBy("block")
     ends = local.groupBy("result_id", "block").agg(F.max("end_speaker").alias("end_speaker"))
     carried = ends.withColumn("carry", F.last("end_speaker", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).select("result_id", "block", "carry")
     named = local.where("local_no >= 0").join(carried, ["result_id", "block"]).withColumn("speaker", F.coalesce("speaker", "carry")).where("speaker is not null")
@@ -498,6 +645,13 @@ def speaker_turns(
     return turns.join(texts, keys)
 
 
+def _whole(table: DataFrame, most: int, name: str) -> list:
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {name}")
+    return rows
+
+
 def _trained(own: DataFrame, runs: DataFrame, roster: Roster, fillers: Fillers, sample_runs: int, sample_segments: int, sample_chars: int) -> TurnModel:
     told = runs.where("diarized and result_id is not null and text is not null").where((F.length("text") > 0) & (F.length("text") <= sample_chars))
     some = told.select("result_id", "text").orderBy(F.xxhash64("result_id"), "result_id").limit(sample_runs).collect()

@@ -53,6 +53,31 @@ def test_large_sets(n):
     assert len(bins) <= -(-sum(sizes) // 4096) + 1 + n // 50
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_search_over_a_whole_block_beats_best_fit(seed):
+    """Triplets that fill their bins exactly, 90 items: best-fit needs more bins, the search finds fewer."""
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(30):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(251, 1000 - a - 250)
+        sizes += [a, b, 1000 - a - b]
+    rng.shuffle(sizes)
+    bins = bin_completion(sizes, 1000, node_limit=20_000, steps=4_000)
+    valid(sizes, bins, 1000)
+    assert len(bins) < len(best_fit(sizes, 1000))
+
+
+def test_many_small_items_and_a_spent_budget():
+    rng = random.Random(5)
+    sizes = [rng.choice([1, 2, 3, 700, 701]) for _ in range(6000)]
+    for limit in (0, 50):
+        bins = bin_completion(sizes, 1400, node_limit=limit)
+        valid(sizes, bins, 1400)
+        assert len(bins) <= len(best_fit(sizes, 1400))
+    assert bin_completion([1] * 5000, 4096) and len(bin_completion([3, 3, 3], 5)) == 3
+
+
 def test_bad_sizes():
     assert bin_completion([], 10) == []
     with pytest.raises(ValueError):

@@ -79,7 +79,7 @@ def test_mentions_are_learned_from_the_cleaned_text():
     m = train(rows, texts, Roster.of(ROSTER), Fillers(WORDS))
     flat, found = candidates(rows[0][1], m.roster, m.roster.pattern(), 0.1, None)
     assert [c.code for c in found] == ["host", "guest_a"]
-    assert list(m.boundary.probability(np.array([c.features for c in found])) > 0.5) == [True, False]
+    assert list(m.label.probability(np.array([c.features for c in found])) > 0.5) == [True, False]
 
 
 SEG = "segment_id bigint, result_id bigint, seg_no int, from_s double, to_s double, content string"
@@ -137,3 +137,42 @@ def test_name_key():
 def test_very_long_segment(model):
     text = "主持人：好。 " + "这是一句话。 嘉宾甲：再说。 " * 3000
     assert len(parts_of([(text, 0.0)], model)[0]) == 3001
+
+
+def test_gaps_and_speakers_decide_between_adjacent_segments():
+    from tempolex.llm.turns import PAUSE_FEATURES, _squeeze
+
+    rng = random.Random(4)
+    rows, texts, names = [], {}, ["主持人", "嘉宾甲", "嘉宾乙"]
+    for run in range(40):
+        speaker, said = None, []
+        for k in range(12):
+            other = rng.choice(names) if k % 3 == 0 else speaker
+            changes = other != speaker
+            gap = rng.uniform(1, 2) if changes and k else rng.uniform(0, 0.3)
+            speech = f"第{rng.randrange(999)}课讲第{k}点"
+            rows.append((run, f"{other}：{speech}" if changes or rng.random() < 0.5 else speech, gap))
+            said.append(speech)
+            speaker = other
+        texts[run] = _squeeze("".join(said))
+    m = train(rows, texts, Roster.of(ROSTER), Fillers(WORDS))
+    gap = PAUSE_FEATURES.index("gap")
+    assert any(t[0] == gap for tree in m.pause.trees for t in tree)
+    x = np.zeros((2, len(PAUSE_FEATURES)))
+    x[:, 2:] = (0, 10, 10, 0, 1)
+    x[:, gap] = (0.1, 1.5)
+    quiet, long = m.pause.probability(x)
+    assert long > 0.5 > quiet
+    parts = parts_of([("主持人：你好啊", -1.0), ("主持人：接着说", 0.1), ("嘉宾甲：我来说", 1.5), ("再说一句", 0.1)], m, runs=[1] * 4)
+    assert [[c for c, *_ in p] for p in parts] == [["host"], [None], ["guest_a"], [None]]
+
+
+def test_the_filler_model_decides_what_is_spoken(model):
+    assert parts_of([("那个", 0.1), ("那个社会", 0.1), ("um, you know", 0.1)], model)[1] == [(None, True, "")]
+    assert [bool(p) for p in parts_of([("那个", 0.1), ("嗯嗯，那个那个", 0.1), ("um well", 0.1)], model)] == [False, False, True]
+
+
+def test_too_many_names(spark):
+    t = tables(spark, [(1, 1, 0, 0.0, 1.0, "主持人：你好")])
+    with pytest.raises(ValueError):
+        speaker_turns(*t, most_names=2)
