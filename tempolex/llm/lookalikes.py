@@ -55,17 +55,17 @@ def in_script(token: str, script: str) -> str | None:
     return "".join(out)
 
 
-def repairs(token: str, around: str | None) -> list[str]:
+def repairs(token: str, around: str | None, foreign_twins: bool = False) -> list[str]:
     """Readings of a token in one script, the likeliest first.
 
     Mixed tokens: the dominant script is the one with most letters that have no twin elsewhere, then the script of the
-    rest of the text, then the one with most letters. A token wholly of twins in a script foreign to its text
-    (`around`) is read in the text's script.
+    rest of the text, then the one with most letters. With `foreign_twins`, a token wholly of twins in a script foreign
+    to its text (`around`) is read in the text's script.
     """
     letters, own = scripts_of(token)
     if len(letters) > 1:
         order = sorted(letters, key=lambda s: (-own[s], s != around, -letters[s], s))
-    elif around and letters and around not in letters and not own:
+    elif foreign_twins and around and letters and around not in letters and not own:
         order = [around]
     else:
         return []
@@ -77,7 +77,7 @@ def repairs(token: str, around: str | None) -> list[str]:
     return out
 
 
-def doubtful(folded: str) -> list[tuple[str, list[str]]]:
+def doubtful(folded: str, foreign_twins: bool = False) -> list[tuple[str, list[str]]]:
     """Tokens of a folded text that may hold look-alike letters, with their readings."""
     if not _BEYOND_LATIN.search(folded):
         return []
@@ -90,20 +90,19 @@ def doubtful(folded: str) -> list[tuple[str, list[str]]]:
     around = max(total, key=lambda s: (total[s], s)) if total else None
     if around is None and any(scripts_of(t)[0]["Latin"] for t in tokens):
         around = "Latin"
-    return [(t, r) for t in sorted(tokens) if (r := repairs(t, around))]
+    return [(t, r) for t in sorted(tokens) if (r := repairs(t, around, foreign_twins))]
 
 
-def _fold(texts: pd.Series) -> pd.DataFrame:
-    folded, tokens = [], []
-    for t in texts:
-        if t is None:
-            folded.append(None)
-            tokens.append(None)
-            continue
-        f = compatible(t)
-        folded.append(f)
-        tokens.append([{"token": a, "readings": b} for a, b in doubtful(f)] or None)
-    return pd.DataFrame({"folded": folded, "tokens": tokens})
+def _fold(foreign_twins: bool):
+    def fold(texts: pd.Series) -> pd.DataFrame:
+        folded, tokens = [], []
+        for t in texts:
+            f = None if t is None else compatible(t)
+            folded.append(f)
+            tokens.append(None if f is None else [{"token": a, "readings": b} for a, b in doubtful(f, foreign_twins)] or None)
+        return pd.DataFrame({"folded": folded, "tokens": tokens})
+
+    return F.pandas_udf(fold, _FOLDED)
 
 
 def _substitute(folded: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
@@ -120,13 +119,13 @@ def _substitute(folded: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
 _FOLDED = "struct<folded:string,tokens:array<struct<token:string,readings:array<string>>>>"
 
 
-def one_form(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+def one_form(df: DataFrame, text_col: str, keys: list[str], foreign_twins: bool = False) -> DataFrame:
     """df with `form`, the text in the form that all texts of the same look share.
 
     First every text is folded: characters without a shape are removed, compatibility forms, widths and decomposed
     accents become their NFKC form, all blanks one blank, all line breaks one. Case, accents, digits, words and
-    traditional characters stay. Then tokens that mix Latin, Greek and Cyrillic letters, or consist of twins foreign
-    to their text, are read in their dominant script, provided that the reading is a word of the corpus: one of
+    traditional characters stay. Then tokens that mix Latin, Greek and Cyrillic letters are read in their dominant
+    script, with `foreign_twins` also those that consist of twins foreign to their text, provided that the reading is a word of the corpus: one of
     the single-script tokens of all of df's texts. Only doubtful tokens are looked up, their vocabulary counted with
     partial aggregation, so no word list is sent anywhere.
 
@@ -134,7 +133,7 @@ def one_form(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     `keys` name columns that identify a row; rows with equal keys must hold equal texts, rows with null keys are only
     folded. The folded texts are written to the shared folder once and read twice.
     """
-    fold = F.pandas_udf(_fold, _FOLDED)
+    fold = _fold(foreign_twins)
     both, folded, tokens, mapped = (free_name(df, c) for c in ("both", "folded", "tokens", "mapped"))
     base = stage(df.withColumn(both, fold(text_col)).withColumn(folded, F.col(f"{both}.folded")).withColumn(tokens, F.col(f"{both}.tokens")).drop(both), "folded")
     asked = base.where(F.col(tokens).isNotNull()).select(*keys, F.explode(tokens).alias("_t")).select(*keys, "_t.token", "_t.readings")
@@ -156,26 +155,51 @@ def one_form(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return plain.unionByName(mended).drop(folded, tokens)
 
 
-def alike_pairs(forms: DataFrame, id_col: str, group: list, text_col: str, kind: str, step=None) -> DataFrame:
+def digested(forms: DataFrame, text_col: str) -> DataFrame:
+    """forms with the SHA-256 digests of `form` and of the text in their places: narrow rows that compare like the texts."""
+    digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
+    return forms.withColumn("form", digest("form")).withColumn(text_col, digest(text_col))
+
+
+def _usable(forms: DataFrame, id_col: str, group: list, text_col: str, step: str | None) -> DataFrame:
+    some = " and ".join(f"{c} is not null" for c in [id_col, "form", text_col, *group] + ([step] if step else []))
+    return forms.where(some).select(
+        F.col(id_col).cast("bigint").alias("_id"), *group, *([F.col(step).alias("_step")] if step else []), F.col("form").alias("_f"), F.col(text_col).alias("_raw")
+    ).dropDuplicates()
+
+
+def alike_classes(forms: DataFrame, id_col: str, group: list, text_col: str, kind: str) -> DataFrame:
+    """(unit_kind, unit_id, class_id, n_members, n_stored) of the rows whose form a row of the same group shares that is stored otherwise.
+
+    One row per member, none per pair: n_members rows of the class, n_stored different texts among them. Rows with a
+    null id, group column, form or text take no part, rows delivered again count once.
+    """
+    rows = _usable(forms, id_col, group, text_col, None)
+    on = [*group, "_f"]
+    classes = rows.groupBy(*on).agg(F.count_distinct("_id").alias("n_members"), F.count_distinct("_raw").alias("n_stored")).where("n_stored > 1")
+    named = F.sha2(F.concat_ws("|", *(F.sha2(F.col(c).cast("string").cast("binary"), 256) for c in on[:-1]), F.sha2(F.col("_f").cast("binary"), 256)).cast("binary"), 256)
+    return rows.select("_id", *on).dropDuplicates().join(classes, on).select(F.lit(kind).alias("unit_kind"), F.col("_id").alias("unit_id"), named.alias("class_id"), "n_members", "n_stored")
+
+
+def alike_pairs(forms: DataFrame, id_col: str, group: list, text_col: str, kind: str, step: str | None = None, block: int = 1024) -> DataFrame:
     """Pairs (unit_kind, id_a, id_b), smaller id first, of equal form whose texts differ as stored.
 
     `group` names columns that must agree. With `step`, an integer column, the pair must also be consecutive in it.
-    Rows with a null id, group column or form take no part, rows delivered again count once. Pairs are met by equality
-    of group and form only; identical stored texts pair with each other nowhere.
+    Rows with a null id, group column, form or text take no part, rows delivered again count once. Forms and texts are
+    compared by what the columns hold, the texts or their digests (see digested()). Only members of classes with
+    different texts meet, in blocks of about `block` rows of a class, so no class is joined in one task; identical
+    stored texts pair with each other nowhere.
     """
-    rows = forms.where(" and ".join(f"{c} is not null" for c in [id_col, "form", *group] + ([step] if step else []))).select(
-        F.col(id_col).cast("bigint").alias("_id"),
-        *group,
-        *([F.col(step).alias("_step")] if step else []),
-        F.xxhash64("form").alias("_h"),
-        F.hash("form").alias("_h2"),
-        F.xxhash64(text_col, F.length(text_col)).alias("_raw"),
-    )
-    rows = rows.dropDuplicates()
-    on = [*group, "_h", "_h2"]
-    other = rows.withColumnRenamed("_id", "_id2").withColumnRenamed("_raw", "_raw2")
+    rows = _usable(forms, id_col, group, text_col, step)
+    on = [*group, "_f"]
+    renamed = {"_id": "_id2", "_raw": "_raw2"}
     if step:
-        other = other.withColumn("_step", F.col("_step") - 1)
-        on = [*on, "_step"]
-    pairs = rows.join(other, on).where("_raw <> _raw2").where("_id <> _id2" if step else "_id < _id2")
+        other = rows.withColumnsRenamed(renamed).withColumn("_step", F.col("_step") - 1)
+        pairs = rows.join(other, [*on, "_step"]).where("_raw <> _raw2 and _id <> _id2")
+    else:
+        classes = rows.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"), F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+        met = rows.join(classes, on)
+        left = met.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")).drop("_n")
+        right = met.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").withColumnsRenamed(renamed)
+        pairs = left.join(right, [*on, "_b"]).where("_raw <> _raw2 and _id < _id2")
     return pairs.select(F.lit(kind).alias("unit_kind"), F.least("_id", "_id2").alias("id_a"), F.greatest("_id", "_id2").alias("id_b")).dropDuplicates()

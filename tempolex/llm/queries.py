@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import stage, table
 from . import harm, lookalikes, mixing, nearest, packing, sentences, splitting, turns
 
 
@@ -84,7 +84,7 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("unit_kind", "unit_id", "form").dropDuplicates(["unit_kind", "unit_id"])
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
+def _forms(spark: SparkSession, d: str, foreign_twins: bool = True) -> DataFrame:
     runs = table(spark, d, "results")
     segments = table(spark, d, "segments")
     units = runs.select(
@@ -94,18 +94,39 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
             F.lit("segments").alias("unit_kind"), F.col("segment_id").alias("unit_id"), F.lit(None).cast("string").alias("media_id"), F.col("result_id").alias("run"), "seg_no", F.col("content").alias("text")
         )
     )
-    return lookalikes.one_form(units.where("text is not null"), "text", ["unit_kind", "unit_id"])
+    return lookalikes.one_form(units.where("text is not null"), "text", ["unit_kind", "unit_id"], foreign_twins)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    forms = _forms(spark, d)
-    spoken = forms.where("unit_kind = 'segments'").where(F.length(F.trim("form")) > 0)
-    runs = forms.where("unit_kind = 'results' and text <> ''")
-    return lookalikes.alike_pairs(spoken, "unit_id", ["run"], "text", "segments", "seg_no").unionByName(
-        lookalikes.alike_pairs(runs, "unit_id", ["media_id"], "text", "results")
+def _digests(spark: SparkSession, d: str, foreign_twins: bool = True) -> DataFrame:
+    """Forms and texts as digests, written once: segments that are not blank in their form, runs with a text."""
+    forms = _forms(spark, d, foreign_twins).where(F.when(F.col("unit_kind") == "segments", F.length(F.trim("form")) > 0).otherwise(F.col("text") != ""))
+    return stage(lookalikes.digested(forms, "text"), "digests")
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one medium, and segments of one run, that look the same and are stored otherwise: a row per member."""
+    rows = _digests(spark, d)
+    return lookalikes.alike_classes(rows.where("unit_kind = 'segments'"), "unit_id", ["run"], "text", "segments").unionByName(
+        lookalikes.alike_classes(rows.where("unit_kind = 'results'"), "unit_id", ["media_id"], "text", "results")
+    )
+
+
+def _p4_pairs(spark: SparkSession, d: str, foreign_twins: bool) -> DataFrame:
+    rows = _digests(spark, d, foreign_twins)
+    return lookalikes.alike_pairs(rows.where("unit_kind = 'segments'"), "unit_id", ["run"], "text", "segments", "seg_no").unionByName(
+        lookalikes.alike_pairs(rows.where("unit_kind = 'results'"), "unit_id", ["media_id"], "text", "results")
     )
 
 
+def p4_pairs_mixed_only(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the named rule alone, which repairs mixed-script tokens and no others."""
+    return _p4_pairs(spark, d, False)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_pairs(spark, d, True)
+
+
 def _turns(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     return turns.speaker_turns(*(table(spark, d, t) for t in ("segments", "results", "speakers", "fillers")), with_text)
 
