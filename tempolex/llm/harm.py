@@ -361,7 +361,7 @@ class LabelModel:
         quiet = np.log1p(-some[1]) - np.log1p(-some[0])
         calm = fired * ~_HARM
         against = np.where(calm.any(axis=1), (calm * (np.log(b[1]) - np.log(b[0]))).sum(axis=1), quiet)
-        z = base + np.where(loud, (harm * gain / (1 + 0.5 * harm @ self.alike)).sum(axis=1) + against, silent)
+        z = base + np.where(loud, (harm * gain / (1 + harm @ self.alike)).sum(axis=1) + against, silent)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -475,13 +475,13 @@ class Linear:
         return np.bincount(row, self.grams[f], minlength=len(units)) / np.sqrt(n) + self.bias
 
 
-def fit_linear(units: list[str], target: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-6, lift: float = 3.0) -> Linear:
-    """Adagrad over all remarks on soft labels; a harmful one weighs `lift` times as much as another."""
+def fit_linear(units: list[str], target: np.ndarray, times: np.ndarray | None = None, rounds: int = 100, rate: float = 0.3, decay: float = 1e-6, lift: float = 5.0) -> Linear:
+    """Adagrad over all remarks on soft labels, each as often as it occurs; a harmful one weighs `lift` times as much as another."""
     row, f = _grams(units)
     n = len(units)
     value = (1 / np.sqrt(np.bincount(row, minlength=n).clip(1)))[row]
     seen, at = np.unique(f, return_inverse=True)
-    weight = 1 + (lift - 1) * target
+    weight = (1 + (lift - 1) * target) * (1 if times is None else times)
     weight = weight / weight.sum()
     w, bias = np.zeros(len(seen)), -4.0
     gw, gb = np.full(len(seen), 1e-8), 1e-8
@@ -528,31 +528,31 @@ def read_remarks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def train(read: DataFrame, most_harmful: int = 15_000, most_silent: int = 25_000, most_contested: int = 10_000, sample_chars: int = 400) -> Linear:
     """The classifier of a corpus: label model over the votes of all remarks of read_remarks(), linear model on a sample.
 
-    The linear model learns from at most `most_harmful` remarks whose posterior is 0.5 or more, `most_contested` others
-    on which a voter speaks and `most_silent` on which none does, all by smallest hash and of at most `sample_chars`
-    characters. Silent ones above a hash that four times as many may be expected to pass are not looked at.
+    The linear model learns from at most `most_harmful` distinct remarks whose posterior is 0.5 or more and
+    `most_contested` others on which a voter speaks, by smallest hash, each with its count; and from about
+    `most_silent` occurrences of remarks on which none does, drawn by a hash of document and place, so that a remark
+    that is frequent in the corpus is so in the sample. Remarks above `sample_chars` characters are not learned from.
     """
-    each = read.select(F.explode(F.arrays_zip("units", "votes")).alias("r")).select(F.col("r.units").alias("unit"), F.col("r.votes").alias("pattern"))
+    each = read.select("doc_id", F.posexplode(F.arrays_zip("units", "votes")).alias("at", "r")).select("doc_id", "at", F.col("r.units").alias("unit"), F.col("r.votes").alias("pattern"))
     counts = stage(each.groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
     model = fit_label_model(counts)
 
     def belief(p: pd.Series) -> pd.Series:
         return pd.Series(model.probability(_matrix(p.tolist())))
 
-    h = F.xxhash64("unit")
-    order = [h, "unit"]
+    order = [F.xxhash64("unit"), "unit"]
     some = each.where(F.length("unit") <= sample_chars)
-    loud = stage(some.where("pattern <> ''").dropDuplicates(["unit"]).withColumn("p", F.pandas_udf(belief, "double")("pattern")), "loud")
+    loud = stage(some.where("pattern <> ''").groupBy("unit", "pattern").agg(F.count("*").alias("n")).withColumn("p", F.pandas_udf(belief, "double")("pattern")), "loud")
     harmful = loud.where("p >= 0.5").orderBy(*order).limit(most_harmful).collect()
     if not harmful:
         return Linear(np.zeros(1 << BITS), -3.0)
     contested = loud.where("p < 0.5").orderBy(*order).limit(most_contested).collect()
     n_silent = next((r["n"] for r in counts.where("pattern = ''").collect()), 0)
-    top = -(1 << 63) + min(1 << 64, ((1 << 64) // max(n_silent, 1)) * 4 * most_silent)
-    few = some.where("pattern = ''").where(h <= F.lit(min(top, (1 << 63) - 1)))
-    silent = few.dropDuplicates(["unit"]).orderBy(*order).limit(most_silent).collect()
+    drawn = F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 40)) < F.lit(min(1 << 40, (most_silent << 40) // max(n_silent, 1)))
+    silent = some.where("pattern = ''").where(drawn).groupBy("unit").agg(F.count("*").alias("n")).orderBy(*order).limit(2 * most_silent).collect()
+    rows = [*harmful, *contested, *silent]
     target = np.array([*(r["p"] for r in harmful), *(r["p"] for r in contested), *[0.0] * len(silent)])
-    return fit_linear([r["unit"] for r in [*harmful, *contested, *silent]], target)
+    return fit_linear([r["unit"] for r in rows], target, np.array([float(r["n"]) for r in rows]))
 
 
 def _scored(linear: Linear):

@@ -101,9 +101,10 @@ def test_a_third_of_the_voters_withheld(spark):
         heard = [",".join(str(k) for k in v if k not in out) for v in said]
         model = harm.fit_label_model(spark.createDataFrame(list(Counter(heard).items()), "pattern string, n bigint"))
         loud = {u: p for (_, u), p in zip(units, heard) if p}
-        silent = sorted({u for (_, u), p in zip(units, heard) if not p}, key=lambda u: zlib.crc32(u.encode()))[:25_000]
+        times = Counter(u for (_, u), p in zip(units, heard) if p)
+        silent = Counter(u for k, ((_, u), p) in enumerate(zip(units, heard)) if not p and zlib.crc32(str(k).encode()) % 6 == 0)
         target = np.concatenate([model.probability(harm._matrix(list(loud.values()))), np.zeros(len(silent))])
-        z = harm.fit_linear([*loud, *silent], target).logit([u for _, u in units])
+        z = harm.fit_linear([*loud, *silent], target, np.array([*(times[u] for u in loud), *silent.values()], float)).logit([u for _, u in units])
         found = {i for (i, _), s in zip(units, z) if s >= 0}
         by_voters = {i for (i, _), p, v in zip(units, heard, said) if p and model.probability(harm._matrix([p]))[0] >= 0.5}
         assert found - by_voters
