@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .session import free_name
+
 #: One timed piece of text; times in whole milliseconds of the medium's own axis.
 SEGMENT = T.StructType(
     [
@@ -66,8 +68,10 @@ def require_ok(rows: DataFrame) -> DataFrame:
 
 
 def delivered_once(df: DataFrame, key: str) -> DataFrame:
-    """Rows without repeated deliveries: one per key. Null keys stay, each row its own."""
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    """Rows without repeated deliveries: one per key. Null keys stay, each row its own, told apart by a random number,
+    which spreads them too; so one read and one shuffle do."""
+    own = free_name(df, "own")
+    return df.withColumn(own, F.when(F.col(key).isNull(), F.rand(7))).dropDuplicates([key, own]).drop(own)
 
 
 def settings_identity(df: DataFrame, columns: list[str]) -> Column:

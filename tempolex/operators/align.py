@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,59 +20,112 @@ SPAN = "array<struct<tag:string,a_lo:int,a_hi:int,b_lo:int,b_hi:int,a_text:strin
 _MEASURE = "struct<sub:int,omit:int,extra:int,hallucinated:int,ref_chars:int,equal_chars:int,ratio:double>"
 
 
-def opcodes(a: str, b: str, piece: int = 3000) -> list[tuple[str, int, int, int, int]]:
-    """Opcodes from a to b. Matching is quadratic, so beyond `piece` characters texts are cut at common anchors.
+#: Parts whose lengths multiply to no more are matched by difflib, larger ones by hashes; the result is the same.
+_SMALL = 40_000
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    An anchor is a stretch of 24 characters that occurs once in either text; between two anchors (or where there is
-    none) the parts are matched on their own, so long texts cost about the sum of their pieces.
-    """
-    if len(a) <= piece and len(b) <= piece:
-        return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    out: list[list] = []
 
-    def add(tag: str, i1: int, i2: int, j1: int, j2: int) -> None:
-        if out and out[-1][0] == tag and out[-1][2] == i1 and out[-1][4] == j1:
-            out[-1][2], out[-1][4] = i2, j2
-        else:
-            out.append([tag, i1, i2, j1, j2])
+def opcodes(a: str, b: str, small: int = _SMALL) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes from a to b: the longest common block, the earliest of equal ones, then the same on both sides of it.
 
+    The same at any length, and those of difflib without junk, whose way of finding them is quadratic.
+    """
+    out: list[tuple[str, int, int, int, int]] = []
     i = j = 0
-    for x, y, n in [*_anchors(a, b), (len(a), len(b), 0)]:
-        p, q = a[i:x], b[j:y]
-        if p or q:
-            if max(len(p), len(q)) > 4 * piece:
-                parts = [("replace" if p and q else "delete" if p else "insert", 0, len(p), 0, len(q))]
-            else:
-                parts = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
-            for tag, i1, i2, j1, j2 in parts:
-                add(tag, i + i1, i + i2, j + j1, j + j2)
+    for x, y, n in [*matching_blocks(a, b, small), (len(a), len(b), 0)]:
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
         if n:
-            add("equal", x, x + n, y, y + n)
+            out.append(("equal", x, x + n, y, y + n))
         i, j = x + n, y + n
-    return [tuple(o) for o in out]
-
+    return out
 
-def _anchors(a: str, b: str, size: int = 24) -> list[tuple[int, int, int]]:
-    def once(t: str) -> dict[str, int]:
-        at: dict[str, int] = {}
-        for i in range(len(t) - size + 1):
-            g = t[i : i + size]
-            at[g] = -1 if g in at else i
-        return at
 
-    ua, ub = once(a), once(b)
-    found = []
-    i = j = 0
-    for x, g in sorted((x, g) for g, x in ua.items() if x >= 0):
-        y = ub.get(g, -1)
-        if y < j or x < i:
+def matching_blocks(a: str, b: str, small: int = _SMALL) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the common blocks of opcodes(), in order, adjacent ones joined."""
+    found: list[tuple[int, int, int]] = []
+    hashes = _Hashes(a, b) if len(a) * len(b) > small else None
+    todo = [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    while todo:
+        a_lo, a_hi, b_lo, b_hi, most = todo.pop()
+        most = min(most, a_hi - a_lo, b_hi - b_lo)
+        if most < 1:
             continue
-        n = size
-        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
-            n += 1
-        found.append((x, y, n))
-        i, j = x + n, y + n
-    return found
+        if hashes is None or (a_hi - a_lo) * (b_hi - b_lo) <= small:
+            part = SequenceMatcher(None, a[a_lo:a_hi], b[b_lo:b_hi], autojunk=False).get_matching_blocks()
+            found += [(a_lo + i, b_lo + j, n) for i, j, n in part if n]
+            continue
+        size = hashes.longest(a_lo, a_hi, b_lo, b_hi, most)
+        if not size:
+            continue
+        # All blocks of this size from left to right: nothing before one is as long, what is behind it may be.
+        i, j = a_lo, b_lo
+        for x, y in hashes.of_size(size, a_lo, a_hi, b_lo, b_hi):
+            found.append((x, y, size))
+            todo.append((i, x, j, y, size - 1))
+            i, j = x + size, y + size
+        todo.append((i, a_hi, j, b_hi, size - 1))
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return out
+
+
+class _Hashes:
+    """Polynomial hashes of all stretches of two texts; a hit counts only if the texts agree."""
+
+    def __init__(self, a: str, b: str) -> None:
+        self.texts = a, b
+        n = max(len(a), len(b)) + 1
+        with np.errstate(over="ignore"):
+            powers = lambda x: np.cumprod(np.where(np.arange(n) > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64)
+            up, self.down = powers(_BASE), powers(_BASE_INVERSE)
+            codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in (a, b)]
+            self.sums = [np.concatenate([[np.uint64(0)], np.cumsum((c + np.uint64(1)) * up[: len(c)], dtype=np.uint64)]) for c in codes]
+
+    def stretches(self, which: int, lo: int, hi: int, size: int) -> np.ndarray:
+        s = self.sums[which]
+        with np.errstate(over="ignore"):
+            return (s[lo + size : hi + 1] - s[lo : hi + 1 - size]) * self.down[lo : hi + 1 - size]
+
+    def of_size(self, size: int, a_lo: int, a_hi: int, b_lo: int, b_hi: int) -> Iterator[tuple[int, int]]:
+        """Blocks of `size` that follow each other, each the earliest in a, then in b, behind the one before."""
+        a, b = self.texts
+        ha, hb = self.stretches(0, a_lo, a_hi, size), self.stretches(1, b_lo, b_hi, size)
+        order = np.argsort(hb, kind="stable")
+        ranked = hb[order]
+        first, last = np.searchsorted(ranked, ha, "left"), np.searchsorted(ranked, ha, "right")
+        i, j = a_lo, b_lo
+        for k in np.flatnonzero(last > first).tolist():
+            x = a_lo + k
+            if x < i:
+                continue
+            places = order[first[k] : last[k]]
+            want = a[x : x + size]
+            for y in places[np.searchsorted(places, j - b_lo) :].tolist():
+                if b.startswith(want, b_lo + y):
+                    yield x, b_lo + y
+                    i, j = x + size, b_lo + y + size
+                    break
+
+    def longest(self, a_lo: int, a_hi: int, b_lo: int, b_hi: int, most: int) -> int:
+        """Length of the longest common block, at most `most`: sizes doubled until none is met, then halved."""
+        met = lambda size: next(self.of_size(size, a_lo, a_hi, b_lo, b_hi), None) is not None
+        good, bad = 0, 1
+        while bad <= most and met(bad):
+            good, bad = bad, bad * 2
+        bad = min(bad, most + 1)
+        while bad - good > 1:
+            middle = (good + bad) // 2
+            if met(middle):
+                good = middle
+            else:
+                bad = middle
+        return good
 
 
 def measures(hyp: str, ref: str) -> tuple[int, int, int, int, int, int, float]:

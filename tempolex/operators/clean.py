@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import counted
 from .scan import by_number, by_time, scan
 
 # How overlaid adverts and watermarks read.
 NOISE = ["关注", "点赞", "投币", "一键三连", "扫码", "加群", "优惠", "http", "www\\.", "@[A-Za-z0-9_]+", "^[A-Za-z0-9]{1,3}$"]
 # Stable misreadings of a recogniser of subtitles, one character each.
 MISREAD = {"囗": "口", "曰": "日", "巳": "已", "末": "未"}
-# What a failure's text tells, and its code; the first that matches.
-FAILURES = [(22, "412|429|too many requests|rate limit"), (21, "403|forbidden|login|cookie"), (24, "timeout|timed out|ssl|connection"), (26, "browser|cdp|playwright"), (27, "no audio|audio stream"), (23, "404|not found|deleted|不存在")]
+# What a failure's text tells, and its code; the first that matches. 0 is success, 1 not known, 20 no
+# stream on the page, 21 login needed, 22 network, 23 quality not offered, 24 transcription, 26 browser, 27 no audio.
+FAILURES = [(27, "no audio|audio stream"), (21, "403|forbidden|login|cookie"), (22, "timeout|timed out|ssl|connection|412|429|too many requests|rate limit"), (23, "quality|resolution"), (24, "transcri|whisper|cuda"), (26, "browser|cdp|playwright"), (20, "404|not found|deleted|no stream|不存在")]
+# Exceptions whose type alone tells the code.
+FAILURE_TYPES = {"LoginRequired": 21, "PermissionError": 21, "TimeoutError": 22, "ConnectTimeout": 22, "ReadTimeout": 22, "QualityUnavailable": 23, "TranscriptionError": 24}
 
 
 def filler_only(df: DataFrame, fillers: DataFrame, text: str = "text") -> DataFrame:
@@ -21,7 +25,7 @@ def filler_only(df: DataFrame, fillers: DataFrame, text: str = "text") -> DataFr
     """
     bare = F.lower(F.regexp_replace(F.col(text), r"[\s，。、！？,.!?…~～]", ""))
     words = fillers.where("word is not null").select(F.lower(F.regexp_replace("word", r"\s", "")).alias("_bare"), "word").groupBy("_bare").agg(F.min("word").alias("word"))
-    return df.withColumn("_bare", bare).join(F.broadcast(words), "_bare").drop("_bare")
+    return df.withColumn("_bare", bare).join(counted(words), "_bare").drop("_bare")
 
 
 def low_confidence_cards(confidence: str, least: float = 0.5) -> Column:
@@ -50,12 +54,21 @@ def quality_marks(df: DataFrame, logprob: str = "avg_logprob", compression: str
     return df.withColumn("low_confidence", F.col(logprob) < least_logprob).withColumn("suspected_hallucination", F.col(compression) > most_compression)
 
 
-def failure_code(message: Column) -> Column:
-    """Status code of a failure's text; 0 for none, 20 for one not known."""
-    out = F.when(message.isNull(), 0)
+def failure_code(message: Column, kind: Column | None = None) -> Column:
+    """Status code of a failure: 0 for none, 1 for one not known. The type of the exception, where given and known,
+    decides before the text."""
+    known = F.create_map(*(F.lit(x) for pair in FAILURE_TYPES.items() for x in pair))
+    out = F.when(message.isNull() if kind is None else message.isNull() & kind.isNull(), 0)
+    if kind is not None:
+        out = out.when(F.element_at(known, F.element_at(F.split(kind, r"\."), -1)).isNotNull(), F.element_at(known, F.element_at(F.split(kind, r"\."), -1)))
     for code, pattern in FAILURES:
         out = out.when(F.lower(message).rlike(pattern), code)
-    return out.otherwise(20)
+    return out.otherwise(1)
+
+
+def audio_code(has_audio: Column) -> Column:
+    """0 for a source with an audio track; 27 without one, and where the probe failed, which is a null."""
+    return F.when(F.coalesce(has_audio, F.lit(False)), 0).otherwise(27)
 
 
 def adjacent_duplicates(df: DataFrame, key: str, order: str, id_col: str, text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import norm_for_score
+from .align import opcodes
 from .intervals import overlapping
 
 #: Conflicts decided beforehand, wrong form -> right form.
@@ -79,19 +80,64 @@ def conserved(fused: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return need.join(have, [key, "char"], "left").withColumn("missing", F.col("count") - F.coalesce("have", F.lit(0))).where("missing > 0").select(key, "char", "missing")
 
 
-def preferred(text: Column, alternative: Column, table: dict[str, str] | None = None) -> Column:
-    """struct(text, chosen_by): the side with the right form wins where one has the wrong and the other the right one."""
-    out = F.struct(text.alias("text"), F.lit(None).cast("string").alias("chosen_by"))
-    for wrong, right in reversed(list((PREFERENCES if table is None else table).items())):
+def require_conserved(fused: DataFrame, sources: list[DataFrame], key: str) -> DataFrame:
+    """fused, whose job fails where it lacks a character of a source; see conserved()."""
+    lost = None
+    for df in sources:
+        rows = conserved(fused, df, key)
+        lost = rows if lost is None else lost.unionByName(rows)
+    n = lost.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("n")).scalar()
+    failure = F.raise_error(F.concat(F.lit("characters lost in fusion: "), n.cast("string"))).cast("boolean")
+    return fused.where(F.when(n == 0, F.lit(True)).otherwise(failure))
+
+
+def _ruling(text: str, other: str, table: list[tuple[str, str]]) -> tuple[bool, str] | None:
+    """Whether the other side is right, and the entry that says so; None where none does."""
+    pairs = None
+    for wrong, right in table:
         if wrong == right:
             continue
-        rule = F.lit(f"{wrong}→{right}")
-        out = (
-            F.when(F.contains(text, F.lit(wrong)) & F.contains(alternative, F.lit(right)), F.struct(alternative.alias("text"), rule.alias("chosen_by")))
-            .when(F.contains(text, F.lit(right)) & F.contains(alternative, F.lit(wrong)), F.struct(text.alias("text"), rule.alias("chosen_by")))
-            .otherwise(out)
-        )
-    return out
+        if len(wrong) == len(right):
+            if pairs is None:
+                pairs = {(text[i + k], other[j + k]) for tag, i, i2, j, j2 in opcodes(text, other) if tag == "replace" for k in range(min(i2 - i, j2 - j))}
+            said = [(w, r) for w, r in zip(wrong, right) if w != r]
+            if any((w, r) in pairs for w, r in said):
+                return True, f"{wrong}→{right}"
+            if any((r, w) in pairs for w, r in said):
+                return False, f"{wrong}→{right}"
+        elif wrong in text and right in other and right not in text:
+            return True, f"{wrong}→{right}"
+        elif right in text and wrong in other and right not in other:
+            return False, f"{wrong}→{right}"
+    return None
+
+
+def preferred(text: Column, alternative: Column, table: dict[str, str] | None = None) -> Column:
+    """struct(text, chosen_by): of two readings the one with the right form, and the entry wrong→right that decided.
+
+    An entry of equal lengths is split into its characters that differ, and these are compared position by position
+    where the alignment of the readings replaces one by the other, so an entry is found though both readings share
+    most of it. Entries of unequal lengths are looked for as a whole. The first entry that decides wins; where none
+    does, or a reading is null, the text stays and chosen_by is null.
+    """
+    rules = list((PREFERENCES if table is None else table).items())
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(xs, ys):
+            got = None if x is None or y is None or x == y else _ruling(x, y, rules)
+            out.append((x, None) if got is None else (y if got[0] else x, got[1]))
+        return pd.DataFrame(out, columns=["text", "chosen_by"], dtype=object)
+
+    return F.pandas_udf(run, "struct<text:string,chosen_by:string>")(text, alternative)
+
+
+def decided(fused: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+    """A fuse() with chosen_by: where an entry decides a conflict, the reading it prefers is the text, the other the alternative."""
+    p = preferred(F.col("text"), F.col("alternative"), table)
+    rows = fused.withColumn("_p", F.when(F.col("provenance") == "mixed", p))
+    swapped = F.col("_p.chosen_by").isNotNull() & (F.col("_p.text") != F.col("text"))
+    return rows.withColumn("_a", F.when(swapped, F.col("text")).otherwise(F.col("alternative"))).withColumn("text", F.when(swapped, F.col("_p.text")).otherwise(F.col("text"))).withColumn("alternative", F.col("_a")).withColumn("chosen_by", F.col("_p.chosen_by")).drop("_p", "_a")
 
 
 def prefer_source(sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:

@@ -102,6 +102,25 @@ def baseline_gate(scores: DataFrame, baseline: DataFrame, keys: list[str], metri
     return scores.join(b, keys, "left").withColumn("verdict", verdict)
 
 
+def by_mode(scores: DataFrame, key: str, mode: str, metric: str) -> DataFrame:
+    """(key, metric_by_mode): a map from each mode a case was measured in to its value there, the least of several.
+
+    A case is compared with its own mode only; rows with a null key or mode tell nothing.
+    """
+    one = scores.where(F.col(key).isNotNull() & F.col(mode).isNotNull()).groupBy(key, mode).agg(F.min(metric).alias("_m"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(mode).alias("mode"), F.col("_m").alias("m"))))
+    return one.groupBy(key).agg(F.map_from_entries(pairs).alias("metric_by_mode"))
+
+
+def gate_by_mode(scores: DataFrame, baseline: DataFrame, key: str, mode: str, metric: str, tolerance: float = 0.005) -> DataFrame:
+    """scores against a by_mode() map: verdict regressed, improved, held, or unrecorded for a mode that the map lacks."""
+    b = baseline.select(key, "metric_by_mode")
+    at = F.element_at("metric_by_mode", F.col(mode))
+    delta = F.col(metric) - at
+    verdict = F.when(at.isNull(), "unrecorded").when(F.col(metric).isNull() | (delta > tolerance), "regressed").when(delta < 0, "improved").otherwise("held")
+    return scores.join(b, key, "left").withColumn("baseline", at).withColumn("verdict", verdict).drop("metric_by_mode")
+
+
 def require_recorded(gated: DataFrame) -> DataFrame:
     """Fails the job where a case has no baseline under its norm."""
     failure = F.raise_error(F.lit("no baseline is recorded for a case and norm")).cast("boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def trend(df: DataFrame, keys: list[str], time: str, id_col: str, metric: str) -> DataFrame:
@@ -26,15 +26,14 @@ def latest(df: DataFrame, keys: list[str], time: str, id_col: str) -> DataFrame:
 def regressions(df: DataFrame, keys: list[str], time: str, id_col: str, metric: str, worse: float = 0.005) -> DataFrame:
     """Keys whose last value is more than `worse` above the one before it; a single run is not reported.
 
-    The two newest values of a key are found by partial aggregation of the top two.
+    The two newest of a key by a ranked window, whose limit the planner applies to each partition before the shuffle,
+    so a key of any size sends two rows from each.
     """
     rows = df.where(F.col(time).isNotNull() & F.col(metric).isNotNull())
-    one = F.struct(F.col(time).alias("t"), F.col(id_col).alias("i"), F.col(metric).alias("m"))
-    last = rows.groupBy(*keys).agg(F.max(one).alias("l"))
-    cond = F.struct(F.col(time).alias("t"), F.col(id_col).alias("i")) < F.struct(F.col("l.t").alias("t"), F.col("l.i").alias("i"))
-    keyed = rows.alias("x").join(last.select(*[F.col(k).alias(f"_{k}") for k in keys], "l"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    before = keyed.where(cond).groupBy(*keys).agg(F.max(one).alias("p"), F.first("l").alias("l"))
-    return before.select(*keys, F.col("p.m").alias("previous"), F.col("l.m").alias("last"), (F.col("l.m") - F.col("p.m")).alias("delta")).where(F.col("delta") > worse)
+    newest = W.partitionBy(*keys).orderBy(F.desc(time), F.desc(id_col))
+    two = rows.select(*keys, F.col(metric).alias("_m"), F.row_number().over(newest).alias("_r")).where("_r <= 2")
+    pair = two.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 2, F.col("_m"))).alias("previous"), F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias("last"), F.count("*").alias("_n"))
+    return pair.where("_n = 2").withColumn("delta", F.col("last") - F.col("previous")).where(F.col("delta") > worse).drop("_n")
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,6 +57,13 @@ def coverage(df: DataFrame, durations: DataFrame, key: str, id_col: str) -> Data
     )
 
 
+def sliced(df: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
+    """Rows that overlap from_ms..to_ms, their times clipped to it and counted from its start; touching ends do not
+    overlap, rows with null times are left out."""
+    rows = df.where((F.col("start_ms") < to_ms) & (F.col("end_ms") > from_ms))
+    return rows.withColumn("start_ms", F.greatest("start_ms", F.lit(from_ms)) - from_ms).withColumn("end_ms", F.least("end_ms", F.lit(to_ms)) - from_ms)
+
+
 def window_means(windows: DataFrame, samples: DataFrame, key: str, window_id: str, value: str) -> DataFrame:
     """(window_id, n, mean) of the samples' values over each window they overlap; windows without any have a null mean.
 
@@ -125,10 +132,10 @@ def chunk_plan(df: DataFrame, key: str, chunk_ms: int = 600_000, overlap_ms: int
 
 
 def merge_chunks(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df with kept_from_ms, the start of what a chunk adds to the earlier ones, and overlap_ms with them.
+    """df with kept_from_ms, the start of what a chunk adds to the earlier ones, overlap_ms with them, and is_repeat.
 
     The shared stretch is kept from the earlier chunk. A chunk wholly within earlier ones adds nothing: kept_from_ms is
-    its end. Rows with null key or times are left out.
+    its end, and it is marked as a repeat, not dropped. Rows with null key or times are left out.
     """
     rows = df.where("start_ms is not null and end_ms is not null")
     seen = scan(rows, [key], F.floor(F.col(order) / 1024).cast("bigint"), [order, "start_ms"], {"_until": ("max", F.col("end_ms"))})
@@ -137,6 +144,7 @@ def merge_chunks(df: DataFrame, key: str, order: str) -> DataFrame:
         *rows.columns,
         F.least(F.greatest("start_ms", until), F.greatest("end_ms", "start_ms")).alias("kept_from_ms"),
         F.greatest(F.lit(0), F.least(until, "end_ms") - F.col("start_ms")).alias("overlap_ms"),
+        (F.col("_until").isNotNull() & (F.col("_until") >= F.col("end_ms"))).alias("is_repeat"),
     )
 
 

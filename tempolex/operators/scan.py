@@ -14,7 +14,7 @@ _MERGE = {
 }
 
 
-def scan(df: DataFrame, keys: list[str], block: Column, order: list[str], values: dict[str, tuple[str, Column]], inclusive: bool = False, reverse: bool = False) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], block: Column, order: list[str], values: dict[str, tuple[str, Column]], inclusive: bool = False, reverse: bool = False, levels: int = 1, fan: int = 1024) -> DataFrame:
     """df with, for each name in `values`, an aggregate of the rows before this one of the same keys.
 
     values: name -> (max, min, sum, count or last, column); last skips nulls. `order` names columns that make the order
@@ -22,7 +22,8 @@ def scan(df: DataFrame, keys: list[str], block: Column, order: list[str], values
     row itself counts, with `reverse` the rows behind it do instead of those before. Rows with null keys are left out.
 
     A key may hold any share of the rows: windows run within (key, block), one row per block carries the state on, and
-    only those rows meet in a window by key.
+    only those rows meet in a window by key. For a key of more than some million blocks, `levels` of 2 or more (with a
+    number as block) carries the state over `fan` blocks at a time, and so on, so that no window is larger.
     """
     rows = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn("_block", block)
     by = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
@@ -36,8 +37,15 @@ def scan(df: DataFrame, keys: list[str], block: Column, order: list[str], values
         else:
             totals.append(_OVER[fn](c).alias(n))
     ends = rows.groupBy(*keys, "_block").agg(*totals)
-    outer = W.partitionBy(*keys).orderBy(F.col("_block").desc() if reverse else F.col("_block")).rowsBetween(W.unboundedPreceding, -1)
     over = {n: ("sum" if fn == "count" else fn) for n, (fn, _) in values.items()}
+    if levels > 1:
+        at = ends.withColumnsRenamed({n: f"_v_{n}" for n in values} | {"_block": "_at"})
+        up = {f"_c_{n}": (over[n], F.col(f"_v_{n}")) for n in values}
+        seen = scan(at, keys, F.floor(F.col("_at") / fan).cast("bigint"), ["_at"], up, reverse=reverse, levels=levels - 1, fan=fan)
+        carry = seen.select(*keys, F.col("_at").alias("_block"), *(f"_c_{n}" for n in values))
+        joined = local.join(carry, [*keys, "_block"])
+        return joined.select(*df.columns, *(_MERGE[fn](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (fn, _) in values.items()))
+    outer = W.partitionBy(*keys).orderBy(F.col("_block").desc() if reverse else F.col("_block")).rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select(*keys, "_block", *(_OVER[over[n]](F.col(n)).over(outer).alias(f"_c_{n}") for n in values))
     joined = local.join(carry, [*keys, "_block"])
     return joined.select(*df.columns, *(_MERGE[fn](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (fn, _) in values.items()))

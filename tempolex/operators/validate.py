@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import counted
+
 #: What a published file must not hold.
 FORBIDDEN_SUFFIXES = ["mp4", "mkv", "flac", "wav", "mp3", "m4a", "cookies", "pem", "key"]
-FORBIDDEN = {"machine_path": r"[A-Za-z]:\\Users\\|/home/[a-z]|/Users/[A-Za-z]", "credential": r"SESSDATA=|sessionid=|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|BEGIN [A-Z ]*PRIVATE KEY"}
+FORBIDDEN_NAMES = [".env", "cookies.txt", "cookie.txt"]
+FORBIDDEN = {
+    "machine_path": r"[A-Za-z]:\\Users\\|/home/[a-z]|/Users/[A-Za-z]",
+    "loopback_address": r"127\.0\.0\.1:\d{2,5}",
+    "credential": r"SESSDATA=|sessionid=|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}|BEGIN [A-Z ]*PRIVATE KEY",
+}
 
 
 def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -15,8 +22,9 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
 
 
 def forbidden_content(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, failure): forbidden suffixes, machine paths and credentials."""
-    kinds = F.array_compact(F.array(F.when(F.lower(path).rlike(rf"\.({'|'.join(FORBIDDEN_SUFFIXES)})$"), F.lit("suffix")), *(F.when(F.col(text).rlike(p), F.lit(k)) for k, p in FORBIDDEN.items())))
+    """(path, failure): forbidden suffixes and file names, machine paths, addresses of this machine and credentials."""
+    name = F.lower(F.element_at(F.split(F.col(path), "/"), -1))
+    kinds = F.array_compact(F.array(F.when(name.rlike(rf"\.({'|'.join(FORBIDDEN_SUFFIXES)})$"), F.lit("suffix")), F.when(name.isin(FORBIDDEN_NAMES), F.lit("name")), *(F.when(F.col(text).rlike(p), F.lit(k)) for k, p in FORBIDDEN.items())))
     return files.select(path, F.explode(kinds).alias("failure"))
 
 
@@ -27,7 +35,7 @@ def lines_without_evidence(numbered: DataFrame) -> DataFrame:
 
 def template_versions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, n_versions, failure): files that declare no template version, or several."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"template[-_ ]version:\s*([0-9.]+)"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"template[-_ ]version:[ \t]*(\S+)"), F.lit(1)))
     n = F.size(found)
     return files.select(path, n.alias("n_versions"), F.when(n == 0, "missing").when(n > 1, "contradictory").alias("failure")).where("failure is not null")
 
@@ -42,7 +50,7 @@ def host_parity(manifests: DataFrame, host: str, keys: list[str], reference: str
     """(host, key, value, expected): shared keys of a host that differ from those of the reference host."""
     tall = manifests.select(host, F.explode(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.col(k).cast("string") for k in keys)))).alias("key", "value"))
     want = tall.where(F.col(host) == reference).select("key", F.col("value").alias("expected"))
-    return tall.where(F.col(host) != reference).join(F.broadcast(want), "key").where(~F.col("value").eqNullSafe(F.col("expected"))).select(host, "key", "value", "expected")
+    return tall.where(F.col(host) != reference).join(counted(want), "key").where(~F.col("value").eqNullSafe(F.col("expected"))).select(host, "key", "value", "expected")
 
 
 def unreferenced(names: DataFrame, texts: DataFrame, name: str = "name", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
@@ -83,3 +91,9 @@ def differing_copies(files: DataFrame, path: str = "path", content: str = "conte
     name = F.element_at(F.split(path, "/"), -1)
     g = files.groupBy(name.alias("name")).agg(F.count("*").alias("n_copies"), F.count_distinct(F.sha2(F.col(content).cast("binary"), 256)).alias("n_versions"))
     return g.where("n_versions > 1")
+
+
+def nested_entrypoints(files: DataFrame, root: str, entrypoint: str, path: str = "path") -> DataFrame:
+    """Paths below the folder `root` named like its entrypoint, besides the one at its top: (path)."""
+    inside = F.startswith(F.col(path), F.lit(root.rstrip("/") + "/"))
+    return files.where(inside & (F.element_at(F.split(F.col(path), "/"), -1) == entrypoint) & (F.col(path) != f"{root.rstrip('/')}/{entrypoint}")).select(path)

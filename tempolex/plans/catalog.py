@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import engine
-from ..functions.text import numerals, redact, simplify
+from ..functions.text import numerals, redact, simplify, wrap
 from ..model import canonical_segments, delivered_once, ms, settings_identity
 from ..operators import align, clean, fuse, gates, history, intervals, review, segmenting, validate
 from ..operators.scan import by_number, scan
 from ..session import table
-from ..sources import identity, render
+from ..sources import identity, render, subtitles
 from ..streaming import live
 from .oracle import oracle_sql
 
@@ -255,6 +255,19 @@ def window_means(spark, d):
     return intervals.window_means(cards(spark, d).where("card_id is not null"), segments(spark, d), "media_id", "card_id", "no_speech_prob")
 
 
+@query
+def sliced_segments(spark, d):
+    """The second minute of every run."""
+    return intervals.sliced(segments(spark, d), 60_000, 120_000).select("segment_id", "start_ms", "end_ms")
+
+
+@query
+def audio_routes(spark, d):
+    """Media without a known duration stand for files whose audio could not be probed."""
+    m = table(spark, d, "media").select("media_id", clean.audio_code(F.when(F.col("duration_s") > 0, F.lit(True))).alias("status_code"))
+    return m.groupBy("status_code").agg(F.count("*").alias("n_media"))
+
+
 @query
 def chunk_plan(spark, d):
     return intervals.chunk_plan(durations(spark, d), "media_id")
@@ -262,7 +275,7 @@ def chunk_plan(spark, d):
 
 @query
 def chunk_overlaps(spark, d):
-    return intervals.merge_chunks(chunks(spark, d), "result_id", "chunk_no").select("chunk_id", "kept_from_ms", "overlap_ms")
+    return intervals.merge_chunks(chunks(spark, d), "result_id", "chunk_no").select("chunk_id", "kept_from_ms", "overlap_ms", "is_repeat")
 
 
 @query
@@ -309,14 +322,35 @@ def numerals_normalised(spark, d):
 
 def _cards_with_segments(spark, d):
     near = intervals.nearest(cards(spark, d), segments(spark, d), "media_id", "card_id", "segment_id", 1000)
-    c = cards(spark, d).select("card_id", "media_id", F.col("text").alias("card_text"))
+    c = cards(spark, d).select("card_id", "media_id", "start_ms", "end_ms", F.col("text").alias("card_text"))
     s = segments(spark, d).select("segment_id", F.col("text").alias("segment_text"))
     return near.join(c, "card_id").join(s, "segment_id")
 
 
 @query
 def card_alignment(spark, d):
-    return align.score(_cards_with_segments(spark, d), "media_id", "segment_text", "card_text")
+    """Scores of the segments against the cards near them; characters without a counterpart by minute of cards shown."""
+    pairs = _cards_with_segments(spark, d)
+    shown = F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms") - F.col("start_ms")) / F.lit(60_000.0)
+    return align.score(pairs, "media_id", "segment_text", "card_text", shown)
+
+
+@query
+def card_alignment_sums(spark, d):
+    """What any alignment accounts for: all characters of both sides, and the minutes shown."""
+    s = card_alignment(spark, d)
+    return s.select("media_id", "n_pairs", "ref_chars", (F.col("equal_chars") + F.col("sub") + F.col("extra")).alias("hyp_chars"), (F.col("equal_chars") + F.col("sub") + F.col("omit")).alias("accounted"))
+
+
+@query
+def difference_rebuilt(spark, d):
+    """The card's text made of the segment's and the differences, as a hash, of each pair that differs."""
+    rows = _cards_with_segments(spark, d).where("segment_text <> card_text").select("card_id", "segment_text", align.diff_spans(F.col("segment_text"), F.col("card_text")).alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("t"))
+    text = F.col("segment_text")
+    step = lambda acc, x: F.struct(x["a_hi"].alias("at"), F.concat(acc["t"], F.substring(text, acc["at"] + 1, x["a_lo"] - acc["at"]), x["b_text"]).alias("t"))
+    made = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["t"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return rows.select("card_id", F.md5(made).alias("text_md5"))
 
 
 @query
@@ -351,12 +385,33 @@ def provenance_counts(spark, d):
     return fused_transcript(spark, d).groupBy("provenance").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"))
 
 
+@query
+def conserved_chars(spark, d):
+    """Of each medium the characters of both sources that have a place, and how many of them the fusion lacks."""
+    c, g = cards(spark, d), segments(spark, d)
+    fused = fuse.fuse(c, g, "media_id", "card_id", "segment_id")
+    placed = "media_id is not null and start_ms is not null and end_ms >= start_ms"
+    both = c.where(placed).select("media_id", "text").unionByName(g.where(placed).select("media_id", "text"))
+    lost = fuse.conserved(fused, c, "media_id").unionByName(fuse.conserved(fused, g, "media_id")).groupBy("media_id").agg(F.sum("missing").alias("n_missing"))
+    need = both.groupBy("media_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
+    return need.join(lost, "media_id", "left").select("media_id", "n_chars", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
+
+
 @query
 def preferred_cards(spark, d):
-    rows = _cards_with_segments(spark, d).withColumn("p", fuse.preferred(F.col("card_text"), F.col("segment_text")))
+    """Cards of a nearby segment where the table of readings, with the misreadings of the recogniser, decides."""
+    rows = _cards_with_segments(spark, d).withColumn("p", fuse.preferred(F.col("card_text"), F.col("segment_text"), fuse.PREFERENCES | clean.MISREAD))
     return rows.where("p.chosen_by is not null").select("card_id", "p.text", "p.chosen_by")
 
 
+@query
+def preferred_examples(spark, d):
+    """The rules of preference over a small table of its own."""
+    rows = [(1, "赠养老人", "赡养老人"), (2, "赡养老人", "赠养老人"), (3, "我以经去", "我已经去了"), (4, "在见朋友", "再见朋友"), (5, "同样", "同样"), (6, "做为人", None), (7, "没有冲突", "没有重突")]
+    t = spark.createDataFrame(rows, "case_id int, a string, b string")
+    return t.withColumn("p", fuse.preferred(F.col("a"), F.col("b"))).select("case_id", "p.text", "p.chosen_by")
+
+
 @query
 def source_priority(spark, d):
     c, s = cards(spark, d).where("media_id is not null"), segments(spark, d).where("media_id is not null")
@@ -379,25 +434,26 @@ def _neighbours(spark, d):
 
 @query
 def edit_distances(spark, d):
-    """Pairs in ASCII only, as its SQL twin has them; neighbour_distances has all."""
-    ascii_ = lambda c: F.col(c).rlike(r"^[\x00-\x7F]*$")
-    return _neighbours(spark, d).where(ascii_("text") & ascii_("b.text")).select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
+    """Character edit distance of every segment to the one before it in its run, in any script, where neither text is null."""
+    pairs = _neighbours(spark, d).where("text is not null and b.text is not null")
+    return pairs.select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
 
 
 @query
-def neighbour_distances(spark, d):
-    """Character edit distance of every segment to the one before it in its run, in any script, where neither text is null."""
+def edit_rates(spark, d):
+    """Errors a character of the text before, summed up by run."""
     pairs = _neighbours(spark, d).where("text is not null and b.text is not null")
-    return pairs.select("segment_id", F.levenshtein("text", "b.text").alias("distance"))
+    rate = F.sum(F.levenshtein("text", "b.text")) / F.nullif(F.sum(F.length("b.text")), F.lit(0))
+    return pairs.groupBy("result_id").agg(F.count("*").alias("n_pairs"), rate.alias("edit_rate"))
 
 
 @query
 def punctuation_scores(spark, d):
     r = table(spark, d, "results").where("media_id is not null and text is not null and text <> ''")
-    # Of runs over the same words, marked by hand of rules and by the model.
+    # Runs marked by rules against one run over the same words marked by the model, the first.
     bare = r.select("media_id", "result_id", "text", "punct_mode", F.xxhash64(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("h"))
-    a, b = bare.where("punct_mode = 'rules'"), bare.where("punct_mode = 'model'")
-    pairs = a.alias("a").join(b.alias("b"), ["media_id", "h"]).select(F.col("a.result_id").alias("hyp_id"), F.col("b.result_id").alias("ref_id"), align.punctuation(F.col("a.text"), F.col("b.text")).alias("p"))
+    b = bare.where("punct_mode = 'model'").groupBy("media_id", "h").agg(F.min(F.struct("result_id", "text")).alias("b"))
+    pairs = bare.where("punct_mode = 'rules'").join(b, ["media_id", "h"]).select(F.col("result_id").alias("hyp_id"), F.col("b.result_id").alias("ref_id"), align.punctuation(F.col("text"), F.col("b.text")).alias("p"))
     return pairs.select("hyp_id", "ref_id", "p.*", *align.f_score(F.col("p")))
 
 
@@ -427,9 +483,10 @@ def refine_candidates(spark, d):
 
 @query
 def run_summary(spark, d):
-    per = segments(spark, d).where("result_id is not null").groupBy("result_id").agg(F.count("*").alias("n_segments"), F.sum(F.length("text")).alias("n_chars"), (F.max("end_ms") - F.min("start_ms")).alias("span_ms"))
-    r = table(spark, d, "results").select("result_id", "elapsed", F.size(F.coalesce("diagnostics", F.array().cast("array<string>"))).alias("n_steps"))
-    return r.join(per, "result_id", "left").withColumn("rtf", F.col("elapsed") * 1000 / F.nullif("span_ms", F.lit(0))).select("result_id", "n_segments", "n_chars", "n_steps", "rtf")
+    per = segments(spark, d).where("result_id is not null").groupBy("result_id").agg(F.count("*").alias("n_segments"), F.sum(F.length("text")).alias("n_chars"))
+    r = table(spark, d, "results").select("result_id", "media_id", "elapsed", F.size(F.coalesce("diagnostics", F.array().cast("array<string>"))).alias("n_steps"))
+    rtf = F.col("elapsed") * 1000 / F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
+    return r.join(per, "result_id", "left").join(durations(spark, d), "media_id", "left").withColumn("rtf", rtf).select("result_id", "n_segments", "n_chars", "n_steps", "rtf")
 
 
 # ---------------------------------------------------------------- history and gates
@@ -476,6 +533,39 @@ def release_rows(spark, d):
     return history.append_release(newest, known, "1.2.0")
 
 
+@query
+def baselines_by_mode(spark, d):
+    """The map of each case from mode to best value, its entries as text."""
+    m = gates.by_mode(measured(spark, d), "case", "norm", "elapsed")
+    entries = F.transform(F.map_entries("metric_by_mode"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.round(e["value"] * 1000).cast("bigint").cast("string"), F.lit("?"))))
+    return m.select("case", F.array_join(F.array_sort(entries), ",").alias("modes"))
+
+
+@query
+def gate_by_mode(spark, d):
+    """The newest run of each case and mode against the map of the best."""
+    m = measured(spark, d).where("case is not null and norm is not null")
+    newest = history.latest(m, ["case", "norm"], "created_at", "result_id").select("case", "norm", "elapsed")
+    return gates.gate_by_mode(newest, gates.by_mode(m, "case", "norm", "elapsed"), "case", "norm", "elapsed").select("case", "norm", "verdict")
+
+
+@query
+def matched_cases(spark, d):
+    """Runs as hypotheses against the card texts of their medium as gold: which case has one, and its length."""
+    hyp = table(spark, d, "results").where("media_id is not null").select(F.concat(F.lit("cases/"), "media_id", F.lit(".json")).alias("case"), "text")
+    gold = cards(spark, d).where("media_id is not null").groupBy("media_id").agg(F.min("text").alias("text")).select(F.concat(F.lit("gold/"), "media_id", F.lit(".txt")).alias("case"), "text")
+    got = align.match_cases(hyp, gold)
+    return got.groupBy("case").agg(F.count("*").alias("n_hyps"), F.max(F.length("ref")).alias("ref_chars"))
+
+
+@query
+def failures_by_type(spark, d):
+    """Codes of failures told by type, by text, by both and by neither, over a small table of its own."""
+    rows = [(1, "boom", "lib.errors.LoginRequired"), (2, "HTTP 404", "TimeoutError"), (3, "HTTP 429", None), (4, None, "builtins.PermissionError"), (5, None, None), (6, "odd", "ValueError"), (7, "no audio stream", "RuntimeError"), (8, "browser closed", None)]
+    t = spark.createDataFrame(rows, "case_id int, message string, kind string")
+    return t.select("case_id", clean.failure_code(F.col("message"), F.col("kind")).alias("status_code"))
+
+
 # ---------------------------------------------------------------- review
 
 
@@ -538,9 +628,132 @@ def anki_export(spark, d):
     return render.anki_cards(c, F.col("text"), F.col("media_id"), F.lit("card"))
 
 
+@query
+def srt_round_trip(spark, d):
+    """Cues of every segment written and read again: times, and the text as subtitles keep it."""
+    seg = segments(spark, d).where("result_id is not null and start_ms is not null and end_ms is not null")
+    cues = render.srt_cues(seg.withColumn("result_id", F.col("segment_id")), "result_id", "seg_no", "segment_id")
+    read = subtitles.parse_cues(cues.select(F.col("result_id").alias("path"), F.col("cue").alias("value")))
+    return read.select(F.col("doc_id").alias("segment_id"), "start_ms", "end_ms", "text")
+
+
+@query
+def wrapped_lines(spark, d):
+    """Segments in lines of 18 characters, and how many lines that makes."""
+    return segments(spark, d).where("text is not null").select("segment_id", wrap(F.col("text"), 18).alias("lines"))
+
+
+@query
+def cues_over_limit(spark, d):
+    return render.over_limit(segments(spark, d), "text", 28)
+
+
+@query
+def loud_retries(spark, d):
+    """Retry windows of holes that are loud, here those of at least four seconds."""
+    holes = intervals.gaps(segments(spark, d), "result_id", "segment_id")
+    return intervals.retry_windows(holes, "result_id", loud=F.col("gap_ms") >= 4000)
+
+
+@query
+def asked_parts(spark, d):
+    """The part each link asks for, where every chunk of a run is one."""
+    c = chunks(spark, d).where("result_id is not null and chunk_no is not null")
+    n = c.groupBy("result_id").agg((F.max("chunk_no") + 1).alias("n_parts"))
+    link = F.concat(F.lit("https://example.org/v/"), F.col("result_id").cast("string"), F.when(F.col("chunk_no") > 0, F.concat(F.lit("?p="), (F.col("chunk_no") + 1).cast("string"))).otherwise(""))
+    return c.join(n, "result_id").select("chunk_id", identity.part(link, F.col("n_parts")).alias("part"))
+
+
+@query
+def inspected_media(spark, d):
+    rows = identity.inspect(table(spark, d, "media").select("media_id"), "media_id", ["subtitles", "comments", "verbose"])
+    return rows.select("media_id", F.col("platform").alias("source_platform"), F.array_join("refused", ",").alias("refused"))
+
+
+@query
+def templated_notes(spark, d):
+    """Notes by the template of their platform; one platform has none."""
+    t = spark.createDataFrame([("bilibili", "# B"), ("bilibili", "# C"), ("douyin", "# D")], "name string, body string")
+    m = table(spark, d, "media").select("media_id", F.col("platform").alias("template"))
+    return render.templated(m, t, "# plain").select("media_id", "body", "is_builtin")
+
+
+@query
+def section_updates(spark, d):
+    """Notes whose section `Uploader` is put anew twice: once more changes nothing."""
+    put = lambda c: render.replace_section(c, "Uploader", F.lit("someone"))
+    return media_notes(spark, d).select("media_id", put(put(F.col("note"))).alias("note"))
+
+
+@query
+def frontmatter_names(spark, d):
+    """Notes whose source differs from the folder they stand in, which here is that of the platform for every third."""
+    m = media_notes(spark, d).join(table(spark, d, "media").select("media_id", "platform"), "media_id")
+    folder = F.when(F.length("media_id") % 3 == 0, F.coalesce("platform", F.lit("none"))).otherwise(F.col("media_id"))
+    return validate.frontmatter_mismatch(m.select(F.concat(F.lit("vault/"), folder, F.lit("/NOTE.md")).alias("path"), F.col("note").alias("text")), field="source")
+
+
+@query
+def differing_copies(spark, d):
+    """Media whose runs hold different texts, as copies of one file."""
+    r = table(spark, d, "results").where("media_id is not null and text is not null")
+    return validate.differing_copies(r.select(F.concat(F.lit("run"), F.col("result_id").cast("string"), F.lit("/"), "media_id").alias("path"), F.col("text").alias("content")))
+
+
+@query
+def entrypoints(spark, d):
+    """Entrypoints below the root besides its own, of a file for each run."""
+    r = table(spark, d, "results").select(F.concat_ws("/", F.lit("root"), F.when(F.col("chunked"), F.col("engine")), F.when(F.col("diarized"), F.lit("SKILL.md")).otherwise(F.lit("notes.md"))).alias("path"))
+    return validate.nested_entrypoints(r, "root", "SKILL.md").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query
+def declared_versions(spark, d):
+    """Templates of each medium that declare no version or several: every run declares its model."""
+    r = table(spark, d, "results").where("media_id is not null")
+    texts = r.groupBy(F.col("media_id").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.when(F.col("diarized"), F.lit("template-version: ")).otherwise(F.lit("model: ")), "model_size"))), "\n").alias("text"))
+    return validate.template_versions(texts)
+
+
+@query
+def version_parity(spark, d):
+    return validate.version_parity(table(spark, d, "results").select(F.col("model_size").alias("version")))
+
+
+@query
+def host_parity(spark, d):
+    """Settings of each engine against those of the first."""
+    r = table(spark, d, "results").groupBy("engine").agg(F.min("device").alias("device"), F.max("compute_type").alias("compute_type"), F.min("punct_mode").alias("punct_mode"))
+    first = r.agg(F.min("engine").alias("e")).scalar()
+    named = r.withColumn("host", F.when(F.col("engine") == first, "reference").otherwise(F.col("engine")))
+    return validate.host_parity(named, "host", ["device", "compute_type", "punct_mode"], "reference")
+
+
+@query
+def unreferenced_names(spark, d):
+    """Speaker codes that the documents' words hold at most once."""
+    return validate.unreferenced(table(spark, d, "speakers").select(F.col("speaker_code").alias("name")), table(spark, d, "documents").select("text"))
+
+
+@query
+def topic_parts(spark, d):
+    """The index of each platform in parts: its lines in all."""
+    m = table(spark, d, "media").select("media_id", "platform", "title")
+    parts = render.synthesis(m, "platform", "media_id", "title", 16)
+    return parts.groupBy("platform").agg(F.sum(F.size(F.split("section", "\n- "))).alias("n_lines"), F.sum(F.length(F.regexp_replace("section", "\n", ""))).alias("n_chars"))
+
+
 # ---------------------------------------------------------------- event stream
 
 
+@query
+def live_trend(spark, d):
+    """The measure of the live history over a finished one."""
+    m = measured(spark, d).where("case is not null and created_at is not null and elapsed is not null")
+    return live.live_trend(m.select(F.col("created_at").alias("timestamp"), "case", "norm", F.col("elapsed").alias("cer"))).select("case", "norm", "runs")
+
+
+
 @query
 def event_sessions(spark, d):
     s = live.sessions(table(spark, d, "events"), "user_id", "ts")

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from ..functions.text import MARKS, REDACTIONS, SIMPLIFIED, TRADITIONAL
-from ..operators.clean import FAILURES, MISREAD, NOISE
-from ..operators.fuse import PREFERENCES
-from ..operators.validate import FORBIDDEN, FORBIDDEN_SUFFIXES
-from ..sources.render import STEP_LABELS
+# Fixed values, stated here once more so that a slip in the operators shows.
+TRADITIONAL = "這個說過會時問學來對開關們還給經麼點邊裡後聽覺應該與實際變數據題頁圖樣條習課講請讓長樂東車馬門見貝"
+SIMPLIFIED = "这个说过会时问学来对开关们还给经么点边里后听觉应该与实际变数据题页图样条习课讲请让长乐东车马门见贝"
+MARKS = '，。！？、；：“”‘’（）《》【】…—,.!?;:"\'()[]-~·'
+NOISE = [r"关注", r"点赞", r"投币", r"一键三连", r"扫码", r"加群", r"优惠", r"http", r"www\.", r"@[A-Za-z0-9_]+", r"^[A-Za-z0-9]{1,3}$"]
+MISREAD = {"囗": "口", "曰": "日", "巳": "已", "末": "未"}
+FAILURES = [(27, "no audio|audio stream"), (21, "403|forbidden|login|cookie"), (22, "timeout|timed out|ssl|connection|412|429|too many requests|rate limit"), (23, "quality|resolution"), (24, "transcri|whisper|cuda"), (26, "browser|cdp|playwright"), (20, "404|not found|deleted|no stream|不存在")]
+FORBIDDEN_SUFFIXES = ["mp4", "mkv", "flac", "wav", "mp3", "m4a", "cookies", "pem", "key"]
+FORBIDDEN_NAMES = [".env", "cookies.txt", "cookie.txt"]
+FORBIDDEN = {
+    "machine_path": r"[A-Za-z]:\\Users\\|/home/[a-z]|/Users/[A-Za-z]",
+    "loopback_address": r"127\.0\.0\.1:\d{2,5}",
+    "credential": r"SESSDATA=|sessionid=|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}|BEGIN [A-Z ]*PRIVATE KEY",
+}
+STEP_LABELS = {"asr_engine": "Recogniser", "asr_coverage": "Coverage", "asr_chunking": "Chunks", "asr_confidence": "Confidence", "asr_hallucination_gate": "Hallucination gate", "simplify": "Simplified characters", "local_video": "Local file"}
+REDACTIONS = [
+    (r"(?i)(SESSDATA|bili_jct|sessionid|ttwid|cookie)\s*[=:]\s*[^\s;,]+", "[cookie]"),
+    (r"(?i)(access_token|api_key|apikey|secret|authorization)\s*[=:]\s*[^\s;,]+", "[token]"),
+    (r"https?://[^\s]*[?&](sign|signature|token|expires|auth_key)=[^\s]*", "[signed-url]"),
+    (r"[A-Za-z]:\\Users\\[^\\\s]+", "[home]"),
+    (r"/(home|Users)/[A-Za-z0-9_.-]+", "[home]"),
+    (r"/tmp/[A-Za-z0-9_./-]+", "[tmp]"),
+]
 
 SEG = """seg AS (SELECT segment_id, any_value(result_id) AS result_id, any_value(media_id) AS media_id, any_value(seg_no) AS seg_no,
   CAST(round(any_value(from_s) * 1000) AS BIGINT) AS start_ms, CAST(round(any_value(to_s) * 1000) AS BIGINT) AS end_ms,
@@ -25,7 +43,7 @@ HIST = """h AS (SELECT media_id AS "case", model_size AS norm, created_at, resul
 _TYPES = {
     "short_fragment_merge": {"piece_no": "BIGINT"}, "card_runs": {"run_no": "BIGINT"}, "retry_windows": {"rank": "INTEGER"}, "interval_coverage": {"covered_ms": "BIGINT"},
     "coverage_repair": {"before_ms": "BIGINT", "after_ms": "BIGINT"}, "cards_over_segments": {"overlap_ms": "BIGINT"}, "completeness_report": {"n_changes": "BIGINT", "covered_ms": "BIGINT"},
-    "topic_chunks": {"n_chars": "BIGINT"}, "lexicon_terms": {"rank": "INTEGER"}, "edit_distances": {"distance": "INTEGER"}, "repeated_ngrams": {"repeats": "INTEGER"},
+    "topic_chunks": {"n_chars": "BIGINT"}, "lexicon_terms": {"rank": "INTEGER"}, "edit_distances": {"distance": "INTEGER"}, "repeated_ngrams": {"repeats": "INTEGER"}, "card_alignment_sums": {"ref_chars": "BIGINT", "hyp_chars": "BIGINT", "accounted": "BIGINT"},
     "char_overlap": {"n_shared": "INTEGER", "n_chars": "INTEGER"}, "refine_candidates": {"rank": "INTEGER"}, "run_summary": {"n_chars": "BIGINT", "n_steps": "INTEGER"}, "worksheet_flags": {"rank": "INTEGER"},
 }
 
@@ -112,7 +130,7 @@ def oracle_sql() -> dict[str, str]:
       sum(CAST(round(avg_logprob * 1000000) AS BIGINT) * length(text)) / nullif(sum(CASE WHEN avg_logprob IS NOT NULL THEN length(text) END), 0) AS weighted_confidence
       FROM seg WHERE result_id IS NOT NULL GROUP BY result_id"""
     cases = " ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN {c}" for c, p in FAILURES)
-    sql["failure_codes"] = f"SELECT CASE WHEN text IS NULL THEN 0 {cases} ELSE 20 END AS status_code, count(*) AS n_docs FROM documents GROUP BY 1"
+    sql["failure_codes"] = f"SELECT CASE WHEN text IS NULL THEN 0 {cases} ELSE 1 END AS status_code, count(*) AS n_docs FROM documents GROUP BY 1"
     sql["redactions"] = f"SELECT doc_id, redacted FROM (SELECT doc_id, text, {_nested('text', REDACTIONS)} AS redacted FROM documents) WHERE redacted <> text"
     sql["adjacent_duplicates"] = f"""WITH {SEG} SELECT segment_id FROM (SELECT segment_id, text, lag(text) OVER w AS b, row_number() OVER w AS r FROM seg WHERE result_id IS NOT NULL
       WINDOW w AS (PARTITION BY result_id ORDER BY seg_no, segment_id)) WHERE r > 1 AND text IS NOT DISTINCT FROM b"""
@@ -126,6 +144,7 @@ def oracle_sql() -> dict[str, str]:
       FROM card WHERE media_id IS NOT NULL AND start_ms IS NOT NULL WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, card_id)) WHERE s >= 0.9 AND s > coalesce(b, -1.0) AND s >= coalesce(n, -1.0)"""
     kinds = " UNION ALL ".join(
         [f"SELECT CAST(doc_id AS VARCHAR) AS path, 'suffix' AS failure FROM documents WHERE regexp_matches(lower(CAST(doc_id AS VARCHAR)), {q(r'\.(' + '|'.join(FORBIDDEN_SUFFIXES) + ')$')})"]
+        + [f"SELECT CAST(doc_id AS VARCHAR), 'name' FROM documents WHERE CAST(doc_id AS VARCHAR) IN ({', '.join(map(q, FORBIDDEN_NAMES))})"]
         + [f"SELECT CAST(doc_id AS VARCHAR), {q(k)} FROM documents WHERE regexp_matches(text, {q(p)})" for k, p in FORBIDDEN.items()]
     )
     sql["forbidden_content"] = kinds
@@ -152,11 +171,13 @@ def oracle_sql() -> dict[str, str]:
     sql["window_means"] = f"""WITH {SEG}, {CARD}, j AS (SELECT card_id, count(*) AS n, sum(CAST(round(no_speech_prob * 1000000) AS BIGINT)) AS s FROM card c JOIN seg ON c.media_id = seg.media_id
       AND c.start_ms <= seg.end_ms AND seg.start_ms <= c.end_ms WHERE c.end_ms >= c.start_ms AND seg.end_ms >= seg.start_ms AND no_speech_prob IS NOT NULL GROUP BY card_id)
       SELECT card.card_id, coalesce(n, 0) AS n, s / n / 1000000 AS mean FROM card LEFT JOIN j ON j.card_id = card.card_id"""
+    sql["sliced_segments"] = f"WITH {SEG} SELECT segment_id, greatest(start_ms, 60000) - 60000 AS start_ms, least(end_ms, 120000) - 60000 AS end_ms FROM seg WHERE start_ms < 120000 AND end_ms > 60000"
+    sql["audio_routes"] = "SELECT CASE WHEN duration_s > 0 THEN 0 ELSE 27 END AS status_code, count(*) AS n_media FROM media GROUP BY 1"
     sql["chunk_plan"] = """WITH d AS (SELECT media_id, CAST(round(duration_s * 1000) AS BIGINT) AS t FROM media WHERE round(duration_s * 1000) > 0),
       n AS (SELECT media_id, t, CAST(greatest(1, ceil((t - 2000) / 598000.0)) AS INTEGER) AS n FROM d),
       k AS (SELECT media_id, t, CASE WHEN n > 1 AND (t - (n - 1) * 598000) * 4 < 600000 THEN n - 1 ELSE n END AS n FROM n)
       SELECT media_id, CAST(i AS INTEGER) AS chunk_no, i * 598000 AS start_ms, CASE WHEN i = n - 1 THEN t ELSE i * 598000 + 600000 END AS end_ms FROM (SELECT media_id, t, n, unnest(range(n)) AS i FROM k)"""
-    sql["chunk_overlaps"] = f"""WITH {CHUNK} SELECT chunk_id, least(greatest(start_ms, coalesce(u, start_ms)), greatest(end_ms, start_ms)) AS kept_from_ms, greatest(0, least(coalesce(u, start_ms), end_ms) - start_ms) AS overlap_ms FROM (
+    sql["chunk_overlaps"] = f"""WITH {CHUNK} SELECT chunk_id, least(greatest(start_ms, coalesce(u, start_ms)), greatest(end_ms, start_ms)) AS kept_from_ms, greatest(0, least(coalesce(u, start_ms), end_ms) - start_ms) AS overlap_ms, coalesce(u >= end_ms, false) AS is_repeat FROM (
       SELECT *, max(end_ms) OVER (PARTITION BY result_id ORDER BY chunk_no, start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM chunk WHERE result_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL)"""
     sql["completeness_report"] = f"""WITH {CARD}, {CHANGES}, i AS (SELECT media_id, card_id AS id, start_ms, end_ms FROM card), {_union("c", "media_id", "i")},
       n AS (SELECT media_id, count(*) AS n_cards, count(*) FILTER (WHERE end_ms - start_ms < 500) AS n_short FROM card WHERE media_id IS NOT NULL GROUP BY media_id),
@@ -176,20 +197,29 @@ def oracle_sql() -> dict[str, str]:
     sql["fused_transcript"] = f"WITH {SEG}, {CARD}, {FUSED} SELECT * FROM fused"
     sql["provenance_counts"] = f"WITH {SEG}, {CARD}, {FUSED} SELECT provenance, count(*) AS n, count(*) FILTER (WHERE needs_review) AS n_review FROM fused GROUP BY provenance"
     near1 = NEAR.replace("5000", "1000")
-    rules = " ".join(
-        f"WHEN contains(c.text, {q(a)}) AND contains(s.text, {q(b)}) THEN row(s.text, {q(a + '→' + b)}) WHEN contains(c.text, {q(b)}) AND contains(s.text, {q(a)}) THEN row(c.text, {q(a + '→' + b)})"
-        for a, b in PREFERENCES.items() if a != b
-    )
-    sql["preferred_cards"] = f"""WITH {SEG}, {CARD}, {near1}, x AS (SELECT c.card_id, CASE {rules} END AS r FROM near JOIN card c ON c.card_id = near.card_id JOIN seg s ON s.segment_id = near.segment_id)
-      SELECT card_id, r[1] AS text, r[2] AS chosen_by FROM x WHERE r IS NOT NULL"""
+    pair = f"WITH {SEG}, {CARD}, {near1}, p AS (SELECT c.card_id, c.media_id, c.text AS ref, s.text AS hyp FROM near JOIN card c ON c.card_id = near.card_id JOIN seg s ON s.segment_id = near.segment_id)"
+    sql["card_alignment_sums"] = f"""{pair} SELECT media_id, count(*) AS n_pairs, sum(length(ref)) AS ref_chars, sum(length(hyp)) AS hyp_chars, sum(length(ref)) AS accounted
+      FROM p WHERE ref IS NOT NULL AND hyp IS NOT NULL GROUP BY media_id"""
+    sql["difference_rebuilt"] = f"{pair} SELECT card_id, md5(ref) AS text_md5 FROM p WHERE ref <> hyp"
+    sql["preferred_examples"] = """SELECT * FROM (VALUES (1, '赡养老人', '赠养→赡养'), (2, '赡养老人', '赠养→赡养'), (3, '我已经去了', '以经→已经'), (4, '再见朋友', '在见→再见'), (5, '同样', NULL), (6, '做为人', NULL), (7, '没有冲突', NULL))
+      AS t(case_id, text, chosen_by)"""
+    sql["conserved_chars"] = f"""WITH {SEG}, {CARD}, b AS (SELECT media_id, start_ms, end_ms, text FROM card UNION ALL SELECT media_id, start_ms, end_ms, text FROM seg)
+      SELECT media_id, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_missing FROM b WHERE media_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms >= start_ms GROUP BY media_id"""
     sql["source_priority"] = f"""WITH {SEG}, {CARD} SELECT media_id, 'card' AS source, count(*) AS n FROM card WHERE media_id IS NOT NULL GROUP BY media_id
       UNION ALL SELECT media_id, 'asr', count(*) FROM seg WHERE media_id IS NOT NULL AND media_id NOT IN (SELECT media_id FROM card WHERE media_id IS NOT NULL) GROUP BY media_id"""
     sql["lexicon_terms"] = r"""WITH t AS (SELECT trim(unnest([name_zh, name_en, other_name])) AS term, 0 AS priority FROM speakers
       UNION ALL SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z]+')), 1 FROM media),
       b AS (SELECT term, min(priority) AS priority FROM t WHERE length(term) >= 2 AND lower(term) NOT IN ('the', 'of', 'and') GROUP BY term)
       SELECT term, priority, row_number() OVER (ORDER BY priority, term) AS rank FROM b QUALIFY rank <= 200"""
-    sql["edit_distances"] = rf"""WITH {SEG} SELECT segment_id, levenshtein(text, b) AS distance FROM (SELECT segment_id, text, lag(text) OVER (PARTITION BY result_id ORDER BY seg_no, segment_id) AS b FROM seg WHERE result_id IS NOT NULL)
-      WHERE regexp_matches(text, '^[\x00-\x7F]*$') AND regexp_matches(b, '^[\x00-\x7F]*$')"""
+    # levenshtein counts bytes here, so each pair is spelt in bytes first: one for every character both texts have, one
+    # for all that only the first has, one for all that only the second has; none of these ever match.
+    spell = "array_to_string(list_transform(string_split({0}, ''), lambda x: chr(coalesce(nullif(list_position(common, x), 0), {1}))), '')"
+    distances = f"""WITH {SEG}, n AS (SELECT segment_id, result_id, text AS a, lag(text) OVER (PARTITION BY result_id ORDER BY seg_no, segment_id) AS b FROM seg WHERE result_id IS NOT NULL),
+      c AS (SELECT *, list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))) AS common FROM n WHERE a IS NOT NULL AND b IS NOT NULL),
+      e AS (SELECT segment_id, result_id, a, b, CASE WHEN a = b THEN 0 WHEN a = '' OR b = '' THEN length(a) + length(b) WHEN len(common) > 125 THEN error('more common characters than bytes')
+        ELSE levenshtein({spell.format("a", 126)}, {spell.format("b", 127)}) END AS distance FROM c)"""
+    sql["edit_distances"] = f"{distances} SELECT segment_id, distance FROM e"
+    sql["edit_rates"] = f"{distances} SELECT result_id, count(*) AS n_pairs, sum(distance) / nullif(sum(length(b)), 0) AS edit_rate FROM e GROUP BY result_id"
     sql["repeated_ngrams"] = f"""WITH {SEG}, c AS (SELECT segment_id, text, unnest(range(1, length(text) - 2)) AS i FROM seg WHERE text IS NOT NULL),
       g AS (SELECT segment_id, string_agg_free AS gram, count(*) AS n FROM (SELECT segment_id, substring(text, i, 4) AS string_agg_free FROM c) GROUP BY 1, 2)
       SELECT segment_id, max(n) AS repeats FROM g GROUP BY segment_id HAVING max(n) >= 3"""
@@ -204,8 +234,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT segment_id, reject_reason FROM r WHERE reject_reason IS NOT NULL"""
     sql["refine_candidates"] = f"""WITH {SEG} SELECT result_id, segment_id, rank FROM (SELECT result_id, segment_id, row_number() OVER (PARTITION BY result_id ORDER BY coalesce(avg_logprob, 0.0), start_ms, segment_id) AS rank
       FROM seg WHERE result_id IS NOT NULL AND (avg_logprob < -1.0 OR compression_ratio > 2.4) AND end_ms - start_ms >= 1500) WHERE rank <= 6"""
-    sql["run_summary"] = f"""WITH {SEG}, p AS (SELECT result_id, count(*) AS n_segments, sum(length(text)) AS n_chars, max(end_ms) - min(start_ms) AS span_ms FROM seg WHERE result_id IS NOT NULL GROUP BY result_id)
-      SELECT r.result_id, n_segments, n_chars, coalesce(len(diagnostics), 0) AS n_steps, elapsed * 1000 / nullif(span_ms, 0) AS rtf FROM results r LEFT JOIN p ON p.result_id = r.result_id"""
+    sql["run_summary"] = f"""WITH {SEG}, p AS (SELECT result_id, count(*) AS n_segments, sum(length(text)) AS n_chars FROM seg WHERE result_id IS NOT NULL GROUP BY result_id)
+      SELECT r.result_id, n_segments, n_chars, coalesce(len(diagnostics), 0) AS n_steps, elapsed * 1000 / CASE WHEN round(duration_s * 1000) > 0 THEN round(duration_s * 1000) END AS rtf
+      FROM results r LEFT JOIN p ON p.result_id = r.result_id LEFT JOIN media m ON m.media_id = r.media_id"""
     sql["history_trend"] = f"""WITH {HIST} SELECT "case", norm, count(*) AS runs, arg_min(elapsed, row(created_at, result_id)) AS first, arg_max(elapsed, row(created_at, result_id)) AS last, min(created_at) AS first_at, max(created_at) AS last_at
       FROM h WHERE created_at IS NOT NULL AND elapsed IS NOT NULL GROUP BY "case", norm"""
     sql["history_latest"] = f"""WITH {HIST} SELECT "case", norm, created_at, result_id, elapsed FROM h WHERE created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case", norm ORDER BY created_at DESC, result_id DESC) = 1"""
@@ -238,6 +269,42 @@ def oracle_sql() -> dict[str, str]:
     sql["event_sessions"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM s GROUP BY user_id, k"""
     sql["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+    sql["baselines_by_mode"] = f"""WITH {HIST}, m AS (SELECT "case", norm, min(elapsed) AS e FROM h WHERE "case" IS NOT NULL AND norm IS NOT NULL GROUP BY 1, 2)
+      SELECT "case", string_agg(norm || '=' || coalesce(CAST(CAST(round(e * 1000) AS BIGINT) AS VARCHAR), '?'), ',' ORDER BY norm || '=' || coalesce(CAST(CAST(round(e * 1000) AS BIGINT) AS VARCHAR), '?')) AS modes FROM m GROUP BY 1"""
+    sql["gate_by_mode"] = f"""WITH {HIST}, m AS (SELECT "case", norm, min(elapsed) AS best FROM h WHERE "case" IS NOT NULL AND norm IS NOT NULL GROUP BY 1, 2),
+      n AS (SELECT "case", norm, elapsed FROM h WHERE "case" IS NOT NULL AND norm IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case", norm ORDER BY created_at DESC, result_id DESC) = 1)
+      SELECT n."case", n.norm, CASE WHEN best IS NULL THEN 'unrecorded' WHEN elapsed IS NULL OR elapsed - best > 0.005 THEN 'regressed' WHEN elapsed < best THEN 'improved' ELSE 'held' END AS verdict FROM n LEFT JOIN m ON m."case" = n."case" AND m.norm = n.norm"""
+    sql["matched_cases"] = f"""WITH {CARD}, g AS (SELECT media_id, min(text) AS ref FROM card WHERE media_id IS NOT NULL GROUP BY 1)
+      SELECT 'cases/' || r.media_id || '.json' AS "case", count(*) AS n_hyps, CAST(max(length(ref)) AS INTEGER) AS ref_chars FROM results r LEFT JOIN g ON g.media_id = r.media_id WHERE r.media_id IS NOT NULL GROUP BY 1"""
+    sql["failures_by_type"] = "SELECT * FROM (VALUES (1, 21), (2, 22), (3, 22), (4, 21), (5, 0), (6, 1), (7, 27), (8, 26)) AS t(case_id, status_code)"
+    kept = "list_extract(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '^\\x{FEFF}', ''), '\\n[ \\t]*\\n+'), 1)"
+    sql["srt_round_trip"] = f"""WITH {SEG} SELECT segment_id, start_ms, end_ms, regexp_replace(regexp_replace({kept}, '<[^<>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text
+      FROM seg WHERE result_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL"""
+    sql["wrapped_lines"] = f"""WITH {SEG}, l AS (SELECT segment_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM seg WHERE text IS NOT NULL),
+      w AS (SELECT segment_id, k, CASE WHEN line = '' THEN '' ELSE array_to_string(list_transform(range(0, length(line), 18), lambda i: substring(line, i + 1, 18)), chr(10)) END AS line FROM l)
+      SELECT segment_id, string_agg(line, chr(10) ORDER BY k) AS lines FROM w GROUP BY segment_id"""
+    sql["cues_over_limit"] = f"WITH {SEG} SELECT count(*) AS n_cues, count(*) FILTER (WHERE length(text) > 28) AS cues_over_limit FROM seg"
+    sql["loud_retries"] = f"""WITH {SEG}, {GAPS} SELECT result_id, gap_start_ms, least(gap_end_ms, gap_start_ms + 60000) AS gap_end_ms, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY gap_ms DESC, gap_start_ms) AS rank FROM gaps WHERE gap_ms >= 4000) WHERE rank <= 5"""
+    sql["asked_parts"] = f"WITH {CHUNK} SELECT chunk_id, chunk_no + 1 AS part FROM chunk WHERE result_id IS NOT NULL AND chunk_no IS NOT NULL"
+    sql["inspected_media"] = """SELECT media_id, CASE WHEN media_id LIKE 'bl-%' THEN 'bilibili' WHEN media_id LIKE 'dy-%' THEN 'douyin' WHEN media_id LIKE 'lf-%' THEN 'local' END AS source_platform,
+      CASE WHEN media_id LIKE 'dy-%' THEN 'subtitles,comments' ELSE '' END AS refused FROM media"""
+    sql["templated_notes"] = "SELECT media_id, CASE platform WHEN 'bilibili' THEN '# B' WHEN 'douyin' THEN '# D' ELSE '# plain' END AS body, platform IS NULL OR platform NOT IN ('bilibili', 'douyin') AS is_builtin FROM media"
+    sql["section_updates"] = """SELECT media_id, '---' || chr(10) || concat_ws(chr(10), 'source: ' || media_id, 'platform: ' || platform, 'lang: ' || lang) || chr(10) || '---' || chr(10) || chr(10)
+      || '# ' || coalesce(title, 'untitled') || chr(10) || chr(10) || '## Uploader' || chr(10) || chr(10) || 'someone' || chr(10) AS note FROM media"""
+    sql["frontmatter_names"] = """SELECT 'vault/' || f || '/NOTE.md' AS path, media_id AS value FROM (SELECT media_id, CASE WHEN length(media_id) % 3 = 0 THEN coalesce(platform, 'none') ELSE media_id END AS f FROM media) WHERE f <> media_id"""
+    sql["differing_copies"] = "SELECT media_id AS name, count(*) AS n_copies, count(DISTINCT text) AS n_versions FROM results WHERE media_id IS NOT NULL AND text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT text) > 1"
+    sql["entrypoints"] = "SELECT 'root/' || engine || '/SKILL.md' AS path, count(*) AS n FROM results WHERE chunked AND diarized GROUP BY 1"
+    sql["declared_versions"] = """WITH m AS (SELECT media_id AS path, CAST(count(DISTINCT CASE WHEN diarized THEN model_size END) AS INTEGER) AS n_versions FROM results WHERE media_id IS NOT NULL GROUP BY 1)
+      SELECT path, n_versions, CASE WHEN n_versions = 0 THEN 'missing' ELSE 'contradictory' END AS failure FROM m WHERE n_versions <> 1"""
+    sql["version_parity"] = "SELECT count(model_size) AS n_declared, count(DISTINCT regexp_replace(model_size, '^v', '')) AS n_versions, count(DISTINCT regexp_replace(model_size, '^v', '')) <= 1 AS agreed FROM results"
+    sql["host_parity"] = """WITH r AS (SELECT engine, min(device) AS device, max(compute_type) AS compute_type, min(punct_mode) AS punct_mode FROM results GROUP BY 1),
+      t AS (SELECT engine, unnest(['device', 'compute_type', 'punct_mode']) AS key, unnest([device, compute_type, punct_mode]) AS value FROM r), w AS (SELECT * FROM t WHERE engine = (SELECT min(engine) FROM r))
+      SELECT t.engine AS host, t.key, t.value, w.value AS expected FROM t JOIN w ON w.key = t.key WHERE t.engine <> w.engine AND t.value IS DISTINCT FROM w.value"""
+    sql["unreferenced_names"] = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents), n AS (SELECT w, count(*) AS n FROM w GROUP BY 1)
+      SELECT speaker_code AS name FROM speakers LEFT JOIN n ON n.w = speaker_code WHERE coalesce(n.n, 0) <= 1"""
+    sql["topic_parts"] = """SELECT platform, count(*) AS n_lines, CAST(sum(length(replace('- [[' || media_id || ']] ' || coalesce(title, 'untitled'), chr(10), ''))) AS BIGINT) AS n_chars FROM media WHERE platform IS NOT NULL GROUP BY 1"""
+    sql["live_trend"] = f"""WITH {HIST} SELECT "case", norm, count(*) AS runs FROM h WHERE "case" IS NOT NULL AND created_at IS NOT NULL AND elapsed IS NOT NULL GROUP BY 1, 2"""
     for name, types in _TYPES.items():
         sql[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql[name]})"
     return sql

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,15 +48,40 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage without keeping blocks on executors, so the loss of an executor costs no recomputation. The
-    folder is removed when the driver's Python ends.
+    folder is removed by release(), or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _staged:
+        atexit.register(_release_all)
+    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+def release() -> int:
+    """Remove the tables staged so far, for a long session whose results are written; how many there were.
+
+    Results that are not written yet must not be asked for any more.
+    """
+    n = len(_staged)
+    while _staged:
+        _remove(*_staged.pop())
+    return n
+
+
+def _release_all() -> None:
+    release()
+
+
+def counted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, which are counted first; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import timecode, wrap
 from ..operators.scan import by_number, scan
+from ..session import counted
 
 #: What the known steps are called in a note.
 STEP_LABELS = {"asr_engine": "Recogniser", "asr_coverage": "Coverage", "asr_chunking": "Chunks", "asr_confidence": "Confidence", "asr_hallucination_gate": "Hallucination gate", "simplify": "Simplified characters", "local_video": "Local file"}
@@ -48,7 +51,7 @@ def note(title: Column, fields: dict[str, Column], sections: list[tuple[str, Col
 def templated(notes: DataFrame, templates: DataFrame, builtin: str) -> DataFrame:
     """notes (template, ...) with its body and is_builtin where the named template does not exist."""
     t = templates.groupBy(F.col("name").alias("template")).agg(F.min("body").alias("body"))
-    return notes.join(F.broadcast(t), "template", "left").withColumn("is_builtin", F.col("body").isNull()).withColumn("body", F.coalesce("body", F.lit(builtin)))
+    return notes.join(counted(t), "template", "left").withColumn("is_builtin", F.col("body").isNull()).withColumn("body", F.coalesce("body", F.lit(builtin)))
 
 
 def processing_section(diagnostics: DataFrame, key: str, step: str = "step") -> DataFrame:
@@ -90,11 +93,14 @@ def vault_pages(notes: DataFrame, topic: str, name: str, body: str) -> DataFrame
     return notes.select(safe(topic).alias("topic"), safe(name).alias("name"), F.col(body).alias("value"))
 
 
-def synthesis(notes: DataFrame, topic: str, name: str, title: str) -> DataFrame:
-    """(topic, part_no, section): the index of a topic over many media, in parts of at most some hundred lines."""
-    rows = notes.withColumn("part_no", F.pmod(F.xxhash64(name), F.lit(64)).cast("int")).where(F.col(topic).isNotNull())
+def synthesis(notes: DataFrame, topic: str, name: str, title: str, lines_a_part: int = 256) -> DataFrame:
+    """(topic, part_no, section): the index of a topic over many media, in parts of about `lines_a_part` lines however
+    large the topic is: as many parts as its counted lines need, dealt by a hash of the name."""
+    rows = notes.where(F.col(topic).isNotNull()).select(topic, name, title)
+    sizes = rows.groupBy(topic).agg(F.ceil(F.count("*") / lines_a_part).cast("int").alias("_n"))
+    dealt = rows.join(sizes, topic).withColumn("part_no", F.pmod(F.xxhash64(name), F.col("_n")).cast("int"))
     line = F.concat(F.lit("- [["), F.col(name), F.lit("]] "), F.coalesce(title, F.lit("untitled")))
-    return rows.groupBy(topic, "part_no").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("section"))
+    return dealt.groupBy(topic, "part_no").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("section"))
 
 
 def anki_cards(df: DataFrame, front: Column, back: Column, tags: Column) -> DataFrame:
@@ -132,8 +138,11 @@ def append_history(rows: DataFrame, out: str) -> None:
     rows.write.mode("append").json(out)
 
 
-def write_staged(df: DataFrame, out: str) -> None:
-    """Parquet written beside its place and moved there when whole, so a failure leaves the old table as it was."""
+def write_staged(df: DataFrame, out: str, tries: int = 5, wait_s: float = 0.2) -> None:
+    """Parquet written beside its place and moved there when whole, so a failure leaves the old table as it was.
+
+    A target that is busy is tried again, `tries` times in all, each wait twice as long as the one before.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(out + ".new"), jvm.org.apache.hadoop.fs.Path(out + ".old")
@@ -143,7 +152,12 @@ def write_staged(df: DataFrame, out: str) -> None:
     fs.delete(old, True)
     if fs.exists(at):
         fs.rename(at, old)
-    if not fs.rename(new, at):
+    for k in range(tries):
+        if k:
+            time.sleep(wait_s * 2 ** (k - 1))
+        if fs.rename(new, at):
+            break
+    else:
         fs.rename(old, at)
         raise OSError(f"could not put {out} in place")
     fs.delete(old, True)

@@ -46,7 +46,7 @@ def test_corrections(spark):
 
 def test_failure_codes(spark):
     got = {m: one(spark, clean.failure_code, m) for m in (None, "HTTP 412", "read timed out", "no audio stream", "what")}
-    assert got == {None: 0, "HTTP 412": 22, "read timed out": 24, "no audio stream": 27, "what": 20}
+    assert got == {None: 0, "HTTP 412": 22, "read timed out": 22, "no audio stream": 27, "what": 1}
 
 
 def test_adjacent_duplicates(spark):
@@ -147,3 +147,11 @@ def test_settings_identity_tells_null_from_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "x string, y string")
     a, b, c = (r[0] for r in df.select(settings_identity(df, ["x", "y"])).collect())
     assert a == c != b
+
+
+def test_failure_types_decide_before_texts(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("HTTP 404", "requests.ReadTimeout"), ("x", "TypeError"), (None, None), (None, "LoginRequired")], "m string, k string")
+    assert [r[0] for r in df.select(clean.failure_code(F.col("m"), F.col("k"))).collect()] == [22, 1, 0, 21]
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,), (None,)], "h boolean").select(clean.audio_code(F.col("h"))).collect()] == [0, 27, 27]

@@ -117,3 +117,23 @@ def test_retry_budget_and_volume(spark):
     got = rows(intervals.retry_windows(df, "k"))
     assert len(got) == 5 and max(b - a for _, a, b, _ in got) == 60_000
     assert len(rows(intervals.retry_windows(df, "k", loud=F.col("volume") > -35))) == 4
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_scan_over_several_levels_is_the_same(spark, reverse):
+    import random
+
+    rng = random.Random(8)
+    rows = [("a" if rng.random() < 0.7 else "b", n, rng.choice([None, rng.randrange(100)])) for n in range(600)]
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    spec = {"most": ("max", F.col("v")), "least": ("min", F.col("v")), "total": ("sum", F.col("v")), "seen": ("count", F.col("v")), "prior": ("last", F.col("v"))}
+    flat = sorted(map(str, scan(df, ["k"], by_number("n", 7), ["n"], spec, reverse=reverse).collect()))
+    for levels in (2, 3):
+        assert sorted(map(str, scan(df, ["k"], by_number("n", 7), ["n"], spec, reverse=reverse, levels=levels, fan=4).collect())) == flat
+
+
+def test_slices(spark):
+    from tempolex.operators.intervals import sliced
+
+    df = spark.createDataFrame([(1, 0, 1000), (2, 900, 2500), (3, 2000, 3000), (4, None, 1500), (5, 1200, None)], "i int, start_ms bigint, end_ms bigint")
+    assert [tuple(r) for r in sliced(df, 1000, 2000).collect()] == [(2, 0, 1000)]

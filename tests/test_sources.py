@@ -178,3 +178,27 @@ def test_late_repeats_and_open_session(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from once").count() == 1
+
+
+def test_recut_stream_starts_anew_at_each_cut(spark, tmp_path):
+    from tempolex.streaming.live import recut_stream
+
+    src, kind = tmp_path / "in", "k string, start_ms bigint, end_ms bigint, text string"
+    batches = [[("a", 0, 500, "你好"), ("a", 600, 900, "世界。"), ("b", 0, 100, "x" * 20)], [("a", 1000, 1400, "再说"), ("b", 200, 300, "y" * 20), (None, 0, 1, "z")], [("a", 3000, 3400, "停顿以后"), ("b", 350, 400, "z"), ("b", 400, None, "q")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(src))
+        stream = recut_stream(spark.readStream.schema(kind).json(str(src)), "k")
+        q = stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema("k string, piece_no int, start_ms bigint, end_ms bigint, text string").json(str(tmp_path / "out")).collect())
+    assert got == [("a", 0, 0, 900, "你好世界。"), ("a", 1, 1000, 1400, "再说"), ("b", 0, 0, 100, "x" * 20)]
+
+
+def test_staged_tables_are_released(spark):
+    from pathlib import Path
+
+    from tempolex import session
+
+    df = session.stage(spark.range(5), "here")
+    folder = Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert folder.exists() and session.release() >= 1 and not folder.exists() and session.release() == 0
