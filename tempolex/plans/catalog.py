@@ -558,6 +558,28 @@ def matched_cases(spark, d):
     return got.groupBy("case").agg(F.count("*").alias("n_hyps"), F.max(F.length("ref")).alias("ref_chars"))
 
 
+@query
+def link_examples(spark, d):
+    """What links and share texts point to, over a small table of its own."""
+    rows = [(1, "see https://www.bilibili.com/video/BV1xx411c7mD?p=2 now"), (2, "av170001"), (3, "https://www.douyin.com/video/7123456789012345678"), (4, "复制 https://v.douyin.com/aBcD12/ 打开"), (5, "nothing"), (6, None)]
+    t = spark.createDataFrame(rows, "case_id int, text string")
+    return t.select("case_id", identity.canonical_id(F.col("text")).alias("canonical_id"), identity.platform(F.col("text")).alias("source_platform"))
+
+
+@query
+def redaction_examples(spark, d):
+    """Texts without secrets, over a small table of its own."""
+    rows = [(1, "SESSDATA=abc; x"), (2, "api_key: k123 end"), (3, "https://e.org/a?sign=1&b=2 ok"), (4, "in /home/someone/x and /tmp/y/z"), (5, "C:\\Users\\me\\x"), (6, "plain"), (7, None)]
+    return spark.createDataFrame(rows, "case_id int, text string").select("case_id", redact(F.col("text")).alias("redacted"))
+
+
+@query
+def forbidden_examples(spark, d):
+    """What files must not hold, over a small table of its own."""
+    rows = [("a/v.mp4", "x"), ("b/.env", ""), ("c/t.md", "proxy 127.0.0.1:7890"), ("d/k.md", "ghp_" + "a" * 24), ("e/p.md", "/home/me/x and AKIA" + "A" * 16), ("f/ok.md", "127.0.0.1 alone"), ("g/n.md", None)]
+    return validate.forbidden_content(spark.createDataFrame(rows, "path string, text string"))
+
+
 @query
 def failures_by_type(spark, d):
     """Codes of failures told by type, by text, by both and by neither, over a small table of its own."""
@@ -703,7 +725,7 @@ def differing_copies(spark, d):
 @query
 def entrypoints(spark, d):
     """Entrypoints below the root besides its own, of a file for each run."""
-    r = table(spark, d, "results").select(F.concat_ws("/", F.lit("root"), F.when(F.col("chunked"), F.col("engine")), F.when(F.col("diarized"), F.lit("SKILL.md")).otherwise(F.lit("notes.md"))).alias("path"))
+    r = table(spark, d, "results").select(F.concat_ws("/", F.lit("root"), F.when(~F.col("chunked"), F.col("engine")), F.when(F.col("diarized"), F.lit("SKILL.md")).otherwise(F.lit("notes.md"))).alias("path"))
     return validate.nested_entrypoints(r, "root", "SKILL.md").groupBy("path").agg(F.count("*").alias("n"))
 
 
@@ -723,10 +745,10 @@ def version_parity(spark, d):
 @query
 def host_parity(spark, d):
     """Settings of each engine against those of the first."""
-    r = table(spark, d, "results").groupBy("engine").agg(F.min("device").alias("device"), F.max("compute_type").alias("compute_type"), F.min("punct_mode").alias("punct_mode"))
+    r = table(spark, d, "results").groupBy("engine").agg(F.min("device").alias("device"), F.max("compute_type").alias("compute_type"), F.count("*").alias("n_runs"))
     first = r.agg(F.min("engine").alias("e")).scalar()
     named = r.withColumn("host", F.when(F.col("engine") == first, "reference").otherwise(F.col("engine")))
-    return validate.host_parity(named, "host", ["device", "compute_type", "punct_mode"], "reference")
+    return validate.host_parity(named, "host", ["device", "compute_type", "n_runs"], "reference")
 
 
 @query

@@ -276,6 +276,10 @@ def oracle_sql() -> dict[str, str]:
       SELECT n."case", n.norm, CASE WHEN best IS NULL THEN 'unrecorded' WHEN elapsed IS NULL OR elapsed - best > 0.005 THEN 'regressed' WHEN elapsed < best THEN 'improved' ELSE 'held' END AS verdict FROM n LEFT JOIN m ON m."case" = n."case" AND m.norm = n.norm"""
     sql["matched_cases"] = f"""WITH {CARD}, g AS (SELECT media_id, min(text) AS ref FROM card WHERE media_id IS NOT NULL GROUP BY 1)
       SELECT 'cases/' || r.media_id || '.json' AS "case", count(*) AS n_hyps, CAST(max(length(ref)) AS INTEGER) AS ref_chars FROM results r LEFT JOIN g ON g.media_id = r.media_id WHERE r.media_id IS NOT NULL GROUP BY 1"""
+    sql["link_examples"] = """SELECT * FROM (VALUES (1, 'BV1xx411c7mD', 'bilibili'), (2, 'av170001', 'bilibili'), (3, 'dy7123456789012345678', 'douyin'), (4, 'short:aBcD12', 'douyin'), (5, NULL, NULL), (6, NULL, NULL))
+      AS t(case_id, canonical_id, source_platform)"""
+    sql["redaction_examples"] = """SELECT * FROM (VALUES (1, '[cookie]; x'), (2, '[token] end'), (3, '[signed-url] ok'), (4, 'in [home]/x and [tmp]'), (5, '[home]' || chr(92) || 'x'), (6, 'plain'), (7, NULL)) AS t(case_id, redacted)"""
+    sql["forbidden_examples"] = """SELECT * FROM (VALUES ('a/v.mp4', 'suffix'), ('b/.env', 'name'), ('c/t.md', 'loopback_address'), ('d/k.md', 'credential'), ('e/p.md', 'machine_path'), ('e/p.md', 'credential')) AS t(path, failure)"""
     sql["failures_by_type"] = "SELECT * FROM (VALUES (1, 21), (2, 22), (3, 22), (4, 21), (5, 0), (6, 1), (7, 27), (8, 26)) AS t(case_id, status_code)"
     kept = "list_extract(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '^\\x{FEFF}', ''), '\\n[ \\t]*\\n+'), 1)"
     sql["srt_round_trip"] = f"""WITH {SEG} SELECT segment_id, start_ms, end_ms, regexp_replace(regexp_replace({kept}, '<[^<>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text
@@ -294,12 +298,12 @@ def oracle_sql() -> dict[str, str]:
       || '# ' || coalesce(title, 'untitled') || chr(10) || chr(10) || '## Uploader' || chr(10) || chr(10) || 'someone' || chr(10) AS note FROM media"""
     sql["frontmatter_names"] = """SELECT 'vault/' || f || '/NOTE.md' AS path, media_id AS value FROM (SELECT media_id, CASE WHEN length(media_id) % 3 = 0 THEN coalesce(platform, 'none') ELSE media_id END AS f FROM media) WHERE f <> media_id"""
     sql["differing_copies"] = "SELECT media_id AS name, count(*) AS n_copies, count(DISTINCT text) AS n_versions FROM results WHERE media_id IS NOT NULL AND text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT text) > 1"
-    sql["entrypoints"] = "SELECT 'root/' || engine || '/SKILL.md' AS path, count(*) AS n FROM results WHERE chunked AND diarized GROUP BY 1"
+    sql["entrypoints"] = "SELECT 'root/' || engine || '/SKILL.md' AS path, count(*) AS n FROM results WHERE NOT chunked AND diarized GROUP BY 1"
     sql["declared_versions"] = """WITH m AS (SELECT media_id AS path, CAST(count(DISTINCT CASE WHEN diarized THEN model_size END) AS INTEGER) AS n_versions FROM results WHERE media_id IS NOT NULL GROUP BY 1)
       SELECT path, n_versions, CASE WHEN n_versions = 0 THEN 'missing' ELSE 'contradictory' END AS failure FROM m WHERE n_versions <> 1"""
     sql["version_parity"] = "SELECT count(model_size) AS n_declared, count(DISTINCT regexp_replace(model_size, '^v', '')) AS n_versions, count(DISTINCT regexp_replace(model_size, '^v', '')) <= 1 AS agreed FROM results"
-    sql["host_parity"] = """WITH r AS (SELECT engine, min(device) AS device, max(compute_type) AS compute_type, min(punct_mode) AS punct_mode FROM results GROUP BY 1),
-      t AS (SELECT engine, unnest(['device', 'compute_type', 'punct_mode']) AS key, unnest([device, compute_type, punct_mode]) AS value FROM r), w AS (SELECT * FROM t WHERE engine = (SELECT min(engine) FROM r))
+    sql["host_parity"] = """WITH r AS (SELECT engine, min(device) AS device, max(compute_type) AS compute_type, CAST(count(*) AS VARCHAR) AS n_runs FROM results GROUP BY 1),
+      t AS (SELECT engine, unnest(['device', 'compute_type', 'n_runs']) AS key, unnest([device, compute_type, n_runs]) AS value FROM r), w AS (SELECT * FROM t WHERE engine = (SELECT min(engine) FROM r))
       SELECT t.engine AS host, t.key, t.value, w.value AS expected FROM t JOIN w ON w.key = t.key WHERE t.engine <> w.engine AND t.value IS DISTINCT FROM w.value"""
     sql["unreferenced_names"] = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents), n AS (SELECT w, count(*) AS n FROM w GROUP BY 1)
       SELECT speaker_code AS name FROM speakers LEFT JOIN n ON n.w = speaker_code WHERE coalesce(n.n, 0) <= 1"""
