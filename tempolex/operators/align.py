@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import MARKS
+from .longest import Index
 
 #: One difference: kind as from a to b, places in both, both texts.
 SPAN = "array<struct<tag:string,a_lo:int,a_hi:int,b_lo:int,b_hi:int,a_text:string,b_text:string>>"
@@ -203,73 +202,98 @@ def common_block(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "int")(a, b)
 
 
-def _best_blocks(own: list[dict], gold: list[dict], least: int) -> list[tuple]:
-    """(id, gold id, block, distance) of each segment that shares `least` characters or more with a piece of gold.
+#: Characters that are looked at together, of as many whole keys as they hold.
+_TOGETHER = 1 << 20
 
-    The pieces are looked up in one text, parted by a character that no segment has; two pointers over a segment find
-    the length of its longest block, the places of all blocks of that length give the pieces.
-    """
-    size = max(least, 6)
-    used = {c for r in own for c in r["text"]}
-    part = next(c for c in map(chr, range(0x10FFFF)) if c not in used)
-    whole = part.join(r["text"] for r in gold)
-    starts = [0, *accumulate(len(r["text"]) + 1 for r in gold)][:-1]
-    short = {whole[i : i + least] for i in range(len(whole) - least + 1)}
-    grams = {whole[i : i + size] for i in range(len(whole) - size + 1)}
-    out = []
-    for r in own:
-        t = r["text"]
-        most, blocks = least - 1, set()
-        for i in range(len(t) - least + 1):
-            if t[i : i + least] not in short:
-                continue
-            while (to := i + max(most, least - 1) + 1) <= len(t) and (to - i < size or t[to - size : to] in grams) and t[i:to] in whole:
-                most, blocks = to - i, set()
-            if most >= least and i + most <= len(t) and (most < size or t[i + most - size : i + most] in grams):
-                blocks.add(t[i : i + most])
-        best = None
-        for block in blocks:
-            at = whole.find(block)
-            while at >= 0:
-                g = gold[bisect_right(starts, at) - 1]
-                rank = (abs(r["s"] - g["s"]), g["id"] is not None, g["id"])
-                if best is None or rank < best:
-                    best = rank
-                at = whole.find(block, at + 1)
-        if best:
-            out.append((r["id"], best[2], most, best[0]))
-    return out
 
-
-def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2, block_rows: int = 2048) -> DataFrame:
+def _whole_groups(batches: Iterator[pa.RecordBatch], on: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by `on` with the number of their group, about _TOGETHER characters of whole groups at a time."""
+    held: list[pa.RecordBatch] = []
+    numbers: list[np.ndarray] = []
+    chars, group, last = 0, 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for c in on:
+            new[1:] |= pc.not_equal(b[c].slice(1), b[c].slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[0], last = last != [b[c][0].as_py() for c in on], [b[c][-1].as_py() for c in on]
+        number = group + np.cumsum(new)
+        group = int(number[-1])
+        chars += b.num_rows + (pc.sum(pc.utf8_length(b["text"])).as_py() or 0)
+        if chars > _TOGETHER and new.any():
+            cut = int(np.flatnonzero(new)[-1])
+            if held or cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)]), np.concatenate([*numbers, number[:cut]])
+            held, numbers, b, number = [], [], b.slice(cut), number[cut:]
+            chars = b.num_rows + (pc.sum(pc.utf8_length(b["text"])).as_py() or 0)
+        held.append(b)
+        numbers.append(number)
+    if held:
+        yield pa.Table.from_batches(held), np.concatenate(numbers)
+
+
+def _offsets(rows: pa.Table, group: np.ndarray, least: int, every: bool) -> pa.Table:
+    """(k, id, g, n, d) of the segments, which have `own`, with the pieces of gold of their group; every: also those without one."""
+    own = rows["own"].to_numpy()
+    a, b = np.flatnonzero(own), np.flatnonzero(~own)
+    both = np.intersect1d(group[a], group[b])
+    mine, theirs = a[np.isin(group[a], both)], b[np.isin(group[b], both)]
+    at = who = n = d = np.zeros(0, np.int64)
+    if len(mine):
+        preference = np.empty(len(theirs), np.int64)
+        preference[pc.sort_indices(rows["g"].take(theirs), null_placement="at_start").to_numpy()] = np.arange(len(theirs))
+        starts, number = rows["s"].to_numpy(), np.searchsorted(both, group)
+        index = Index(number[theirs], rows["text"].take(theirs).to_pylist(), starts[theirs], preference)
+        found = [*index.nearest(number[mine], rows["text"].take(mine).to_pylist(), starts[mine], least)]
+        if found:
+            at, who, n, d = (np.concatenate(c) for c in zip(*found))
+            at, who = mine[at], theirs[who]
+    rest = np.setdiff1d(a, at) if every else at[:0]
+    pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(len(rest), kind)])
+    at = np.concatenate([at, rest])
+    return pa.table({"k": rows["k"].take(at), "id": rows["id"].take(at), "g": rows["g"].take(pad(who, pa.int64())), "n": pad(n, pa.int32()), "d": pad(d, pa.int64())})
+
+
+def _nearest_gold(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int, block_rows: int, every: bool = False) -> DataFrame:
+    """(k, id, g, n, d): the best piece of each block of gold of the key, for each segment that has one; see gold_offsets()."""
+
+    def rows_of(df: DataFrame, name: str) -> DataFrame:
+        return df.where(f"{key} is not null and start_ms is not null and text is not null").select(F.col(key).alias("k"), F.col(name).alias("id"), F.col("start_ms").cast("bigint").alias("s"), "text")
+
+    def dealt(rows: DataFrame, name: str, most: int) -> DataFrame:
+        # Only keys of more than one block are told, so that they are few.
+        n = F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("text")) / (32 * most)))
+        return F.broadcast(rows.groupBy("k").agg(n.alias(name)).where(F.col(name) > 1))
+
+    a, b = rows_of(segments, id_col), rows_of(gold, gold_id)
+    mine, theirs = (df.schema["id"].dataType.simpleString() for df in (a, b))
+    on = ["k", "x", "y"]
+    own = a.select("k", "id", F.lit(None).cast(theirs).alias("g"), "s", "text", F.lit(True).alias("own"))
+    both = own.unionAll(b.select("k", F.lit(None).cast(mine).alias("id"), F.col("id").alias("g"), "s", "text", F.lit(False).alias("own")))
+    both = both.join(dealt(a, "_nx", 2 * block_rows), "k", "left").join(dealt(b, "_ny", block_rows), "k", "left")
+    nx, ny = (F.coalesce(F.col(c), F.lit(1).cast("bigint")) for c in ("_nx", "_ny"))
+    block = F.pmod(F.xxhash64("id", "g", "s", "text"), F.when(F.col("own"), nx).otherwise(ny))
+    both = both.select("*", block.alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("own"), ny).otherwise(nx) - 1)).alias("_o"))
+    places = [F.when(F.col("own") == is_own, F.col("_b")).otherwise(F.col("_o")).alias(c) for c, is_own in (("x", True), ("y", False))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_groups(batches, on):
+            yield from _offsets(rows, group, least, every).to_batches()
+
+    kind = f"k {a.schema['k'].dataType.simpleString()}, id {mine}, g {theirs}, n int, d bigint"
+    return both.select("k", *places, "id", "g", "s", "text", "own").repartition(*on).sortWithinPartitions(*on).mapInArrow(run, kind)
+
+
+def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2, block_rows: int = 100_000) -> DataFrame:
     """(id, gold_id, block, offset_ms): the gold piece of the key that shares the longest stretch with a segment, and how far its start is.
 
     All pieces of the key are looked at, however far; fewer than `least` common characters are no match. Ties go to the
-    nearer start, then the smaller gold id. Rows without key, start or text take no part. Both sides of a key are dealt
-    into blocks of about block_rows, and a task takes one block of each.
+    nearer start, then the smaller gold id. Rows without key, start or text take no part. The gold of a key is sorted by
+    its suffixes and the segments are looked up in these. A key of more than block_rows pieces, or twice as many
+    segments, or of 32 characters times these, is dealt into blocks, and each block of segments is looked up in each of gold.
     """
-
-    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.where(f"{key} is not null and start_ms is not null and text is not null").select(key, F.col(name).alias("id"), F.col("start_ms").alias("s"), "text")
-        return rows, rows.groupBy(key).agg(F.ceil(F.count("*") / block_rows).alias("_n"))
-
-    def spread(rows: DataFrame, mine: str, other: str) -> DataFrame:
-        own = F.pmod(F.xxhash64("id", "s", "text"), F.col(f"_n{mine}")).alias(f"_b{mine}")
-        return rows.join(sizes, key).select(key, "id", "s", "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n{other}") - 1)).alias(f"_b{other}"))
-
-    a, na = dealt(segments, id_col)
-    b, nb = dealt(gold, gold_id)
-    sizes = na.withColumnRenamed("_n", "_na").join(nb.withColumnRenamed("_n", "_nb"), key)
-    types = pa.schema([("id", to_arrow_type(a.schema["id"].dataType)), ("g", to_arrow_type(b.schema["id"].dataType)), ("n", pa.int32()), ("d", pa.int64())])
-
-    def run(own: pa.Table, pieces: pa.Table) -> pa.Table:
-        rows = _best_blocks(own.to_pylist(), pieces.to_pylist(), least)
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], schema=types)
-
-    on = [key, "_ba", "_bb"]
-    kind = f"id {a.schema['id'].dataType.simpleString()}, g {b.schema['id'].dataType.simpleString()}, n int, d bigint"
-    met = spread(a, "a", "b").groupBy(*on).cogroup(spread(b, "b", "a").groupBy(*on)).applyInArrow(run, kind)
-    best = met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "d", "g")).alias("m"))
+    best = _nearest_gold(segments, gold, key, id_col, gold_id, least, block_rows).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "d", "g")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("m.g").alias(gold_id), (-F.col("m.n")).alias("block"), F.col("m.d").alias("offset_ms"))
 
 

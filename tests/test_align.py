@@ -1,10 +1,13 @@
 import random
+import time
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tempolex.operators import align, fuse, gates, history, review
+from tempolex.operators import align, fuse, gates, history, longest, review
 
 
 def test_direction_of_opcodes():
@@ -204,6 +207,66 @@ def test_offsets_at_any_distance(spark):
     assert max(w[3] for w in want) > 10_000
 
 
+def test_offsets_of_one_large_medium_do_not_compare_all_pairs(spark):
+    rng = random.Random(5)
+    n = 24_000
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=30)) for _ in range(n)]
+    kind = "m string, id bigint, start_ms bigint, end_ms bigint, text string"
+    own = spark.createDataFrame([("m", i, i * 1000, None, t) for i, t in enumerate(texts)], kind)
+    gold = spark.createDataFrame([("m", i, i * 1000 + 70_000, None, "-" + t) for i, t in enumerate(texts)], kind).withColumnRenamed("id", "g")
+    began = time.monotonic()
+    got = align.gold_offsets(own, gold, "m", "id", "g").collect()
+    assert time.monotonic() - began < 25
+    assert sorted(map(tuple, got)) == [(i, i, 30, 70_000) for i in range(n)]
+
+
+def _longest_by_difflib(own, gold, least):
+    """The brute-force version; own: (group, text, start), gold: these and the preference."""
+    out = {}
+    for i, (k, t, s) in enumerate(own):
+        found = [(-n, abs(s - u), p, j) for j, (g, v, u, p) in enumerate(gold) if g == k and (n := SequenceMatcher(None, t, v, autojunk=False).find_longest_match().size) >= least]
+        if found:
+            n, d, _, j = min(found)
+            out[i] = (j, -n, d)
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "a", "的了你好\U0001f600ab\0\uffff"])
+@pytest.mark.parametrize("at_once", [1 << 19, 20])
+def test_longest_stretches_of_an_index(letters, at_once, monkeypatch):
+    monkeypatch.setattr(longest, "_AT_ONCE", at_once)
+    for seed in range(40):
+        rng = random.Random(seed)
+        span, groups, least = rng.choice([5, 30, 1000]), rng.randrange(1, 4), rng.choice([1, 2, 3])
+        text = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([3, 14, 40]))))
+        m = rng.randrange(1, 25)
+        gold = [(rng.randrange(groups), text(), rng.randrange(-span, span), p) for p in rng.sample(range(m), m)]
+        own = [(rng.randrange(groups + 1), text() + rng.choice(["", "z"]), rng.randrange(-span, span)) for _ in range(rng.randrange(1, 25))]
+        k, t, s, p = zip(*gold)
+        index = longest.Index(np.array(k), [*t], np.array(s), np.array(p))
+        k, t, s = zip(*own)
+        got = [x for part in index.nearest(np.array(k), [*t], np.array(s), least) for x in zip(*(c.tolist() for c in part))]
+        assert len(got) == len({x[0] for x in got})
+        assert {x[0]: x[1:] for x in got} == _longest_by_difflib(own, gold, least)
+
+
+def test_offsets_read_whole_groups_at_a_time(monkeypatch):
+    rng = random.Random(2)
+    rows = sorted(((rng.randrange(9), rng.random() < 0.5, i, rng.randrange(50), "".join(rng.choices("abc", k=rng.randrange(9)))) for i in range(200)), key=lambda r: r[0])
+    rows.insert(0, (-1, True, 200, 0, "abc"))
+    table = pa.table({"k": [f"k{r[0]}" for r in rows], "id": [r[2] if r[1] else None for r in rows], "g": [None if r[1] else r[2] for r in rows], "s": [r[3] for r in rows], "text": [r[4] for r in rows], "own": [r[1] for r in rows]})
+    own, gold = ([(r[0], r[4], r[3], r[2]) for r in rows if r[1] is side] for side in (True, False))
+    want = {own[i][3]: (gold[j][3], n, d) for i, (j, n, d) in _longest_by_difflib([r[:3] for r in own], gold, 2).items()}
+    for most, size in ((1 << 20, 1000), (40, 7), (1, 1), (200, 64)):
+        monkeypatch.setattr(align, "_TOGETHER", most)
+        parts = [*align._whole_groups(iter(table.to_batches(size)), ["k"])]
+        assert pa.concat_tables(p for p, _ in parts) == table and (len(parts) > 1) == (most < 1000)
+        found = [r for p, group in parts for r in align._offsets(p, group, 2, False).to_pylist()]
+        assert {r["id"]: (r["g"], r["n"], r["d"]) for r in found} == want and len(found) == len(want)
+        every = [r for p, group in parts for r in align._offsets(p, group, 2, True).to_pylist()]
+        assert sorted(r["id"] for r in every) == sorted(r[3] for r in own) and sum(r["n"] is not None for r in every) == len(want)
+
+
 def test_timeline_offset_of_a_shifted_medium(spark):
     kind = "m string, id bigint, start_ms bigint, end_ms bigint, text string"
     words = ["red apples", "blue chairs", "old green doors", "6789"]
