@@ -297,17 +297,17 @@ def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, go
     return best.select(F.col("id").alias(id_col), F.col("m.g").alias(gold_id), (-F.col("m.n")).alias("block"), F.col("m.d").alias("offset_ms"))
 
 
-def timeline_offset(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2) -> DataFrame:
+def timeline_offset(segments: DataFrame, gold: DataFrame, key: str, id_col: str, gold_id: str, least: int = 2, block_rows: int = 100_000) -> DataFrame:
     """(key, matched, considered, median_ms, max_ms): the gold_offsets() of each key that has gold, summed up.
 
     Segments with an id, a start and a text are considered; ids must be unique. A key none of whose segments match has
     null offsets.
     """
-    rows = segments.where(f"{id_col} is not null and start_ms is not null and text is not null").join(gold.select(key).distinct(), key, "left_semi")
-    off = gold_offsets(rows, gold, key, id_col, gold_id, least)
-    return rows.select(key, id_col).join(off, id_col, "left").groupBy(key).agg(
-        F.count("offset_ms").alias("matched"), F.count("*").alias("considered"), F.median("offset_ms").alias("median_ms"), F.max("offset_ms").alias("max_ms")
-    )
+    near = _nearest_gold(segments.where(f"{id_col} is not null"), gold, key, id_col, gold_id, least, block_rows, every=True)
+    found = F.when(F.col("n").isNotNull(), F.struct((-F.col("n")).alias("n"), "d", "g"))
+    best = near.groupBy("k", "id").agg(F.min(found).alias("m"))
+    sums = best.groupBy(F.col("k").alias(key)).agg(F.count("m.d").alias("matched"), F.count("*").alias("considered"), F.median("m.d").alias("median_ms"), F.max("m.d").alias("max_ms"))
+    return sums.join(gold.select(key).distinct(), key, "left_semi")
 
 
 def match_cases(hypotheses: DataFrame, gold: DataFrame, case: str = "case") -> DataFrame:

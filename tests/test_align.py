@@ -275,6 +275,26 @@ def test_timeline_offset_of_a_shifted_medium(spark):
     assert sorted(map(tuple, align.timeline_offset(a, b, "m", "id", "id").collect())) == [("m", 3, 4, 30_000.0, 30_000), ("o", 0, 1, None, None)]
 
 
+def test_timeline_offset_over_blocks_and_of_one_large_medium(spark):
+    rng = random.Random(6)
+    kind = "m string, id bigint, start_ms bigint, end_ms bigint, text string"
+    text = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 14)))
+    rows = [(f"m{i % 4}", i, rng.randrange(200_000), None, text()) for i in range(120)] + [("n", 200, 1, None, "abc"), ("o", 201, 1, None, "abc"), ("m0", None, 1, None, "abc"), ("m0", 202, None, None, "abc"), (None, 203, 1, None, "abc")]
+    pieces = [(f"m{i % 3}", i, rng.randrange(200_000), None, text()) for i in range(90)] + [("o", 90, 1, None, None), (None, 91, 1, None, "abc")]
+    own, gold = (spark.createDataFrame(x, kind) for x in (rows, pieces))
+    best = _longest_by_difflib([(r[0], r[4], r[2]) for r in rows[:120]], [(p[0], p[4], p[2], p[1]) for p in pieces[:90]], 2)
+    want = [(m, len(d), 30, float(np.median(d)), max(d)) for m in ("m0", "m1", "m2") for d in [[best[i][2] for i in range(120) if rows[i][0] == m and i in best]]] + [("o", 0, 1, None, None)]
+    for size in (7, 100_000):
+        assert sorted(map(tuple, align.timeline_offset(own, gold, "m", "id", "id", block_rows=size).collect())) == want
+    n = 24_000
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=30)) for _ in range(n)]
+    own = spark.createDataFrame([("m", i, i * 1000, None, t) for i, t in enumerate(texts)], kind)
+    gold = spark.createDataFrame([("m", i, i * 1000 + 70_000, None, "-" + t) for i, t in enumerate(texts)], kind)
+    began = time.monotonic()
+    assert [tuple(r) for r in align.timeline_offset(own, gold, "m", "id", "id").collect()] == [("m", n, n, 70_000.0, 70_000)]
+    assert time.monotonic() - began < 25
+
+
 def test_preference_compares_position_by_position(spark):
     rows = [
         ("他赠养老人", "他赡养老人", "他赡养老人", "赠养→赡养"),
