@@ -271,7 +271,7 @@ def _nearest_gold(segments: DataFrame, gold: DataFrame, key: str, id_col: str, g
     on = ["k", "x", "y"]
     own = a.select("k", "id", F.lit(None).cast(theirs).alias("g"), "s", "text", F.lit(True).alias("own"))
     both = own.unionAll(b.select("k", F.lit(None).cast(mine).alias("id"), F.col("id").alias("g"), "s", "text", F.lit(False).alias("own")))
-    both = both.join(dealt(a, "_nx", 2 * block_rows), "k", "left").join(dealt(b, "_ny", block_rows), "k", "left")
+    both = both.join(dealt(a, "_nx", 4 * block_rows), "k", "left").join(dealt(b, "_ny", block_rows), "k", "left")
     nx, ny = (F.coalesce(F.col(c), F.lit(1).cast("bigint")) for c in ("_nx", "_ny"))
     block = F.pmod(F.xxhash64("id", "g", "s", "text"), F.when(F.col("own"), nx).otherwise(ny))
     both = both.select("*", block.alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("own"), ny).otherwise(nx) - 1)).alias("_o"))
@@ -290,7 +290,7 @@ def gold_offsets(segments: DataFrame, gold: DataFrame, key: str, id_col: str, go
 
     All pieces of the key are looked at, however far; fewer than `least` common characters are no match. Ties go to the
     nearer start, then the smaller gold id. Rows without key, start or text take no part. The gold of a key is sorted by
-    its suffixes and the segments are looked up in these. A key of more than block_rows pieces, or twice as many
+    its suffixes and the segments are looked up in these. A key of more than block_rows pieces, or four times as many
     segments, or of 32 characters times these, is dealt into blocks, and each block of segments is looked up in each of gold.
     """
     best = _nearest_gold(segments, gold, key, id_col, gold_id, least, block_rows).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "d", "g")).alias("m"))
